@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, sql
+from sievewright.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_pu, quality_rules, sql
 from sievewright.session import ship, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
@@ -18,6 +24,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality_pu.score(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return near_dedup.classes(table(spark, sf_dir, "documents"))
@@ -34,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_source_mixing, op8_near_dedup, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
