@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_pu, quality_rules, sql
+from sievewright.llm import chat, exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality_pu, quality_rules, sql
 from sievewright.session import ship, table
 
 
@@ -20,6 +20,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents"))
 
@@ -45,9 +59,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_marks", "n_lines", "failed")
 
 
+QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": sql.EXACT_DEDUP, "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES}
+    return {"op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES}
