@@ -129,7 +129,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tupl
         yield name, rows
 
 
-def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per turn of the repaired conversations, in pieces that follow each other by (conv_id,
     part, pos): turn (null for inserted turns), role, action, new_role, and fragment, its rendering.
     Joined in order, a conversation's fragments are its rendered form."""
@@ -137,7 +137,7 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     code = F.lit(UNKNOWN)
     for k, role in enumerate(ROLES, 1):
         code = F.when(F.lower("role") == role, k).otherwise(code)
-    dealt = given.select("conv_id", "turn", code.alias("code"), "text").repartitionByRange("conv_id", "turn", "code", "text")
+    dealt = given.select("conv_id", "turn", code.alias("code"), "text").repartitionByRange(*([partitions] if partitions else []), "conv_id", "turn", "code", "text")
     dealt = cut(dealt.sortWithinPartitions("conv_id", "turn", "code", "text"))
     conv_kind, turn_kind = (dealt.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
 
