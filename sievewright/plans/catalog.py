@@ -1,19 +1,21 @@
-"""Registry of the engine's queries on the standard tables, with their SQL."""
+"""All registered queries of the engine on the standard tables, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from sievewright.plans import corpus_queries, registry, rules_queries, search_queries
+
+MODULES = (corpus_queries, search_queries, rules_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search_queries.flagship(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
