@@ -80,7 +80,7 @@ class Ladder:
     rungs: tuple[tuple[str, tuple[int, ...]], ...]  #: (harm, stages), worst first
     pay: int
     repeat: str
-    universal: str = ""
+    universal: tuple[tuple[str, str, int], ...] = ()  #: (name, pattern, decisive stage that says the same, or 0)
 
     def assess(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Adds stages, payments (0, 1, 2), harm, verdict and confidence."""
@@ -93,10 +93,15 @@ class Ladder:
         for name, stages in reversed(self.rungs):
             hit = overlap(stages) if stages else F.lit(False)
             harm = F.when(hit | (F.col("payments") >= 2) if name == "REPEATED" else hit, name).otherwise(harm)
-        shared = c.rlike(self.universal) if self.universal else F.lit(False)
+        signs = [(c.rlike(pattern), same) for _, pattern, same in self.universal]
+        shared = F.lit(False)
+        for sign, _ in signs:
+            shared = shared | sign
         harm = F.when(shared & harm.isin("NONE", "PAID", "REPEATED"), "CREDENTIALS").otherwise(harm)
         count = lambda ns: F.size(F.array_intersect("stages", F.array(*[F.lit(n) for n in ns])))
-        sure = count(self.decisive) + shared.cast("int")
+        sure = count(self.decisive)
+        for sign, same in signs:  # a sign that a decisive stage already gives counts once
+            sure = sure + (sign & ~F.array_contains("stages", same)).cast("int")
         odd = count(self.suspicious) + (F.col("payments") >= 2).cast("int")
         verdict = F.when(sure >= 1, "SCAM").when(odd >= 2, "LIKELY").otherwise("UNKNOWN")
         confidence = F.when(sure >= 2, "HIGH").when((sure == 1) | (odd >= 2), "MEDIUM").otherwise("LOW")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators.rules import keyword_score
 
 
 def score_trace(turns: DataFrame, positives, negatives=()) -> DataFrame:
@@ -51,5 +50,3 @@ def session_state(turns: DataFrame, slots: dict[str, list[str]], questions: int,
     e = sum((F.col(f"p_{k}") for k in range(len(positives))), F.lit(0)).cast("double")
     return one.select("conv_id", "answers", F.when(F.col("answers") > questions, "DONE").otherwise("COLLECTING").alias("phase"), listed(True).alias("filled"), listed(False).alias("open"), F.bround(e / (e + 2), 4).alias("score"))
 
-
-__all__ = ["first_distress", "intents", "keyword_score", "score_trace", "session_state", "speaker_changes"]

@@ -94,7 +94,7 @@ def stage_matrix(spark, sf_dir):
 
 
 _L = V.LADDER
-_M = "m AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {n} END" for n, p in _L.patterns.items()) + f"], lambda x: x IS NOT NULL) AS s, regexp_matches(text, '{_L.repeat}') AS rep, regexp_matches(text, '{_L.universal}') AS u FROM documents), p AS (SELECT *, CASE WHEN list_contains(s, 8) THEN CASE WHEN rep THEN 2 ELSE 1 END ELSE 0 END AS pays FROM m), h AS (SELECT *, CASE WHEN list_contains(s, 11) THEN 'DRAINED' WHEN list_contains(s, 9) THEN 'CREDENTIALS' WHEN pays >= 2 THEN 'REPEATED' WHEN list_contains(s, 8) THEN 'PAID' ELSE 'NONE' END AS h0, list_contains(s, 9)::INT + list_contains(s, 11)::INT + u::INT AS sure, list_contains(s, 4)::INT + list_contains(s, 5)::INT + (pays >= 2)::INT AS odd FROM p), a AS (SELECT doc_id, array_to_string(s, ',') AS stages, pays AS payments, CASE WHEN u AND h0 IN ('NONE', 'PAID', 'REPEATED') THEN 'CREDENTIALS' ELSE h0 END AS harm, CASE WHEN sure >= 1 THEN 'SCAM' WHEN odd >= 2 THEN 'LIKELY' ELSE 'UNKNOWN' END AS verdict, CASE WHEN sure >= 2 THEN 'HIGH' WHEN sure = 1 OR odd >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM h)"
+_M = "m AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {n} END" for n, p in _L.patterns.items()) + f"], lambda x: x IS NOT NULL) AS s, regexp_matches(text, '{_L.repeat}') AS rep, regexp_matches(text, '{_L.universal[0][1]}') AS u FROM documents), p AS (SELECT *, CASE WHEN list_contains(s, 8) THEN CASE WHEN rep THEN 2 ELSE 1 END ELSE 0 END AS pays FROM m), h AS (SELECT *, CASE WHEN list_contains(s, 11) THEN 'DRAINED' WHEN list_contains(s, 9) THEN 'CREDENTIALS' WHEN pays >= 2 THEN 'REPEATED' WHEN list_contains(s, 8) THEN 'PAID' ELSE 'NONE' END AS h0, list_contains(s, 9)::INT + list_contains(s, 11)::INT + u::INT AS sure, list_contains(s, 4)::INT + list_contains(s, 5)::INT + (pays >= 2)::INT AS odd FROM p), a AS (SELECT doc_id, array_to_string(s, ',') AS stages, pays AS payments, CASE WHEN u AND h0 IN ('NONE', 'PAID', 'REPEATED') THEN 'CREDENTIALS' ELSE h0 END AS harm, CASE WHEN sure >= 1 THEN 'SCAM' WHEN odd >= 2 THEN 'LIKELY' ELSE 'UNKNOWN' END AS verdict, CASE WHEN sure >= 2 THEN 'HIGH' WHEN sure = 1 OR odd >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM h)"
 
 
 def assessed(spark, sf_dir):
@@ -128,12 +128,10 @@ def rule_vs_gold_misses(spark, sf_dir):
     return assessed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").filter("harm = 'NONE' and quality = 0").select("doc_id", "harm", "quality")
 
 
-@query("WITH ids AS (SELECT list(doc_id ORDER BY md5(doc_id::VARCHAR)) AS l FROM labels) SELECT pos - 1 AS pos, doc_id, source FROM (SELECT unnest(l) AS doc_id, unnest(range(1, len(l) + 1)) AS pos FROM ids) JOIN documents USING (doc_id)")
+@query("SELECT doc_id * 7919 % 1000003 AS pos, doc_id, source FROM labels JOIN documents USING (doc_id)")
 def keep_sample_order(spark, sf_dir):
-    """Documents of a stated list of ids, with their places in it."""
-    from pyspark.sql import Window
-
-    ids = table(spark, sf_dir, "labels").select("doc_id", (F.row_number().over(Window.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")))) - 1).alias("pos"))
+    """Documents of a stated list of ids, each with its place in the list."""
+    ids = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") * 7919 % 1000003).alias("pos"))
     return ids.join(docs(spark, sf_dir), "doc_id").select("pos", "doc_id", "source")
 
 

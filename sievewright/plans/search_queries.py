@@ -175,7 +175,7 @@ def gold(spark, sf_dir):
     b = items(spark, sf_dir).withColumn("w", words(F.col("query"))).select("query_id", "query", key(F.col("w"), F.lit(2)).alias("key"))
     d = docs(spark, sf_dir).withColumn("w", words(F.col("text"))).filter("size(w) >= 5")
     keys = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("key"))
-    return keys.join(F.broadcast(b), "key").filter(F.contains("text", "query")).select("query_id", "doc_id").distinct()  # a fixed set of items
+    return keys.join(b, "key").filter(F.contains("text", "query")).select("query_id", "doc_id").distinct()
 
 
 @query(f"""WITH {BM25}, {_GOLD}, top AS (SELECT query_id, doc_id FROM bmr WHERE rank <= 5)

@@ -30,7 +30,7 @@ LADDER = Ladder(
     rungs=(("DRAINED", (11,)), ("CREDENTIALS", (9,)), ("REPEATED", ()), ("PAID", (8,))),
     pay=8,
     repeat="again|License",
-    universal="idiot",
+    universal=(("insult", "idiot", 0),),
 )
 PAYMENTS = {"card": ["4111", "token"], "phone": ["+1 ("], "mail": ["@mail"]}
 INTENTS = [("thanks", ["thing", "gra"]), ("where", ["wh", "où"]), ("pay", ["pa"])]

@@ -176,3 +176,18 @@ def test_streaming_sessions_and_windows(spark, tmp_path):
     events.drain(events.volume(feed), str(tmp_path / "vol"), str(tmp_path / "cp2"))
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "vol")).collect()) == [1, 2]
     assert glob.glob(str(tmp_path / "vol" / "*.parquet"))
+
+
+def test_chinese_ladders_and_facets(spark):
+    from sievewright.operators import zh_pack as Z
+
+    texts = ["我看到貼文後匯款", "匯款後又匯了第二筆，要我給驗證碼", "存款被轉出", "只是看看", "老師叫我入金後又加碼，現在無法出金"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    got = [(r["harm"], r["verdict"], r["payments"]) for r in Z.SHOPPING.assess(df).orderBy("id").collect()]
+    assert got == [("PAID", "UNKNOWN", 1), ("CREDENTIALS", "SCAM", 2), ("DRAINED", "SCAM", 0), ("NONE", "UNKNOWN", 0), ("NONE", "UNKNOWN", 0)]
+    last = Z.INVESTMENT.assess(df).orderBy("id").collect()[-1]
+    assert (last["harm"], last["verdict"], last["confidence"]) == ("DRAINED", "SCAM", "MEDIUM")
+    tagged = corpus.derive_facets(df, "text", Z.FACETS).orderBy("id").collect()
+    assert tagged[0]["facets"]["payment"] == ["網銀匯款"]
+    q = spark.createDataFrame([("社群上的投資詐騙",)], "q string").select(corpus.parse_query(F.col("q"), Z.FACETS, Z.CHANNEL_GROUPS)).first()[0]
+    assert q == {"category": ["假投資"], "channel": ["Facebook", "Instagram"]}
