@@ -18,7 +18,7 @@ from sievewright.llm.common import narrow
 from sievewright.llm.license_texts import NOTICES, TEXTS
 
 #: Equivalent spellings, British to American and the like, on the lower-cased text.
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantability", "merchantability"), ("per cent", "percent"), ("copyright holder", "copyright owner"), ("https://", "http://"), ("(c)", " "), ("©", " "))
+SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("per cent", "percent"), ("copyright holder", "copyright owner"), ("https://", "http://"), ("(c)", " "), ("©", " "))
 COPYRIGHT_LINE = r"(^|\n)[^\S\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
 ALL_RIGHTS = r"(^|\n)[^\S\n]*all rights reserved\.?[^\S\n]*(\n|$)"
 
