@@ -6,8 +6,8 @@ never move again after the chunk dictionary is made.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; rows that share
 both text and id share one verdict (an id is a key); a null id never wins against a non-null one,
-and where all ids of a group are null none of its rows is kept by `deduplicate`. Text of any length
-is read whole. Other columns of the input play no part and may have any name.
+and in a group of null ids keep_id is null and `deduplicate` keeps one row. Text of any length is
+read whole. Other columns of the input play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -87,6 +87,14 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows whose text no row with a larger id has; all columns stay as they are."""
-    winners = verdicts(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(winners, docs[id_col] == F.col("__kept_id"), "left_semi")
+    """The input's rows whose text no row with a larger id has; all columns stay as they are. Of
+    equal texts that only rows with a null id have, one row stays."""
+    judged = verdicts(docs, id_col, text_col)
+    winners = judged.filter("kept").select(F.col("doc_id").alias("__kept_id"))
+    kept = docs.join(winners, docs[id_col] == F.col("__kept_id"), "left_semi")
+    nameless = docs.filter(docs[id_col].isNull())
+    if nameless.isEmpty():
+        return kept
+    alone = judged.filter("doc_id is null and keep_id is null").select(F.col("text_sha256").alias("__sha")).distinct()
+    marked = nameless.withColumn("__sha", F.sha2(F.coalesce(nameless[text_col], F.lit("")), 256))
+    return kept.unionByName(marked.join(alone, "__sha", "left_semi").dropDuplicates(["__sha"]).select(*[F.col(c) for c in docs.columns]))

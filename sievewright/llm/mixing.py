@@ -100,10 +100,12 @@ def allot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, with the input's columns: each document as often as it is taken whole, and
-    the last block's document once more cut to the words that the block still takes."""
+    the last block's document once more cut to the words that the block still takes. A row with a
+    null id goes by its text's digest; rows that share an id are each taken as the most taken is."""
     names = docs.columns
-    shares = allot(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken")).filter("__taken > 0")
-    rows = docs.join(shares, docs[id_col] == F.col("__id"))
+    named = docs.withColumn("__row_id", F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))))
+    shares = allot(named, "__row_id", text_col, source_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken")).filter("__taken > 0")
+    rows = named.join(shares, F.col("__row_id") == F.col("__id"))
     whole, rest = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
     copies = F.array_repeat(F.col("__size"), whole.cast("int"))
     copies = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
@@ -111,4 +113,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     runs = F.split(F.col(text_col), rf"(?<=[{SPACE}])(?=[^{SPACE}])")
     lead = F.when(F.col(text_col).rlike(rf"^[{SPACE}]"), 1).otherwise(0)
     cut_text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(runs, 1, (F.col("__words") + lead).cast("int")), "")).otherwise(F.col(text_col))
-    return rows.select(*[cut_text.alias(c) if c == text_col else docs[c] for c in names])
+    return rows.select(*[cut_text.alias(c) if c == text_col else F.col(c) for c in names])

@@ -46,6 +46,8 @@ def test_exact_dedup_of_odd_rows(odd):
     kept = exact_dedup.deduplicate(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 7, 8, 9]
+    nameless = odd.filter("doc_id is null")
+    assert sorted(r["text"] or "" for r in exact_dedup.deduplicate(nameless.union(nameless)).collect()) == sorted(r["text"] or "" for r in nameless.collect())
 
 
 def test_exact_dedup_when_chunk_digests_collide(spark):
@@ -118,11 +120,16 @@ def test_mixing_of_odd_rows_and_mixed_text(odd, nothing):
     assert all(r["taken"] == 0 for r in got.filter("size = 0").collect())
     whole = mixing.mixed(odd)
     assert whole.columns == odd.columns
-    sums = {r["doc_id"]: r["taken"] for r in got.filter("doc_id is not null and doc_id <> 6").collect()}
     words = {}
     for r in whole.collect():
         words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
+    named = odd.filter("doc_id is not null and doc_id <> 6")
+    sums = {r["doc_id"]: r["taken"] for r in mixing.allot(named).collect()}
+    words = {}
+    for r in mixing.mixed(named).collect():
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
     assert all(words.get(k, 0) == n for k, n in sums.items())
+    assert mixing.mixed(odd.filter("doc_id is null")).count() > 0
 
 
 def brute_rules(text):
