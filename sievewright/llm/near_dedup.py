@@ -3,10 +3,10 @@
 1. Every text becomes weighted five-word shingles; texts with equal shingle counts form one class at
    once and go on as its least id.
 2. ProbMinHash signatures of the classes are cut into bands; equal bands meet in buckets, and
-   buckets with the same members count once. Two bits of each register make a sketch that estimates
+   buckets with the same members count once. Four bits of each register make a sketch that estimates
    the similarity of two members by a few XORs.
 3. Links are found in rounds. In each bucket a few leaders meet the members that are not yet
-   connected to them; pairs whose estimate is within 4.5 standard deviations of the threshold are
+   connected to them, each pair in one of the buckets it shares; pairs whose estimate is within 4.5 standard deviations of the threshold are
    verified on their texts. A leader that has met all others leaves the bucket. Buckets whose
    members are all connected are done, the others get more leaders each round, so a large group of
    copies costs about its size, and every pair of different texts that meets in a bucket is either
@@ -56,6 +56,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "print", "bands", "bits"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, print binary, bands array<long>, bits array<long>")
 
@@ -92,41 +93,45 @@ def buckets(members: DataFrame) -> DataFrame:
 
 def far_apart(similarity: float, registers: int) -> int:
     """Differing sketch registers beyond which similarity is below the threshold by 4.5 deviations."""
-    p = (1 - similarity) * 3 / 4
+    p = (1 - similarity) * 15 / 16
     return int(np.ceil(registers * p + 4.5 * np.sqrt(registers * p * (1 - p))))
 
 
 def differing(a: Column, b: Column, registers: int) -> Column:
     """How many registers of two sketches differ."""
     total = F.lit(0)
-    for k in range(-(-registers // 32)):
+    for k in range(-(-registers // 16)):
         x = a[k].bitwiseXOR(b[k])
-        total += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     return total
 
 
 def links(members: DataFrame, texts: DataFrame, similarity: float, registers: int) -> DataFrame | None:
     """Verified links that connect whatever pairs of bucket members connect; None if there are none."""
-    found, seen, label = None, None, None
+    found, label = None, None
     leaders = 1
     while not members.isEmpty():
-        named = members.withColumn("c", F.col("x")) if label is None else members.join(label.select(F.col("node").alias("x"), "label"), "x", "left").select("bucket", "x", "bits", F.coalesce("label", "x").alias("c"))
+        named = members.withColumn("c", F.col("x")) if label is None else members.join(label.select(F.col("node").alias("x"), "label"), "x", "left").select("bucket", "x", "bits", "meets", F.coalesce("label", "x").alias("c"))
         named = named.withColumn("h", F.xxhash64("x", "bucket", F.lit(leaders)))
         state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "n", "lead")
         share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-        drawn = stash(named.join(state, "bucket").select("bucket", "x", "c", "bits", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
-        heads = drawn.filter("leads").select(F.col("bucket").alias("b0"), F.col("x").alias("x0"), F.col("c").alias("c0"), F.col("bits").alias("bits0"))
+        drawn = stash(named.join(state, "bucket").select("bucket", "x", "c", "bits", "meets", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
+        heads = drawn.filter("leads").select(F.col("bucket").alias("b0"), F.col("x").alias("x0"), F.col("c").alias("c0"), F.col("bits").alias("bits0"), F.col("meets").alias("meets0"))
+        # A pair is looked at in the first of the buckets it shares, and once where both lead.
+        once = ~F.col("leads") | (F.col("x") < F.col("x0"))
+        here = F.array_min(F.array_intersect("meets", "meets0")) == F.col("bucket")
         differ = differing(F.col("bits"), F.col("bits0"), registers)
-        pairs = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("c") != F.col("c0")) & (differ <= far_apart(similarity, registers))).select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["u", "v"], "left_anti")
+        close = differ <= far_apart(similarity, registers)
+        met = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("c") != F.col("c0")) & once & close & here)
+        pairs = met.select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v"))
         tested = stash(verified(pairs, texts, similarity))
-        seen = tested.select("u", "v") if seen is None else seen.union(tested.select("u", "v"))
         new = tested.filter("similar").select("u", "v")
         if not new.isEmpty():
             found = new if found is None else found.union(new)
             label = stash(labels(found, most_rounds=2))
-        members = drawn.filter("not leads").select("bucket", "x", "bits")
+        members = drawn.filter("not leads").select("bucket", "x", "bits", "meets")
         leaders *= GROWTH
     return found
 
@@ -138,8 +143,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     equal = signed.groupBy("print").agg(F.min("doc_id").alias("x"))
     firsts = stash(equal.select("x").distinct())
     spread = signed.join(firsts, signed["doc_id"] == firsts["x"], "left_semi").select(F.col("doc_id").alias("x"), F.explode("bands").alias("bucket"))
-    met = buckets(spread)
-    members = stash(met.join(signed.select(F.col("doc_id").alias("x"), "bits"), "x").select("bucket", "x", "bits"))
+    met = stash(buckets(spread))
+    # What a member brings along: its sketch and its buckets, at most one per band.
+    brought = signed.select(F.col("doc_id").alias("x"), "bits").join(met.groupBy("x").agg(F.collect_set("bucket").alias("meets")), "x")
+    members = stash(met.join(brought, "x").select("bucket", "x", "bits", "meets"))
     texts = given.join(members.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     found = links(members, stash(texts), similarity, bands * rows)
     named = signed.select("doc_id", "print").join(equal, "print")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-CACHE = 400_000
+CACHE = 100_000
 
 
 class WordHashes(dict):
@@ -24,9 +24,16 @@ _HASHES = WordHashes()
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x.copy()
+    t = x >> np.uint64(30)
+    x ^= t
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
+    return x
 
 
 def shingles(text: str | None, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +89,27 @@ def prob_minhash(hashes: np.ndarray, weight: np.ndarray, registers: int) -> np.n
     holder = np.zeros(registers, np.uint64)
     mean = 1.0 / weight
     live, at = hashes, np.zeros(len(hashes))
-    step, latest = 0, np.inf
+    step, latest, filling = 0, np.inf, int(registers * (np.log(registers) + 2.5))
     while len(live):
-        wanted = registers * (np.log(registers) + 1.5) if latest == np.inf else len(live)
-        burst = max(1, int(np.ceil(wanted / len(live))))
+        burst = -(-filling // len(live)) if latest == np.inf else 2
         number = np.arange(step + 1, step + 1 + burst, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         drawn = mix(live[:, None] + number[None, :])
-        waits = -np.log(((drawn >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        times = at[:, None] + np.cumsum(waits * mean[:, None], axis=1)
-        register = (mix(drawn ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(registers)).astype(np.int64)
-        at = times[:, -1].copy()
-        flat, where = times.ravel(), register.ravel()
-        np.minimum.at(first, where, flat)
-        won = flat == first[where]
-        holder[where[won]] = np.repeat(live, burst)[won]
-        latest = first.max()
-        step += burst
+        # The low 24 bits choose the register, the high 40 the waiting time.
+        where = (((drawn & np.uint64(0xFFFFFF)) * np.uint64(registers)) >> np.uint64(24)).astype(np.int64).ravel()
+        times = (drawn >> np.uint64(24)).astype(np.float64)
+        times += 0.5
+        times *= 2.0**-40
+        np.log(times, out=times)
+        times *= -mean[:, None]
+        np.cumsum(times, axis=1, out=times)
+        times += at[:, None]
+        at, flat = times[:, -1].copy(), times.ravel()
+        early = np.flatnonzero(flat < first[where])
+        spot, when = where[early], flat[early]
+        np.minimum.at(first, spot, when)
+        won = when == first[spot]
+        holder[spot[won]] = live[early[won] // burst]
+        latest, step = first.max(), step + burst
         stay = at < latest
         live, at, mean = live[stay], at[stay], mean[stay]
     return holder
@@ -113,7 +125,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketch(signature: np.ndarray) -> list[int]:
-    """Two bits of each register, in signed 64-bit words."""
-    low = mix(signature)
-    bits = np.packbits(np.stack([low & np.uint64(1), (low >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8).ravel())
-    return np.frombuffer(np.pad(bits, (0, -len(bits) % 8)).tobytes(), np.int64).tolist()
+    """Four bits of each register, in signed 64-bit words."""
+    low = mix(signature)[: len(signature) // 2 * 2] & np.uint64(15)
+    halves = (low[::2] | (low[1::2] << np.uint64(4))).astype(np.uint8)
+    return np.frombuffer(np.pad(halves, (0, -len(halves) % 8)).tobytes(), np.int64).tolist()
