@@ -31,10 +31,10 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def labels(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(node, label) for every node with a smaller node in its component; label is the least node.
+def contract(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, with the same components and, at the end, one star for each.
 
-    With ``most_rounds`` the contraction may stop early; equal labels then still mean connected.
+    With ``most_rounds`` the contraction may stop early; what is joined is still connected.
     """
     stars = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     before, rounds = None, 0
@@ -44,4 +44,9 @@ def labels(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         if after == before:
             break
         before, rounds = after, rounds + 1
+    return stars
+
+
+def labels(stars: DataFrame) -> DataFrame:
+    """(node, label) for every node with a smaller neighbour; after full contraction, the least node."""
     return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))

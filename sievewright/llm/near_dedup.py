@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import shingles as sh
 from sievewright.llm.common import narrow
-from sievewright.llm.components import labels
+from sievewright.llm.components import contract, labels
 from sievewright.session import stash
 
 BANDS, ROWS = 64, 8
@@ -109,8 +109,9 @@ def differing(a: Column, b: Column, registers: int) -> Column:
 
 
 def links(members: DataFrame, texts: DataFrame, similarity: float, registers: int) -> DataFrame | None:
-    """Verified links that connect whatever pairs of bucket members connect; None if there are none."""
-    found, label = None, None
+    """Edges that connect whatever pairs of bucket members connect; None if there are none. Each
+    round's verified links join those of the rounds before, which stay contracted to stars."""
+    stars, label = None, None
     leaders = 1
     while not members.isEmpty():
         named = members.withColumn("c", F.col("x")) if label is None else members.join(label.select(F.col("node").alias("x"), "label"), "x", "left").select("bucket", "x", "bits", "meets", F.coalesce("label", "x").alias("c"))
@@ -129,11 +130,11 @@ def links(members: DataFrame, texts: DataFrame, similarity: float, registers: in
         tested = stash(verified(pairs, texts, similarity))
         new = tested.filter("similar").select("u", "v")
         if not new.isEmpty():
-            found = new if found is None else found.union(new)
-            label = stash(labels(found, most_rounds=2))
+            stars = stash(contract(new if stars is None else stars.union(new), most_rounds=1))
+            label = labels(stars)
         members = drawn.filter("not leads").select("bucket", "x", "bits", "meets")
         leaders *= GROWTH
-    return found
+    return stars
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,13 +148,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     # What a member brings along: its sketch and its buckets, at most one per band.
     brought = signed.select(F.col("doc_id").alias("x"), "bits").join(met.groupBy("x").agg(F.collect_set("bucket").alias("meets")), "x")
     members = stash(met.join(brought, "x").select("bucket", "x", "bits", "meets"))
-    texts = given.join(members.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    # A merge join at every size: how many ids there are grows with the input, so they aren't sent around.
+    wanted = members.select(F.col("x").alias("doc_id")).distinct().hint("merge")
+    texts = given.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     found = links(members, stash(texts), similarity, bands * rows)
     named = signed.select("doc_id", "print").join(equal, "print")
     if found is None:
         named = named.withColumn("class_id", F.col("x"))
     else:
-        named = named.join(labels(found).select(F.col("node").alias("x"), "label"), "x", "left").withColumn("class_id", F.coalesce("label", "x"))
+        named = named.join(labels(contract(found)).select(F.col("node").alias("x"), "label"), "x", "left").withColumn("class_id", F.coalesce("label", "x"))
     named = stash(named.select("doc_id", "class_id"))
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     out = named.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
