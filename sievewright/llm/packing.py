@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from sievewright.llm.common import narrow
 
 WINDOW = 4096
-GROUP_TOKENS = 1024 * WINDOW
+GROUP_TOKENS = 512 * WINDOW
 END_ID = 2
-CACHE = 400_000
+CACHE = 120_000  #: entries, of chunks and of parts each; some 50 MB in a worker
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -182,6 +182,12 @@ class WordIds(dict):
                 self.parts[text] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the caches, so that an idle worker holds the tokenizer alone."""
+        self.clear()
+        self.parts.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
 
@@ -190,7 +196,7 @@ _WORDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One tokenizer and cache for each Python worker."""
+    """One tokenizer for each Python worker; its caches last for a task."""
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
     return _WORDS[path]
@@ -230,7 +236,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, t
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer_path(tokenizer)).encode
+        words = word_ids(tokenizer_path(tokenizer))
+        encode = words.encode
         base = TaskContext.get().partitionId() << 36
         names, ids, held = [], [], 0
         for batch in batches:
@@ -246,5 +253,6 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, t
                     yield out
         if ids:
             yield packed(names, ids, base)[0]
+        words.forget()
 
     return rows.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_name}, {COLUMNS}")
