@@ -130,7 +130,7 @@ def links(members: DataFrame, texts: DataFrame, similarity: float, registers: in
         tested = stash(verified(pairs, texts, similarity))
         new = tested.filter("similar").select("u", "v")
         if not new.isEmpty():
-            stars = stash(contract(new if stars is None else stars.union(new), most_rounds=1))
+            stars = stash(contract(new if stars is None else stars.union(new), most_rounds=2))
             label = labels(stars)
         members = drawn.filter("not leads").select("bucket", "x", "bits", "meets")
         leaders *= GROWTH
