@@ -4,7 +4,8 @@ Base spans (email, ip, card, phone) are found in the text as it stands. Where a
 disguise, three transducers rewrite it in turn: homoglyphs and invisible characters; spelled digits;
 at / dot disguises. Each keeps, for every character of its output, the span of source characters
 it stands for. The same detectors run on the rewritten text, and what they find is mapped back to
-the source. Base spans always stay; an added span is one that overlaps no base span.
+the source. Base spans always stay; an added span is one that no base span of its kind contains, so
+the whole of an address is added where the base rules see a fragment of it.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points of the
 source, end exclusive; equal spans count once; repeated rows get the same result; texts of any
@@ -188,6 +189,17 @@ def _plain_signs(now: Rewritten) -> Rewritten:
     return now.replace(edits)
 
 
+def additions(base: list[Span], found: list[Span]) -> list[Span]:
+    """The found spans that no base span and no wider found span of their kind contains, in one sweep."""
+    reach, kept = [0] * len(KINDS), []
+    marked = [(start, -end, False, kind) for start, kind, end in base] + [(start, -end, True, kind) for start, kind, end in found]
+    for start, end, new, kind in sorted(marked):
+        if new and -end > reach[kind]:
+            kept.append((start, kind, -end))
+        reach[kind] = max(reach[kind], -end)
+    return sorted(kept)
+
+
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base, added) spans of a text, by start and kind."""
     text = text or ""
@@ -200,12 +212,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         now = _plain_signs(now)
     if now.text == text:
         return base, []
-    added: list[Span] = []
-    for span in sorted({now.source(s) for s in detect(now.text)}):
-        start, _, end = span
-        if not any(b[0] < end and start < b[2] for b in base):
-            added.append(span)
-    return base, added
+    return base, additions(base, [now.source(s) for s in detect(now.text)])
 
 
 def written(found: list[Span]) -> str:

@@ -252,6 +252,13 @@ def test_pii_base_and_disguises(spark, odd, nothing):
     assert pii.mask(odd).columns == odd.columns
 
 
+def test_pii_adds_the_whole_address_where_base_sees_a_fragment(spark):
+    cases = {"jоhn.smith@example.com": ("email:0:22,email:2:22", 1), "to john@example.cоm.": ("email:3:17,email:3:19", 1), "john.smith@mail.exаmple.com": ("email:0:18,email:0:27", 1), "jane@a.com, jаne@mаil.com": ("email:0:10,email:12:25", 1), "ѕee jane@a.com": ("email:4:14", 0)}
+    rows = {r["doc_id"]: r for r in pii.find(documents(spark, [(k, t, None, None) for k, t in enumerate(cases)])).collect()}
+    assert [(rows[k]["spans"], rows[k]["n_added"]) for k in range(len(cases))] == list(cases.values())
+    assert [pii.masked(t) for t in list(cases)[:3]] == ["[EMAIL]", "to [EMAIL].", "[EMAIL]"]
+
+
 def cheapest(roles):
     """Least cost over all labellings and merges, by search."""
     best = {0: 0.0}
