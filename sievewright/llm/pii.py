@@ -3,8 +3,8 @@
 Base spans (email, ip, card, phone) are found in the text as it stands. Where a text shows signs of
 disguise, three transducers rewrite it in turn: homoglyphs and invisible characters; spelled digits;
 at / dot disguises. Each keeps, for every character of its output, the span of source characters
-it stands for. The same detectors run on the rewritten text, and what they find is mapped back to
-the source. Base spans always stay; an added span is one that no base span of its kind contains, so
+it stands for. The same detectors run on the text after each step, and also with at / dot disguises
+rewritten but spelled digits left; what they find is mapped back to the source. Base spans always stay; an added span is one that no base span of its kind contains, so
 the whole of an address is added where the base rules see a fragment of it.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points of the
@@ -101,12 +101,14 @@ def _homoglyph_table() -> dict[int, str]:
 
 
 _HOMOGLYPHS = _homoglyph_table()
-_ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_HOMOGLYPHS) if k != 0xB7) + "]")
+_ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_HOMOGLYPHS)) + "]")
 _DIGIT_WORD = rf"(?:{'|'.join(_SPELLED)})"
-_SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z])(?:{_DIGIT_WORD}|[0-9])(?:[ ,.-]{{0,2}}(?:{_DIGIT_WORD}(?![A-Za-z])|[0-9]))*")
-_SPELLED_SIGN = re.compile(rf"(?i)(?<![a-z]){_DIGIT_WORD}[ ,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])(?![a-z])")
-_DIGIT_TOKEN = re.compile(rf"(?i){_DIGIT_WORD}|[0-9]")
-_PLUS = re.compile(r"(?i)\bplus[ ]+(?=[0-9])")
+_SPELLED_DIGIT = re.compile(rf"(?i)(?<![A-Za-z]){_DIGIT_WORD}+(?![A-Za-z])")
+_DIGIT_TOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?P<words>{_DIGIT_WORD}+)(?![A-Za-z])|[0-9]+")
+_ONE_WORD = re.compile(rf"(?i){_DIGIT_WORD}")
+_JOINT = re.compile(r"[\s,.-]*+")
+_BETWEEN = re.compile(r"(?i)(?:[\s,.()\[\]{}<>-]|dot(?![A-Za-z]))*+")
+_PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}| +at +")
 _DOT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +")
@@ -117,6 +119,12 @@ _DISGUISED = re.compile(
     rf"(?i)(?<![A-Za-z0-9_%+-]){_PART}(?:{_DOT_ALT}{_PART}){{0,4}}(?:{_AT_HARD}[A-Za-z0-9-]{{1,64}}(?:{_DOT_ALT}[A-Za-z0-9-]{{1,64}}){{1,5}}"
     rf"| +at +[A-Za-z0-9-]{{1,64}}(?:(?:\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +)[A-Za-z0-9-]{{1,64}}){{1,5}})"
 )
+# What an address is made of: signs, plain or disguised, and the parts between them.
+_ADDRESS_TOKEN = re.compile(
+    rf"(?i)(?P<at>@|\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}})|(?P<say_at>(?<! ) +at +)|(?P<plain_dot>\.)"
+    rf"|(?P<dot>\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}|(?<! ) +dot +)|(?P<part>[A-Za-z0-9_%+-]+)"
+)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
 _EMAIL_SIGN = re.compile(rf"(?i){_OPEN}(?:at|@|dot|\.){_CLOSE}| dot ")
 _IP_SIGN = re.compile(rf"(?i)[0-9](?:\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +)(?=[0-9])")
 
@@ -160,33 +168,65 @@ def _plain_homoglyphs(now: Rewritten) -> Rewritten:
 
 
 def _plain_digits(now: Rewritten) -> Rewritten:
-    """Runs of spelled digits become digits; a run needs six of them, so prose stays."""
+    """Spelled digits beside other digits become digits, however few; joints of spaces and commas go.
+    Whether prose that counts is left alone is for the detectors to decide."""
+    tokens = list(_DIGIT_TOKEN.finditer(now.text))
+    words = [t["words"] is not None for t in tokens]
+    near = [(words[k] or words[k + 1]) and _BETWEEN.fullmatch(now.text, t.end(), tokens[k + 1].start()) is not None for k, t in enumerate(tokens[:-1])]
+    near = [False, *near, False]
     edits = []
-    for m in _SPELLED_RUN.finditer(now.text):
-        tokens = list(_DIGIT_TOKEN.finditer(m[0]))
-        if len(tokens) < 6 or all(len(t[0]) == 1 for t in tokens):
-            continue
-        for k, t in enumerate(tokens):
-            new = t[0] if len(t[0]) == 1 else _SPELLED[t[0].lower()]
-            edits.append((m.start() + t.start(), m.start() + t.end(), new))
-            after = tokens[k + 1].start() if k + 1 < len(tokens) else t.end()
-            if after > t.end() and (len(t[0]) > 1 or len(tokens[k + 1][0]) > 1):
-                gap = m[0][t.end() : after].strip(" ,")
-                edits.append((m.start() + t.end(), m.start() + after, gap))
+    for k, t in enumerate(tokens):
+        if words[k]:
+            names = _ONE_WORD.findall(t[0])
+            if len(names) > 1 or near[k] or near[k + 1]:
+                edits.append((t.start(), t.end(), "".join(_SPELLED[w.lower()] for w in names)))
+        if near[k + 1]:
+            start, end = t.end(), tokens[k + 1].start()
+            if end > start and _JOINT.fullmatch(now.text, start, end):
+                edits.append((start, end, now.text[start:end].strip().strip(",").strip()))
     done = now.replace(edits)
     return done.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(done.text)]) if edits else done
 
 
 def _plain_signs(now: Rewritten) -> Rewritten:
-    """Disguised @ and dots, inside what reads as an address as a whole."""
+    """Disguised @ and dots, inside what reads as an address as a whole: parts joined by dots, an at,
+    labels joined by dots, however many. After a spoken at, the first dot has to be disguised too."""
+    tokens = list(_ADDRESS_TOKEN.finditer(now.text))
+    kinds = [t.lastgroup for t in tokens]
+
+    def joined(k: int, *wanted: str) -> bool:
+        """Token k is of a wanted kind and begins where the one before ends."""
+        return 0 < k < len(tokens) and kinds[k] in wanted and tokens[k - 1].end() == tokens[k].start()
+
+    edits: list[tuple[int, int, str]] = []
+    used = -1  # the last token of the last address
+    for k, kind in enumerate(kinds):
+        if kind not in ("at", "say_at") or k - 1 <= used or not joined(k, kind) or kinds[k - 1] != "part":
+            continue
+        first = k - 1
+        while first - 2 > used and joined(first, "part") and joined(first - 1, "dot", "plain_dot") and kinds[first - 2] == "part":
+            first -= 2
+        last, dots = k + 1, ("dot",) if kind == "say_at" else ("dot", "plain_dot")
+        if not joined(last, "part"):
+            continue
+        while _LABEL.fullmatch(tokens[last][0]) and joined(last + 1, *dots) and joined(last + 2, "part") and _LABEL.match(tokens[last + 2][0]):
+            last, dots = last + 2, ("dot", "plain_dot")
+        if last > k + 1:
+            used = last
+            edits += [(tokens[j].start(), tokens[j].end(), "." if kinds[j] == "dot" else "@") for j in range(first, last) if kinds[j] in ("dot", "at", "say_at")]
+    now = now.replace(edits)
+    return now.replace([(x.start() + 1, x.end(), ".") for x in _IP_SIGN.finditer(now.text)])
+
+
+def _plain_names(now: Rewritten) -> Rewritten:
+    """As above for mailboxes and labels that are called at or dot, which tokens take for signs."""
     edits = []
     for m in _DISGUISED.finditer(now.text):
         inner = [(x.start(), x.end(), "@") for x in _AT.finditer(now.text, m.start(), m.end())]
         inner += [(x.start(), x.end(), ".") for x in _DOT.finditer(now.text, m.start(), m.end())]
         edits += sorted(inner)
     now = now.replace(edits)
-    edits = [(x.start() + 1, x.end(), ".") for x in _IP_SIGN.finditer(now.text)]
-    return now.replace(edits)
+    return now.replace([(x.start() + 1, x.end(), ".") for x in _IP_SIGN.finditer(now.text)])
 
 
 def additions(base: list[Span], found: list[Span]) -> list[Span]:
@@ -204,15 +244,15 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base, added) spans of a text, by start and kind."""
     text = text or ""
     base = detect(text)
+    given = Rewritten(text)
     odd = not text.isascii() and _ODD.search(text) is not None
-    now = _plain_homoglyphs(Rewritten(text)) if odd else Rewritten(text)
-    if _SPELLED_SIGN.search(now.text):
-        now = _plain_digits(now)
-    if _EMAIL_SIGN.search(now.text):
-        now = _plain_signs(now)
-    if now.text == text:
-        return base, []
-    return base, additions(base, [now.source(s) for s in detect(now.text)])
+    plain = _plain_homoglyphs(given) if odd else given
+    forms = [plain]
+    if _SPELLED_DIGIT.search(plain.text):
+        forms.append(_plain_digits(plain))
+    forms += [signs(form) for form in forms if _EMAIL_SIGN.search(form.text) for signs in (_plain_signs, _plain_names)]
+    changed = {id(form): form for form in forms if form is not given}
+    return base, additions(base, [form.source(s) for form in changed.values() for s in detect(form.text)])
 
 
 def written(found: list[Span]) -> str:

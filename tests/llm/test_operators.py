@@ -259,6 +259,15 @@ def test_pii_adds_the_whole_address_where_base_sees_a_fragment(spark):
     assert [pii.masked(t) for t in list(cases)[:3]] == ["[EMAIL]", "to [EMAIL].", "[EMAIL]"]
 
 
+def test_pii_reads_spelled_digits_and_addresses_of_any_length(spark):
+    chain = "a dot b dot c dot d dot e dot f dot g [at] h dot i dot j dot k dot l dot m dot n dot o"
+    spelled = "four one one one - one one one one - one one one one - one one one one"
+    whole = {"one nine two dot one six eight dot one dot two": "ip", "192 (dot) one six eight (dot) zero (dot) one": "ip", "+1 (five five five) one two three four five six seven": "phone", "plus one (five five five)   one two three,  four five six seven": "phone", spelled: "card", chain: "email", "jane@mail·example·com": "email", "10·0·0·7": "ip", "Dot at mail dot com": "email"}
+    cases = {f"so {t} now": f"{kind}:3:{3 + len(t)}" for t, kind in whole.items()} | {"one of two dot three, and one more. Seven at noon.": ""}
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark, [(k, t, None, None) for k, t in enumerate(cases)])).collect()}
+    assert [rows[k] for k in range(len(cases))] == list(cases.values())
+
+
 def cheapest(roles):
     """Least cost over all labellings and merges, by search."""
     best = {0: 0.0}
