@@ -58,9 +58,9 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return n.crossJoin(chance).select("n", F.round(kappa, 6).alias("kappa"))
 
 
-def corpus_cer(df: DataFrame, reference: str, heard: str) -> DataFrame:
+def corpus_cer(df: DataFrame, reference: str, heard: str, distance=F.levenshtein) -> DataFrame:
     """All edits over all reference characters."""
-    return df.agg(F.round(share(F.sum(F.levenshtein(reference, heard)), F.sum(F.char_length(reference))), 6).alias("corpus_cer"))
+    return df.agg(F.round(share(F.sum(distance(F.col(reference), F.col(heard))), F.sum(F.char_length(reference))), 6).alias("corpus_cer"))
 
 
 def relative_gain(base: Column, new: Column) -> Column:

@@ -310,6 +310,18 @@ def cer(spark, sf_dir):
     return d.select("doc_id", F.round(T.cer(F.substring("text", 1, 60), F.substring("text", 3, 60)), 6).alias("cer"))
 
 
+def heard(spark, sf_dir):
+    """Every whole text, and the same without its first two characters."""
+    text = F.coalesce("text", F.lit(""))
+    return docs(spark, sf_dir).select("doc_id", text.alias("a"), F.expr("substring(coalesce(text, ''), 3)").alias("b"))
+
+
+@query()
+def cer_whole(spark, sf_dir):
+    """As cer, over all documents and whole texts; DuckDB's levenshtein counts bytes."""
+    return heard(spark, sf_dir).select("doc_id", F.round(T.cer(F.col("a"), F.col("b"), T.edits), 6).alias("cer"))
+
+
 @query(r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '(?i)license version|license|token|version'), ',') AS found FROM documents""")
 def terms_in(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.terms_in(F.col("text"), ["license", "license version", "token", "version"]), ",").alias("found"))

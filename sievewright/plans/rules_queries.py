@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievewright.functions import text as T
 from sievewright.operators import analytics as A
 from sievewright.operators import metrics as E
 from sievewright.operators import rules as R
 from sievewright.operators import sessions
 from sievewright.plans import vocab as V
-from sievewright.plans.corpus_queries import docs, terms_sql
+from sievewright.plans.corpus_queries import docs, heard, terms_sql
 from sievewright.plans.registry import query
 from sievewright.session import table
 
@@ -240,6 +241,12 @@ def corpus_cer(spark, sf_dir):
     return E.corpus_cer(d, "a", "b")
 
 
+@query()
+def corpus_cer_whole(spark, sf_dir):
+    """As corpus_cer, over all documents and whole texts."""
+    return E.corpus_cer(heard(spark, sf_dir), "a", "b", T.edits)
+
+
 @query("SELECT event_type, value AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS plc, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE plc = greatest(1, least(n, round_even(0.95 * n, 0)::BIGINT))")
 def latency_p95(spark, sf_dir):
     return E.latency_p95(table(spark, sf_dir, "events"), "value", ["event_type"])

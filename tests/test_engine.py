@@ -89,6 +89,29 @@ def test_metrics_by_hand(spark):
     assert [round(c[0], 3) for c in cer] == [0.333, 0.0, 1.0]
 
 
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    from sievewright.plans.corpus_queries import cer_whole
+    from sievewright.plans.rules_queries import corpus_cer_whole
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    odd = [("abcd", "xbcd"), ("abc", "ab"), ("漢字", "x漢字"), ("kitten", "sitting"), ("", "é"), ("abab", "bab")]
+    rows = spark.createDataFrame(odd, "a string, b string").select("a", "b", T.edits(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [edits(a, b) for a, b in odd]
+    texts = ["漢字かな" * 40, "déjà vu 😀 " * 30, "plain words " * 30, "aaaa", "ab", "x", "é", "", None]
+    spark.createDataFrame([(k, t, ["en", "fr", None][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [(t or "", (t or "")[2:]) for t in texts]
+    found = {r["doc_id"]: r["cer"] for r in cer_whole(spark, str(tmp_path)).collect()}
+    assert found == {k: round(edits(a, b) / len(a), 6) if a else 0.0 for k, (a, b) in enumerate(pairs)}
+    assert corpus_cer_whole(spark, str(tmp_path)).first()["corpus_cer"] == round(sum(edits(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), 6)
+
+
 def test_packs_and_thresholds(spark):
     with pytest.raises(ValueError):
         rules.Pack("x", ("a",), route_min=0.2, hint_min=0.3)
