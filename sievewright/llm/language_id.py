@@ -5,32 +5,44 @@ to its character n-grams, longest first: the first length of which an n-gram is
 model is fitted on a sample of labelled documents whose bound is a parameter; prediction reads every
 whole text, map-only.
 
-Defined results: a null text, and one without letters, is `und` with score 0, and so is every text
-where no labelled rows exist; equal scores go to the language that sorts first; repeated rows get
-the same result; texts of any length are read whole. Other columns play no part, and a null id
-belongs to the fold that its empty text gives it.
+A word is a letter (Unicode category L) with the letters and marks that follow it. White-space
+delimited chunks are scored once each and kept in a table, so that a text costs one look-up a chunk.
+
+Defined results: a null text, and one without letters (digits, fractions, signs), is `und` with score
+0, and so is every text where no labelled rows exist; equal scores go to the language that sorts
+first; repeated rows get the same result; texts of any length are read whole; an empty table gives
+an empty result. Other columns play no part, and a null id belongs to the fold that its empty text
+gives it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import held_out, narrow
 
-LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 SAMPLE_DOCS = 3000  #: labelled documents per language, at most about so many
 LANGUAGES = 200  #: the most frequent labels that are learned
 WORDS = 20_000  #: known words per language
+CELLS = 50_000_000  #: numbers in the table of known words; beyond it each language knows fewer words
 SMOOTHING = 0.5
 UNKNOWN = "und"
+CHUNKS, CHUNK_BYTES = 400_000, 64  #: chunks that a worker keeps, and the longest that it keeps
+
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text."""
+    return _WORD(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -38,10 +50,10 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> DataFrame:
     """Labelled rows outside the held-out fold, thinned by a hash of the id to the bound."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return labelled.limit(0)
     keep = F.lit(0.0)
@@ -57,19 +69,18 @@ def word_counts(sample: DataFrame, most: int = WORDS) -> dict[str, Counter]:
         found: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found[lang].update(LETTERS.findall(text.as_py().lower()))
+                found[lang].update(words_of(text.as_py()))
         for lang, counter in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array(list(counter)), pa.array(list(counter.values()), pa.int64())], names=["lang", "word", "n"])
 
     partial = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
     total = partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     out: dict[str, Counter] = defaultdict(Counter)
     for row in total.withColumn("place", place).filter(F.col("place") <= most).collect():
         out[row["lang"]][row["word"]] = row["n"]
-    return dict(out)
+    kept = max(1, min(most, CELLS // max(1, len(out)) ** 2))
+    return {lang: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:kept])) for lang, c in out.items()}
 
 
 class Model:
@@ -98,55 +109,93 @@ class Model:
         if row is not None:
             return row
         for n in range(LONGEST, 0, -1):
-            found = [r for r in (self.grams[n].get(g) for g in grams(word, n)) if r is not None]
+            get = self.grams[n].get
+            found = [r for g in grams(word, n) if (r := get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return np.zeros(len(self.languages), np.float32)
 
 
-class Scorer:
-    """Scores of texts; the rows of words seen before stay in one growing table."""
-
-    def __init__(self, model: Model, cache: int = 200_000) -> None:
-        self.model, self.cache = model, cache
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.languages)), np.float32)
-
-    def _place(self, word: str) -> int:
-        k = len(self.place)
+class Scorer(dict):
+    """Scores of texts, by the places of their chunks in a table: the sum of a chunk's word scores by
+    language, and how many words it has. A chunk of one word has its word's place. The table begins
+    with the model's words; once it is full, and for overlong chunks, a place lasts for one text."""
+
+    def __init__(self, model: Model, most: int = CHUNKS) -> None:
+        super().__init__()
+        self.model, self.most = model, most
+        self.words = {word: k for k, word in enumerate(model.words)}
+        self.kept = self.used = len(self.words) + 1  #: rows that stay, and rows in use
+        self.full = self.kept + most
+        self.none = self.used - 1  #: the row of chunks without words
+        self.table = np.zeros((self.used + 4096, len(model.languages) + 1), np.float32)
+        if self.words:
+            self.table[: self.none, :-1] = np.stack(list(model.words.values()))
+            self.table[: self.none, -1] = 1
+
+    def _row(self, values: np.ndarray, words: int, keep: bool) -> int:
+        k = self.used
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k] = self.model.score(word)
-        self.place[word] = k
+        self.table[k, :-1] = values
+        self.table[k, -1] = words
+        self.used = k + 1
+        if keep and k == self.kept < self.full:
+            self.kept = k + 1
+        return k
+
+    def _word(self, word: str) -> int:
+        k = self.words.get(word)
+        if k is None:
+            k = self._row(self.model.score(word), 1, len(word) <= CHUNK_BYTES)
+            if k < self.kept:
+                self.words[word] = k
+        return k
+
+    def __missing__(self, chunk: bytes) -> int:
+        if chunk.isalpha():
+            k = self._word(chunk.lower().decode())
+        elif chunk[:-1].isalpha() and chunk[-1] < 128:
+            k = self._word(chunk[:-1].lower().decode())
+        else:
+            said = words_of(chunk.decode())
+            if len(said) == 1:
+                k = self._word(said[0])
+            elif not said:
+                k = self.none
+            else:
+                places = [self._word(word) for word in said]
+                k = self._row(self.table[places, :-1].sum(axis=0), len(said), len(chunk) <= CHUNK_BYTES)
+        if k < self.kept and len(self) < self.most and len(chunk) <= CHUNK_BYTES:
+            self[chunk] = k
         return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if text else None
-        if not found or not self.model.languages:
+        if not text or not self.model.languages:
+            return UNKNOWN, 0.0
+        chunks = text.encode().split()
+        places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        total = self.table[places].sum(axis=0, dtype=np.float64)
+        self.used = self.kept
+        if not total[-1]:
             return UNKNOWN, 0.0
-        if len(self.place) > self.cache:
-            self.place.clear()
-        get = self.place.get
-        rows = [k if (k := get(w)) is not None else self._place(w) for w in found]
-        counts = np.fromiter(found.values(), np.float64, len(rows))
-        total = counts @ self.table[rows]
-        shifted = np.exp(np.maximum(total - total.max(), -700.0))
-        best = int(np.argmax(total))
+        shifted = np.exp(np.maximum(total[:-1] - total[:-1].max(), -700.0))
+        best = int(np.argmax(shifted))
         return self.model.languages[best], float(shifted[best] / shifted.sum())
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES, words: int = WORDS) -> Model:
     given = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    return Model(word_counts(training_sample(given, per_language)))
+    return Model(word_counts(training_sample(given, per_language, languages), words))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score."""
     given = narrow(docs, doc_id=id_col, text=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and LANGUAGES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _SCORERS.get(id(sent.value)) or Scorer(sent.value)
