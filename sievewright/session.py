@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one only where none is set (tests)."""
+    """The session's shared checkpoint folder. Where none is set, a local session (tests) gets one of
+    its own; on a cluster that is an error, since executors don't share local folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     context = spark.sparkContext
@@ -42,6 +45,36 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared checkpoint folder, which go when the job no longer needs them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = made, path
+        return made
+
+    def drop(self, df: DataFrame | None) -> None:
+        """Remove a kept table; frames that read it can't be used any more."""
+        if df is not None and id(df) in self.paths:
+            _, path = self.paths.pop(id(df))
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        names = {id(df) for df in kept}
+        for df, _ in list(self.paths.values()):
+            if id(df) not in names:
+                self.drop(df)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the session's Python workers, once for each context."""
     context = spark.sparkContext
