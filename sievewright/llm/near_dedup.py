@@ -2,23 +2,28 @@
 
 1. Every text becomes weighted five-word shingles; texts with equal shingle counts form one class at
    once and go on as its least id.
-2. ProbMinHash signatures of the classes are cut into bands; equal bands meet in buckets, and
-   buckets with the same members count once. Four bits of each register make a sketch that estimates
-   the similarity of two members by a few XORs.
+2. ProbMinHash signatures of the classes are cut into bands; equal bands meet in buckets, and of
+   buckets with the same members the one with the least key stays. Four bits of each register make a
+   sketch that estimates the similarity of two members by a few XORs.
 3. Links are found in rounds. In each bucket a few leaders meet the members that are not yet
-   connected to them, each pair in one of the buckets it shares; pairs whose estimate is within 4.5 standard deviations of the threshold are
-   verified on their texts. A leader that has met all others leaves the bucket. Buckets whose
+   connected to them, each pair in the least of the buckets
+   it shares; pairs whose estimate is
+   within 4.5 standard deviations of the threshold are verified on their texts. A bucket of many
+   members is cut into slices, and its leaders go to each slice, so no task meets a whole bucket. A leader that has met all others leaves the bucket. Buckets whose
    members are all connected are done, the others get more leaders each round, so a large group of
    copies costs about its size, and every pair of different texts that meets in a bucket is either
    compared or already connected.
 4. The verified links (probability Jaccard of at least the threshold) are contracted to components.
 
-With 64 bands of 8 registers a pair at similarity 0.8 meets with probability 0.99999. Nothing is
-capped, and nothing but loop counters reaches the driver.
+With 64 bands of 8 registers a pair at similarity 0.8 meets with probability 0.99999 (that it is
+looked for in a wrong bucket, by halves of keys, has probability 2e-6). Nothing is
+capped. Joins send narrow tables (ids of bucket members, bucket states, labels) around where these
+have at most BROADCAST_ROWS rows, and merge larger ones; else only loop counters reach the driver.
 
 Defined results: null or empty texts form one class; a row with a null id is never linked and has a
-null class; repeated rows with one id share its class; an empty table gives an empty result; texts
-of any length are read whole. Other columns play no part.
+null class; repeated rows with one id share its class (an id is a key: where its rows differ, the
+greatest text is verified); ties go to the least id; an empty table gives an empty result; texts of
+any length are read whole. Ids are whole numbers. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,11 +39,13 @@ from pyspark.sql import functions as F
 from sievewright.llm import shingles as sh
 from sievewright.llm.common import narrow
 from sievewright.llm.components import contract, labels
-from sievewright.session import stash
+from sievewright.session import Scratch
 
 BANDS, ROWS = 64, 8
 SIMILARITY = 0.8
 GROWTH = 16
+SLICE = 4096  #: bucket members that meet the bucket's leaders in one place
+BROADCAST_ROWS = 500_000  #: of narrow tables (ids, bucket states, labels) that joins send around; 8 to 24 bytes each
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = sh.WORDS) -> DataFrame:
@@ -84,80 +91,98 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int =
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, similar boolean")
 
 
-def buckets(members: DataFrame) -> DataFrame:
+def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table with the hint for its size: sent around up to a bound, else merged."""
+    return small.hint("broadcast" if small.count() <= most else "merge")
+
+
+def buckets(spread: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, x) of the buckets with two members or more, one bucket for each set of members."""
-    facts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("total")).filter("n > 1")
+    shared = spread.groupBy("bucket").count().filter("count > 1").select("bucket")
+    # A merge join at every size; a hot bucket's side of it is split by Spark's skew handling.
+    met = scratch.keep(spread.join(shared.hint("merge"), "bucket", "left_semi"))
+    facts = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("total"))
+    # The least bucket is the one in which a pair is looked at.
     chosen = facts.groupBy("n", "least", "total").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return members.join(chosen, "bucket", "left_semi")
+    out = scratch.keep(met.join(chosen, "bucket", "left_semi"))
+    scratch.drop(met)
+    return out
 
 
 def far_apart(similarity: float, registers: int) -> int:
-    """Differing sketch registers beyond which similarity is below the threshold by 4.5 deviations."""
-    p = (1 - similarity) * 15 / 16
-    return int(np.ceil(registers * p + 4.5 * np.sqrt(registers * p * (1 - p))))
+    """Differing sketch bits beyond which similarity is below the threshold by 4.5 deviations: of the
+    four bits of a register that differs, each differs by a coin's throw."""
+    p = 1 - similarity
+    return int(np.ceil(2 * registers * p + 4.5 * np.sqrt(registers * (5 * p - 4 * p * p))))
 
 
 def differing(a: Column, b: Column, registers: int) -> Column:
-    """How many registers of two sketches differ."""
-    total = F.lit(0)
-    for k in range(-(-registers // 16)):
-        x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+    """How many bits of two sketches differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(-(-registers // 16))), F.lit(0))
+
+
+def code(bucket: Column) -> Column:
+    """The upper half of a bucket's key."""
+    return F.shiftright(bucket, 32).cast("int")
 
 
-def links(members: DataFrame, texts: DataFrame, similarity: float, registers: int) -> DataFrame | None:
+def links(members: DataFrame, texts: DataFrame, similarity: float, registers: int, scratch: Scratch) -> DataFrame | None:
     """Edges that connect whatever pairs of bucket members connect; None if there are none. Each
     round's verified links join those of the rounds before, which stay contracted to stars."""
-    stars, label = None, None
+    stars, label, before = None, None, None
     leaders = 1
     while not members.isEmpty():
-        named = members.withColumn("c", F.col("x")) if label is None else members.join(label.select(F.col("node").alias("x"), "label"), "x", "left").select("bucket", "x", "bits", "meets", F.coalesce("label", "x").alias("c"))
+        named = members.withColumn("c", F.col("x")) if label is None else members.join(label, "x", "left").select("bucket", "x", "bits", "codes", F.coalesce("label", "x").alias("c"))
         named = named.withColumn("h", F.xxhash64("x", "bucket", F.lit(leaders)))
-        state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "n", "lead")
+        state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "lead", "n")
+        state = scratch.keep(state)
         share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-        drawn = stash(named.join(state, "bucket").select("bucket", "x", "c", "bits", "meets", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
-        heads = drawn.filter("leads").select(F.col("bucket").alias("b0"), F.col("x").alias("x0"), F.col("c").alias("c0"), F.col("bits").alias("bits0"), F.col("meets").alias("meets0"))
-        # A pair is looked at in the first of the buckets it shares, and once where both lead.
+        slices = F.ceil(F.col("n") / SLICE)
+        drawn = scratch.keep(named.join(sized(state), "bucket").select("bucket", F.pmod("x", slices).alias("slice"), slices.alias("slices"), "x", "c", "bits", "codes", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
+        heads = drawn.filter("leads").select(F.col("bucket").alias("b0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s0"), F.col("x").alias("x0"), F.col("c").alias("c0"), F.col("bits").alias("bits0"), F.col("codes").alias("codes0"))
+        # A pair is looked at in the least bucket it shares, and once where both lead.
         once = ~F.col("leads") | (F.col("x") < F.col("x0"))
-        here = F.array_min(F.array_intersect("meets", "meets0")) == F.col("bucket")
-        differ = differing(F.col("bits"), F.col("bits0"), registers)
-        close = differ <= far_apart(similarity, registers)
-        met = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("c") != F.col("c0")) & once & close & here)
-        pairs = met.select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v"))
-        tested = stash(verified(pairs, texts, similarity))
+        close = differing(F.col("bits"), F.col("bits0"), registers) <= far_apart(similarity, registers)
+        here = F.array_min(F.array_intersect("codes", "codes0")) == code(F.col("bucket"))
+        met = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("slice") == F.col("s0")) & (F.col("c") != F.col("c0")) & once & close & here)
+        pairs = scratch.keep(met.select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v")))
+        asked = scratch.keep(pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct())
+        tested = scratch.keep(verified(pairs, texts.join(sized(asked), "doc_id", "left_semi"), similarity))
         new = tested.filter("similar").select("u", "v")
         if not new.isEmpty():
-            stars = stash(contract(new if stars is None else stars.union(new), most_rounds=2))
-            label = labels(stars)
-        members = drawn.filter("not leads").select("bucket", "x", "bits", "meets")
+            old = stars
+            stars = scratch.keep(contract(new if stars is None else stars.union(new), most_rounds=2))
+            label = sized(scratch.keep(labels(stars).select(F.col("node").alias("x"), "label")))
+            scratch.drop(old)
+        for done in (state, pairs, asked, tested, before):
+            scratch.drop(done)
+        before, members = drawn, drawn.filter("not leads").select("bucket", "x", "bits", "codes")
         leaders *= GROWTH
     return stars
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (the least id of its class), class_size, kept."""
+    scratch = Scratch(docs.sparkSession)
     given = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = stash(signatures(given.filter("doc_id is not null"), bands, rows))
-    equal = signed.groupBy("print").agg(F.min("doc_id").alias("x"))
-    firsts = stash(equal.select("x").distinct())
-    spread = signed.join(firsts, signed["doc_id"] == firsts["x"], "left_semi").select(F.col("doc_id").alias("x"), F.explode("bands").alias("bucket"))
-    met = stash(buckets(spread))
-    # What a member brings along: its sketch and its buckets, at most one per band.
-    brought = signed.select(F.col("doc_id").alias("x"), "bits").join(met.groupBy("x").agg(F.collect_set("bucket").alias("meets")), "x")
-    members = stash(met.join(brought, "x").select("bucket", "x", "bits", "meets"))
-    # A merge join at every size: how many ids there are grows with the input, so they aren't sent around.
-    wanted = members.select(F.col("x").alias("doc_id")).distinct().hint("merge")
-    texts = given.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    found = links(members, stash(texts), similarity, bands * rows)
-    named = signed.select("doc_id", "print").join(equal, "print")
+    signed = scratch.keep(signatures(given.filter("doc_id is not null"), bands, rows))
+    # Copies meet as partial minima; what goes on is one row for each text and, after it, each id.
+    firsts = signed.groupBy("print").agg(F.min_by(F.struct("doc_id", "bands", "bits"), "doc_id").alias("s")).select("print", F.col("s.doc_id").alias("x"), "s.bands", "s.bits")
+    shown = scratch.keep(firsts)
+    spread = shown.select("x", F.explode(F.array_distinct("bands")).alias("bucket"))
+    met = buckets(spread, scratch)
+    wanted = sized(scratch.keep(met.select("x").distinct()))
+    texts = scratch.keep(given.join(wanted, F.col("doc_id") == F.col("x"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    sketches = shown.join(wanted, "x", "left_semi").groupBy("x").agg(F.min(F.struct("bits", "bands")).alias("s")).select("x", "s.bits", F.transform("s.bands", code).alias("codes"))
+    members = met.join(sketches, "x").select("bucket", "x", "bits", "codes")
+    found = links(members, texts, similarity, bands * rows, scratch)
+    named = signed.select("doc_id", "print").join(shown.select("print", "x"), "print")
     if found is None:
         named = named.withColumn("class_id", F.col("x"))
     else:
         named = named.join(labels(contract(found)).select(F.col("node").alias("x"), "label"), "x", "left").withColumn("class_id", F.coalesce("label", "x"))
-    named = stash(named.select("doc_id", "class_id"))
+    named = scratch.keep(named.select("doc_id", "class_id"))
+    scratch.drop_all_but(named)
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     out = named.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     alone = given.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
