@@ -30,13 +30,15 @@ AMOUNT = r"(?<![\d,])((?:\d{1,3}(?:,\d{3})+|\d{4,12}))\s*(?:元|塊|NTD?|台幣)
 AMOUNT_CN = r"(\d+(?:\.\d+)?)\s*(萬|億)\s*(?:元|塊)?"
 BUCKETS = ((10_000, "1 萬以下"), (50_000, "1 萬到 5 萬"), (100_000, "5 萬到 10 萬"), (500_000, "10 萬到 50 萬"), (1_000_000, "50 萬到 100 萬"), (5_000_000, "100 萬到 500 萬"))
 TOP_BUCKET = "500 萬以上"
+# What marks a number as a year or date: after it, within AFTER_CHARS characters, and before it.
+YEAR_AFTER = r"\s*(?:年|[/\-.]\s*\d{1,2})"
+AFTER_CHARS = 4
+ERAS = ("民國", "民国", "西元", "西曆", "西历")
 # End of fixed values.
 
 #: Digit runs that are too long for the account rule would leak their tail; they are masked whole.
 LONG_RUN = ("long_account", r"(?<!\d)\d{17,}(?!\d)", "[帳號]")
-#: A year or a date: the unit or separator right after the number, or an era word before it.
-_YEAR_AFTER = re.compile(r"\s*年|[/.\-]\d{1,2}(?!\d)")
-_ERA_BEFORE = re.compile(r"(?:西元|民國)\s*$")
+_YEAR_AFTER = re.compile(YEAR_AFTER)
 
 
 def amount_bucket(value: Column) -> Column:
@@ -67,14 +69,17 @@ def _bucket(value: float) -> str:
     return next((name for ceiling, name in BUCKETS if value < ceiling), TOP_BUCKET)
 
 
-def _is_date(text: str, start: int, end: int, raw: str) -> bool:
-    if len(raw) != 4 or "," in raw:
+def _is_date(text: str, m: re.Match) -> bool:
+    """Whether an amount without thousands separators reads as a year or a date."""
+    if "," in m[1]:
         return False
-    return bool(_YEAR_AFTER.match(text[end : end + 4]) or _ERA_BEFORE.search(text[max(0, start - 6) : start]))
+    before = text[: m.start()].rstrip() if m.start() and text[m.start() - 1].isspace() else text[max(0, m.start() - 2) : m.start()]
+    return before.endswith(ERAS) or _YEAR_AFTER.match(text[m.end() : m.end() + AFTER_CHARS]) is not None
 
 
 def mask_text(text: str | None, rules=(*RULES, LONG_RUN)) -> tuple[str, list[tuple[str, int, int, str]]]:
-    """(masked text, redactions); offsets are places in the text as each rule finds it."""
+    """(masked text, redactions); a redaction's offsets are those of the whole match, in the text as
+    its rule finds it, also where only the group is masked."""
     now, found = text or "", []
 
     def apply(pattern: str, put) -> None:
@@ -86,7 +91,7 @@ def mask_text(text: str | None, rules=(*RULES, LONG_RUN)) -> tuple[str, list[tup
                 continue
             kind, start, end, new = made
             out += [now[last:start], new]
-            found.append((kind, start, end, new))
+            found.append((kind, m.start(), m.end(), new))
             last = end
         now = "".join([*out, now[last:]])
 
@@ -96,10 +101,9 @@ def mask_text(text: str | None, rules=(*RULES, LONG_RUN)) -> tuple[str, list[tup
     apply(AMOUNT_CN, lambda m: ("amount", m.start(), m.end(), _bucket(float(m[1]) * (1e4 if m[2] == "萬" else 1e8))))
 
     def amount(m: re.Match) -> tuple | None:
-        raw = m[1]
-        if _is_date(now, m.start(1), m.end(1), raw):
+        if _is_date(now, m):
             return None
-        return "amount", m.start(), m.end(), _bucket(float(raw.replace(",", "")))
+        return "amount", m.start(), m.end(), _bucket(float(m[1].replace(",", "")))
 
     apply(AMOUNT, amount)
     return now, found

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
+from sievewright.operators import metrics
 
 
 def label_coverage(df: DataFrame, label: str) -> DataFrame:
@@ -24,9 +25,11 @@ def crosstab(df: DataFrame, rows: str, cols: Column, values: list[str]) -> DataF
 def positions(df: DataFrame, text: str, first: str, second: str) -> DataFrame:
     """Where a term stands, relative to the text's length, and how often it goes before another."""
     at, other = F.instr(F.col(text), first), F.instr(F.col(text), second)
-    held = df.filter(at > 0)
     rel = at / F.char_length(text)
-    return held.agg(F.count(F.lit(1)).alias("n"), F.round(F.median(rel), 6).alias("median_position"), F.round(F.avg((rel <= 0.2).cast("double")), 6).alias("in_first_fifth"), F.round(F.avg(F.when(other > 0, (at < other).cast("double"))), 6).alias("before_other"))
+    held = df.filter(at > 0)
+    middle = metrics.median(held.select(F.lit(1).alias("one"), rel.alias("rel")), "rel", ["one"]).select(F.round("median", 6).alias("median_position"))
+    sums = held.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((rel <= 0.2).cast("double")), 6).alias("in_first_fifth"), F.round(F.avg(F.when(other > 0, (at < other).cast("double"))), 6).alias("before_other"))
+    return sums.join(middle, F.lit(True), "left").select("n", "median_position", "in_first_fifth", "before_other")  # one row each
 
 
 def term_rates(df: DataFrame, text: str, positive: Column, terms: list[str]) -> DataFrame:
@@ -43,10 +46,11 @@ def threshold_sweep(df: DataFrame, score: Column, positive: Column, cuts: list[f
 
 def score_distribution(scores: DataFrame, threshold: float) -> DataFrame:
     """Per query: best, 10th and 100th score, median, and how many reach the threshold."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    placed = scores.withColumn("at", F.row_number().over(w))
-    at = lambda k: F.max(F.when(F.col("at") == k, F.col("score")))
-    return placed.groupBy("query_id").agg(F.max("score").alias("best"), at(10).alias("tenth"), at(100).alias("hundredth"), F.round(F.median("score"), 6).alias("median"), F.count_if(F.col("score") >= threshold).alias("n_above"))
+    place = lambda k: lambda n: n - k + 1  # noqa: E731  (places count from the least)
+    places = {"best": place(1), "tenth": place(10), "hundredth": place(100), "__a": lambda n: F.floor((n + 1) / 2), "__b": lambda n: F.floor(n / 2) + 1}
+    at = metrics.value_at(scores, "score", ["query_id"], places)
+    above = scores.groupBy("query_id").agg(F.count_if(F.col("score") >= threshold).alias("n_above"))
+    return at.join(above, "query_id").select("query_id", "best", "tenth", "hundredth", F.round((F.col("__a") + F.col("__b")) / 2, 6).alias("median"), "n_above")
 
 
 def quarterly_share(df: DataFrame, ts: str, wanted: Column) -> DataFrame:

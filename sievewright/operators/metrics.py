@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 1024  #: ranges of values in which exact places are looked for
+
 
 def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
@@ -20,29 +24,69 @@ def mrr_at_k(df: DataFrame, k: int = 10) -> DataFrame:
     return df.agg(F.round(F.coalesce(F.avg(F.coalesce(1 / place, F.lit(0.0))), F.lit(0.0)), 6).alias("mrr"))
 
 
+def hit_rate(first: DataFrame, k: int = 5) -> DataFrame:
+    """As `hit_rate_at_k`, from the rank ``r`` of each query's first hit (null: none)."""
+    return first.agg(F.round(F.coalesce(F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("double")), F.lit(0.0)), 6).alias("hit_rate"))
+
+
+def mean_reciprocal(first: DataFrame, k: int = 10) -> DataFrame:
+    return first.agg(F.round(F.coalesce(F.avg(F.when(F.col("r") <= k, 1 / F.col("r")).otherwise(0.0)), F.lit(0.0)), 6).alias("mrr"))
+
+
 def latency_p95(df: DataFrame, ms: str, by: list[str]) -> DataFrame:
     """The value at place round-half-even(0.95 n), at least 1, of the sorted values."""
-    w = Window.partitionBy(*by)
-    placed = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__at", F.row_number().over(w.orderBy(ms)))
-    return placed.filter(F.col("__at") == F.greatest(F.lit(1), F.least(F.col("__n"), F.bround(0.95 * F.col("__n")).cast("long")))).select(*by, F.col(ms).alias("p95"))
+    place = lambda n: F.greatest(F.lit(1), F.least(n, F.bround(0.95 * n).cast("long")))
+    return value_at(df, ms, by, {"p95": place}).select(*by, "p95")
+
+
+def value_at(df: DataFrame, value: str, by: list[str], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values at stated places (from 1, as functions of the group's size) of each group's sorted
+    values, exactly, and the size as ``n``.
+
+    Equal values are counted before anything is sorted. The counts are cut into RANGES ranges by
+    value, whose sums show in which range a place lies; only that range's values are then ordered.
+    A group's share of a task is therefore its counts in one range, not the group."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ends = counts.groupBy(*by).agg(F.sum("__c").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    width = F.col("__high").cast("double") - F.col("__low").cast("double")
+    part = F.least(F.lit(RANGES - 1), F.floor(F.coalesce(F.try_divide(F.col("__v").cast("double") - F.col("__low").cast("double"), width), F.lit(0.0)) * RANGES)).cast("int")
+    cut = counts.join(ends, by).withColumn("__part", part)
+    sums = cut.groupBy(*by, "n", "__part").agg(F.sum("__c").alias("__s"))
+    upto = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    named = F.array(*[F.struct(F.lit(k).alias("k"), p(F.col("n")).cast("long").alias("at")) for k, p in places.items()])
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(upto), F.lit(0))).withColumn("__p", F.explode(named))
+    wanted = before.filter((F.col("__p.at") > F.col("__before")) & (F.col("__p.at") <= F.col("__before") + F.col("__s")))
+    inside = cut.join(wanted.select(*by, "__part", "__before", "__p"), [*by, "__part"])
+    so_far = Window.partitionBy(*by, "__p.k").orderBy("__v")
+    hit = inside.withColumn("__end", F.col("__before") + F.sum("__c").over(so_far)).filter(F.col("__end") >= F.col("__p.at"))
+    found = hit.groupBy(*by, "__p.k").agg(F.min("__v").alias("__v"))
+    picked = found.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("__v"))).alias(k) for k in places])
+    return ends.select(*by, "n").join(picked, by)
+
+
+def median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, n, median), exactly: the mean of the two middle values."""
+    halves = value_at(df, value, by, {"__a": lambda n: F.floor((n + 1) / 2), "__b": lambda n: F.floor(n / 2) + 1})
+    return halves.select(*by, "n", ((F.col("__a").cast("double") + F.col("__b").cast("double")) / 2).alias("median"))
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def per_label(df: DataFrame, truth: str, pred: str) -> DataFrame:
+def per_label(df: DataFrame, truth: str, pred: str, digits: int | None = 6) -> DataFrame:
     """Precision, recall, F1 and support over all labels that occur as truth or prediction."""
     cells = confusion(df, truth, pred)
     sides = cells.select(F.explode(F.array(F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))).alias("s")).select("s.*")
     sums = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit"))
     p, r = share(F.col("hit"), F.col("predicted")), share(F.col("hit"), F.col("support"))
-    return sums.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(share(2 * p * r, p + r), 6).alias("f1"))
+    shown = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    return sums.select("label", "support", shown(p).alias("precision"), shown(r).alias("recall"), shown(share(2 * p * r, p + r)).alias("f1"))
 
 
 def macro_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Mean F1 over labels with support, and accuracy."""
-    f1 = per_label(df, truth, pred).agg(F.round(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("f1"))), F.lit(0.0)), 5).alias("macro_f1"))
+    f1 = per_label(df, truth, pred, None).agg(F.round(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("f1"))), F.lit(0.0)), 5).alias("macro_f1"))
     acc = df.agg(F.round(F.coalesce(F.avg((F.col(truth) == F.col(pred)).cast("double")), F.lit(0.0)), 6).alias("accuracy"))
     return f1.crossJoin(acc)
 

@@ -181,7 +181,11 @@ def stratified(df: DataFrame, strata: list[str], id_col: str, per_group: int) ->
     """``per_group`` rows for each value of the first stratum column, split evenly over the others;
     what small strata can't give comes from the largest. Rows go by id within a stratum."""
     group, cell = strata[0], Window.partitionBy(*strata)
-    sized = df.withColumn("__n", F.count(F.lit(1)).over(cell)).withColumn("__at", F.row_number().over(cell.orderBy(id_col)))
+    # No stratum gives more than per_group rows, so Spark drops the others before the shuffle.
+    first = df.withColumn("__at", F.row_number().over(cell.orderBy(id_col))).filter(F.col("__at") <= per_group)
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
+    same = [first[c].eqNullSafe(sizes[c]) for c in strata]
+    sized = first.join(sizes, same).select(*[first[c] for c in first.columns], "__n")
     # Dealing rows round by round, largest stratum first, gives the even split and the back-fill.
     turn = Window.partitionBy(group).orderBy("__at", F.desc("__n"), *strata[1:], id_col)
     return sized.withColumn("__turn", F.row_number().over(turn)).filter(F.col("__turn") <= per_group).drop("__n", "__at", "__turn")

@@ -1,14 +1,20 @@
 """Retrieval: inverted index, BM25, n-gram overlap, exact vector search, fusion, gates and tiers.
 
 Queries are (query_id, query), documents (doc_id, text, ...). Every ranking breaks ties by id.
+
+The text arms (BM25, 2-gram overlap, gated) take a stated, bounded set of queries to all documents:
+each task scores its documents where they lie, block of queries by block, as matrix products, and keeps
+each query's best k. Documents are never shuffled, and what is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +22,8 @@ from sievewright.functions import text as T
 
 K1, B = 1.5, 0.75
 POOL = 50
+BLOCK = 256  #: queries that are scored at a time
+MOST_QUERIES = 4096  #: of one search; larger sets are searched one after the other
 
 
 def ranked(scores: DataFrame, k: int | None = None, score: str = "score", by: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -43,18 +51,142 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.ln((n - df + 0.5) / (df + 0.5) + 1), F.lit(1e-9))
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term, by probing postings with the
-    queries' distinct terms; only those terms' postings are shuffled."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    rows = docs.select("doc_id", T.tokens(F.col("text")).alias("terms")).withColumn("len", F.greatest(F.size("terms"), F.lit(1)))
-    used = wanted.select("term").distinct()
-    tf = rows.select("doc_id", "len", F.explode("terms").alias("term")).join(used, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    facts = collection(docs)  # one row
-    weights = df.crossJoin(F.broadcast(facts)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avg_len")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return wanted.join(weights, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+_RUN = re.compile(f"[{T.CJK}A-Za-z0-9]+")
+PAIRS = "query_id long, doc_id long, score double"
+
+
+def words_of(text: str | None) -> list[str]:
+    """As `functions.text.tokens`, of one text inside a task."""
+    out: list[str] = []
+    for run in _RUN.findall(text or ""):
+        if run.isascii():
+            out.append(run.lower())
+        elif len(run) > 1:
+            out += [run[k : k + 2] for k in range(len(run) - 1)]
+        else:
+            out.append(run)
+    return out
+
+
+def stated(queries: DataFrame) -> list[tuple[int, str]]:
+    """The query set in order of ids; an error where it is too large to go to every task."""
+    rows = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: search in parts")
+    return sorted((r["query_id"], r["query"] or "") for r in rows)
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To six places, halves up."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+class Best:
+    """Each query's best k (score, id) so far, ties by id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` has a row for each document; -inf is no hit."""
+        if len(ids):
+            score = np.concatenate([self.score, scores.T], axis=1)
+            names = np.concatenate([self.id, np.broadcast_to(ids, (len(self.id), len(ids)))], axis=1)
+            order = np.lexsort((names, -score), axis=1)[:, : self.k]
+            self.score, self.id = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        q, at = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(self.id[q, at]), pa.array(self.score[q, at])], names=["query_id", "doc_id", "score"])
+
+
+def _hits(names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    d, q = np.nonzero(scores > -np.inf)
+    return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[d]), pa.array(scores[d, q])], names=["query_id", "doc_id", "score"])
+
+
+def scored(docs: DataFrame, names: list[int], prepare: Callable[[], list], score: Callable, k: int | None, least: float | None = None) -> DataFrame:
+    """(query_id, doc_id, score): ``prepare`` makes the blocks of queries in a task, ``score`` the
+    scores of some texts by a block (-inf: no hit). Each task gives each query's best k, or all hits
+    (at or above ``least``) where k is None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, ids_of = prepare(), np.asarray(names, np.int64)
+        best = [Best(min(BLOCK, len(names) - at), k) for at in range(0, len(names), BLOCK)] if k else []
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                ids, texts = np.asarray(part.column(0), np.int64), part.column(1).to_pylist()
+                for b, block in enumerate(blocks):
+                    found = score(block, texts)
+                    if k:
+                        best[b].add(ids, found)
+                        continue
+                    if least is not None:
+                        found = np.where(found >= least, found, -np.inf)
+                    yield _hits(ids_of[b * BLOCK : b * BLOCK + BLOCK], ids, found)
+        for b, one in enumerate(best):
+            yield one.rows(ids_of[b * BLOCK : b * BLOCK + BLOCK])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PAIRS)
+
+
+def frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, float, dict[str, int]]:
+    """Number of documents, their average length, and how many have each of the terms: one pass in
+    which each task gives a partial count for each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = set(terms), dict.fromkeys(terms, 0)
+        n = length = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                said = words_of(text)
+                n, length = n + 1, length + max(1, len(said))
+                for t in known.intersection(said):
+                    df[t] += 1
+        facts = [(t, c) for t, c in df.items() if c] + [("\0n", n), ("\0length", length)]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in facts]), pa.array([c for _, c in facts], pa.int64())], names=["term", "c"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c")).collect()  # a row a query term
+    found = {r["term"]: r["c"] for r in rows}
+    n, length = found.pop("\0n", 0), found.pop("\0length", 0)
+    return n, length / max(1, n), found
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of the pairs that share a term, or, with ``k``, of at least each
+    query's best k. A first pass counts the documents of each query term."""
+    asked = [(q, sorted(set(words_of(text)))) for q, text in stated(queries)]
+    n, avg_len, df = frequencies(docs, sorted({t for _, ts in asked for t in ts}))
+    idf_of = {t: max(np.log((n - d + 0.5) / (d + 0.5) + 1), 1e-9) for t, d in df.items()}
+    sent = docs.sparkSession.sparkContext.broadcast((asked, idf_of, avg_len))  # bounded by MOST_QUERIES
+
+    def prepare() -> list:
+        asked, weight, avg = sent.value
+        blocks = []
+        for at in range(0, len(asked), BLOCK):
+            part = asked[at : at + BLOCK]
+            place = {t: i for i, t in enumerate(sorted({t for _, ts in part for t in ts if t in weight}))}
+            matrix = np.zeros((len(place), len(part)))
+            for q, (_, ts) in enumerate(part):
+                for t in ts:
+                    if t in place:
+                        matrix[place[t], q] = weight[t]
+            blocks.append((place, matrix, avg))
+        return blocks
+
+    def score(block: tuple, texts: list) -> np.ndarray:
+        place, matrix, avg = block
+        tf, length = np.zeros((len(texts), len(place))), np.ones(len(texts))
+        for d, text in enumerate(texts):
+            said = words_of(text)
+            length[d] = max(1, len(said))
+            at = [i for i in map(place.get, said) if i is not None]
+            tf[d] = np.bincount(np.asarray(at, np.int64), minlength=len(place)) if at else 0
+        total = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / avg))) @ matrix
+        return np.where(total > 0, rounded(total), -np.inf)
+
+    return scored(docs, [q for q, _ in asked], prepare, score, k)
 
 
 def bm25_stats(docs: DataFrame) -> DataFrame:
@@ -63,13 +195,43 @@ def bm25_stats(docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(collection(docs))).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): the share of the query's 2-grams that the document has, by an
-    equi-join on grams."""
-    grams = queries.select("query_id", T.char_grams(F.col("query")).alias("g")).withColumn("n", F.size("g"))
-    wanted = grams.select("query_id", "n", F.explode("g").alias("gram"))
-    held = docs.select("doc_id", F.explode(T.char_grams(F.col("text"))).alias("gram"))
-    return held.join(wanted, "gram").groupBy("query_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared")).select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
+def grams_of(text: str | None) -> np.ndarray:
+    """Distinct character 2-grams of a text, as numbers in order."""
+    codes = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique((codes[:-1] << 21) | codes[1:])
+
+
+def _gram_blocks(asked: list[tuple[int, str]]) -> list:
+    blocks = []
+    for at in range(0, len(asked), BLOCK):
+        grams = [grams_of(text) for _, text in asked[at : at + BLOCK]]
+        known = np.unique(np.concatenate(grams))
+        matrix = np.zeros((len(known), len(grams)), np.float32)
+        for q, g in enumerate(grams):
+            matrix[np.searchsorted(known, g), q] = 1
+        blocks.append((known, matrix, np.array([max(1, len(g)) for g in grams], float)))
+    return blocks
+
+
+def _overlaps(block: tuple, texts: list) -> np.ndarray:
+    """Rounded shares of the queries' grams that each text has; -inf where it has none."""
+    known, matrix, sizes = block
+    held = np.zeros((len(texts), len(known)), np.float32)
+    for d, text in enumerate(texts):
+        found = grams_of(text)
+        at = np.searchsorted(known, found)
+        at, found = at[at < len(known)], found[at < len(known)]
+        held[d, at[known[at] == found]] = 1
+    shared = (held @ matrix).astype(float)
+    return np.where(shared > 0, rounded(shared / sizes), -np.inf)
+
+
+def overlap(queries: DataFrame, docs: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, doc_id, score): the share of the query's 2-grams that the document has, of pairs
+    that share one (at or above ``least``), or, with ``k``, of at least each query's best k."""
+    asked = stated(queries)
+    sent = docs.sparkSession.sparkContext.broadcast(asked)  # bounded by MOST_QUERIES
+    return scored(docs, [q for q, _ in asked], lambda: _gram_blocks(sent.value), _overlaps, k, least)
 
 
 def _blocks(df: DataFrame, rows: int) -> DataFrame:
@@ -123,16 +285,43 @@ def max_normalised(scores: DataFrame) -> DataFrame:
 def gated(queries: DataFrame, docs: DataFrame, tactic: list[str], distress: list[str], k: int, bonus: float = 0.15, narrow: int = 4) -> DataFrame:
     """Search for queries with a tactic or distress term only. Documents that share a tactic term
     with the query are searched alone where there are at least ``narrow * k`` of them; each shared
-    term's part of the bonus is added; scores of 0 are dropped after the cut."""
-    asked = queries.withColumn("q_terms", T.hits(F.col("query"), tactic)).filter((F.size("q_terms") > 0) | T.any_term(F.col("query"), distress))
-    held = docs.withColumn("d_terms", T.hits(F.col("text"), tactic))
-    base = overlap(asked, docs).join(asked.select("query_id", "q_terms"), "query_id").join(held.select("doc_id", "d_terms"), "doc_id")
-    shared = F.size(F.array_intersect("q_terms", "d_terms"))
-    n = F.size("q_terms")
-    marked = base.withColumn("hit", (shared > 0) & (n > 0)).withColumn("n_hit", F.count_if("hit").over(Window.partitionBy("query_id")))
-    kept = marked.filter((F.col("n_hit") < narrow * k) | F.col("hit"))
-    extra = F.when(n > 0, bonus * shared / n).otherwise(0.0)
-    return ranked(kept.withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + extra), 6)), k).filter("score > 0").select("query_id", "doc_id", "score", "rank")
+    term's part of the bonus is added; scores of 0 are dropped after the cut.
+
+    Each task gives the best k of both pools and how many of its documents are in the narrow one; the
+    sum of these counts decides which pool a query's hits come from."""
+    tactic = [t for t in tactic if t]
+    gate = queries.filter((F.size(T.hits(F.col("query"), tactic)) > 0) | T.any_term(F.col("query"), distress))
+    asked = stated(gate)
+    sent = docs.sparkSession.sparkContext.broadcast(asked)  # bounded by MOST_QUERIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([q for q, _ in sent.value], np.int64)
+        said = np.array([[t in text for t in tactic] for _, text in sent.value], float).reshape(len(names), len(tactic))
+        blocks = _gram_blocks(sent.value)
+        pools = [(Best(len(names), k), Best(len(names), k))] if len(names) else []
+        counts = np.zeros(len(names), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(names) else 0, 512):
+                part = batch.slice(start, 512)
+                ids, texts = np.asarray(part.column(0), np.int64), part.column(1).to_pylist()
+                base = np.concatenate([_overlaps(block, texts) for block in blocks], axis=1)
+                held = np.array([[t in (text or "") for t in tactic] for text in texts], float).reshape(len(texts), len(tactic))
+                shared = held @ said.T
+                score = np.where(base > -np.inf, rounded(np.minimum(1.0, base + bonus * shared / np.maximum(1, said.sum(axis=1)))), -np.inf)
+                inside = (shared > 0) & (base > -np.inf)
+                counts += inside.sum(axis=0)
+                pools[0][0].add(ids, score)
+                pools[0][1].add(ids, np.where(inside, score, -np.inf))
+        for wide, slim in pools:
+            for pool, best in enumerate((wide, slim)):
+                rows = best.rows(names)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([pool] * rows.num_rows, pa.int32()), pa.array([0] * rows.num_rows, pa.int64())], names=["query_id", "doc_id", "score", "pool", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([None] * len(names), pa.int64()), pa.array([None] * len(names), pa.float64()), pa.array([None] * len(names), pa.int32()), pa.array(counts)], names=["query_id", "doc_id", "score", "pool", "n"])
+
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PAIRS + ", pool int, n long")
+    total = F.sum("n").over(Window.partitionBy("query_id"))
+    chosen = found.withColumn("total", total).filter(F.col("pool") == F.when(F.col("total") >= narrow * k, 1).otherwise(0))
+    return ranked(chosen.select("query_id", "doc_id", "score"), k).filter("score > 0").select("query_id", "doc_id", "score", "rank")
 
 
 def diversified(scores: DataFrame, docs: DataFrame, k: int, least: float, filtered: bool = False) -> DataFrame:

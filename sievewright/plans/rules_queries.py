@@ -225,7 +225,7 @@ def per_label_prf(spark, sf_dir):
     return E.per_label(judged(spark, sf_dir), "y", "p")
 
 
-@query(f"WITH {_PL} SELECT round(avg(round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6)) FILTER (support > 0), 5) AS macro_f1, (SELECT round(avg((y = p)::INT), 6) FROM j) AS accuracy FROM pl")
+@query(f"WITH {_PL} SELECT round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)) FILTER (support > 0), 5) AS macro_f1, (SELECT round(avg((y = p)::INT), 6) FROM j) AS accuracy FROM pl")
 def macro_f1(spark, sf_dir):
     return E.macro_f1(judged(spark, sf_dir), "y", "p")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import masking as M
 from sievewright.functions import text as T
+from sievewright.operators import metrics
 from sievewright.operators import search as S
 from sievewright.plans import vocab as V
 from sievewright.plans.registry import query
@@ -37,17 +38,19 @@ def items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def bm25(spark, sf_dir):
-    return S.bm25(items(spark, sf_dir), docs(spark, sf_dir))
+def bm25(spark, sf_dir, k=None):
+    ship(spark)
+    return S.bm25(items(spark, sf_dir), docs(spark, sf_dir), k)
 
 
-def overlap(spark, sf_dir):
-    return S.overlap(items(spark, sf_dir), docs(spark, sf_dir))
+def overlap(spark, sf_dir, k=None, least=None):
+    ship(spark)
+    return S.overlap(items(spark, sf_dir), docs(spark, sf_dir), k, least)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bmr WHERE rank <= 5")
 def bm25_search(spark, sf_dir):
-    return S.ranked(bm25(spark, sf_dir), 5)
+    return S.ranked(bm25(spark, sf_dir, 5), 5)
 
 
 def flagship(spark, sf_dir):
@@ -65,7 +68,7 @@ def hydrate_hits(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS normalised FROM bmr WHERE rank <= 50")
 def bm25_normalised(spark, sf_dir):
-    return S.max_normalised(S.ranked(bm25(spark, sf_dir), 50))
+    return S.max_normalised(S.ranked(bm25(spark, sf_dir, 50), 50))
 
 
 @query(f"WITH {BM25} SELECT doc_id, term, tf FROM tf")
@@ -80,12 +83,12 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH {OVERLAP} SELECT query_id, doc_id, score, rank FROM ovr WHERE rank <= 5 AND score > 0")
 def overlap_search(spark, sf_dir):
-    return S.ranked(overlap(spark, sf_dir), 5).filter("score > 0")
+    return S.ranked(overlap(spark, sf_dir, 5), 5).filter("score > 0")
 
 
 @query(f"WITH {OVERLAP} SELECT query_id, doc_id, score, rank FROM ovr WHERE rank <= 20")
 def topk_search(spark, sf_dir):
-    return S.ranked(overlap(spark, sf_dir), 20)
+    return S.ranked(overlap(spark, sf_dir, 20), 20)
 
 
 def vectors(spark, sf_dir):
@@ -115,7 +118,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def _arms(spark, sf_dir):
-    return S.ranked(bm25(spark, sf_dir), S.POOL), S.ranked(overlap(spark, sf_dir), S.POOL)
+    return S.ranked(bm25(spark, sf_dir, S.POOL), S.POOL), S.ranked(overlap(spark, sf_dir, S.POOL), S.POOL)
 
 
 @query(f"WITH {BM25}, {OVERLAP}, {_fuse('2.0::DOUBLE|1.0::DOUBLE|10')} SELECT query_id, doc_id, score, rank, round(1 - (rank - 1) / n::DOUBLE, 6) AS display FROM fr")
@@ -141,6 +144,7 @@ gn AS (SELECT *, count(*) FILTER (s > 0 AND n > 0) OVER (PARTITION BY query_id)
 gr AS (SELECT query_id, doc_id, round(least(1.0, score + CASE WHEN n > 0 THEN 0.15::DOUBLE * s / n ELSE 0 END), 6) AS score FROM gn WHERE c < 20 OR (s > 0 AND n > 0))
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM gr QUALIFY rank <= 5 AND score > 0""")
 def gated_search(spark, sf_dir):
+    ship(spark)
     return S.gated(items(spark, sf_dir), docs(spark, sf_dir), list(V.TACTIC), list(V.DISTRESS), 5)
 
 
@@ -149,33 +153,52 @@ _DIV = """dv AS (SELECT query_id, doc_id, score, lang AS label, row_number() OVE
 
 @query(f"WITH {OVERLAP}, {_DIV.format(0.6)} SELECT query_id, doc_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dv WHERE best = 1 QUALIFY rank <= 3")
 def diversified_search(spark, sf_dir):
-    return S.diversified(overlap(spark, sf_dir), docs(spark, sf_dir), 3, 0.6).drop("best")
+    return S.diversified(overlap(spark, sf_dir, least=0.6), docs(spark, sf_dir), 3, 0.6).drop("best")
 
 
 @query(f"WITH {OVERLAP} SELECT query_id, doc_id, score, rank FROM ovr WHERE score >= 0.6 AND rank <= 10")
 def threshold_search(spark, sf_dir):
-    return S.ranked(overlap(spark, sf_dir), 10).filter("score >= 0.6")
+    return S.ranked(overlap(spark, sf_dir, 10), 10).filter("score >= 0.6")
 
 
 @query(f"""WITH {BM25}, {OVERLAP}, hi AS (SELECT query_id, doc_id, score, rank FROM ovr WHERE rank <= 5 AND score >= 0.97), un AS (SELECT *, 0 AS tier FROM hi UNION ALL SELECT query_id, doc_id, score, rank, 1 FROM bmr WHERE rank <= 5)
 SELECT query_id, doc_id, score, rank, tier, tier > 0 AS degraded FROM un QUALIFY tier = min(tier) OVER (PARTITION BY query_id)""")
 def tiered_search(spark, sf_dir):
-    first = S.ranked(overlap(spark, sf_dir), 5).filter("score >= 0.97")
-    return S.tiered([first, S.ranked(bm25(spark, sf_dir), 5)])
+    first = S.ranked(overlap(spark, sf_dir, 5), 5).filter("score >= 0.97")
+    return S.tiered([first, S.ranked(bm25(spark, sf_dir, 5), 5)])
 
 
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def gold(spark, sf_dir):
-    """Documents that hold an item's passage whole. Every pair is found among the documents that
-    share the item's first shingle of words, so the join is on equal keys."""
-    words = lambda c: F.split(F.trim(c), r"\s+")
-    key = lambda w, i: F.array_join(F.slice(w, i, 4), " ")
-    b = items(spark, sf_dir).withColumn("w", words(F.col("query"))).select("query_id", "query", key(F.col("w"), F.lit(2)).alias("key"))
-    d = docs(spark, sf_dir).withColumn("w", words(F.col("text"))).filter("size(w) >= 5")
-    keys = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("key"))
-    return keys.join(b, "key").filter(F.contains("text", "query")).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id) of the documents that hold an item's passage whole. One pass over the
+    documents: each task looks for all items of the stated set, whose texts it has."""
+    import ahocorasick
+    import pyarrow as pa
+
+    ship(spark)
+    sent = spark.sparkContext.broadcast(S.stated(items(spark, sf_dir)))
+
+    def run(batches):
+        by_text = {}
+        for q, text in sent.value:
+            by_text.setdefault(text, []).append(q)
+        everywhere = by_text.pop("", [])
+        found = ahocorasick.Automaton()
+        for text, names in by_text.items():
+            found.add_word(text, names)
+        if by_text:
+            found.make_automaton()
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is not None:
+                    held = {q for _, names in found.iter(text) for q in names} if by_text else set()
+                    rows += [(q, doc) for q in sorted(held | set(everywhere))]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.int64())], names=["query_id", "doc_id"])
+
+    return docs(spark, sf_dir).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "query_id long, doc_id long")
 
 
 @query(f"""WITH {BM25}, {_GOLD}, top AS (SELECT query_id, doc_id FROM bmr WHERE rank <= 5)
@@ -194,11 +217,11 @@ def judging_order(spark, sf_dir):
     return bm25_search(spark, sf_dir).select("query_id", "doc_id", F.row_number().over(w).alias("place"))
 
 
-def runs(spark, sf_dir, ranked):
-    """(query_id, retrieved, relevant) of the items that have relevant documents."""
-    got = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
-    rel = gold(spark, sf_dir).groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))
-    return rel.join(got, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<long>")))
+def first_hits(spark, sf_dir, ranked):
+    """(query_id, r) of the items that have relevant documents: the rank of the first hit, or null."""
+    g = gold(spark, sf_dir)
+    hits = ranked.join(g, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("r"))
+    return g.select("query_id").distinct().join(hits, "query_id", "left")
 
 
 _HIT = "SELECT query_id, min(rank) AS r FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN (SELECT query_id, rank FROM {0} JOIN gold USING (query_id, doc_id)) h USING (query_id) GROUP BY query_id"
@@ -206,25 +229,21 @@ _HIT = "SELECT query_id, min(rank) AS r FROM (SELECT DISTINCT query_id FROM gold
 
 @query(f"WITH {BM25}, {_GOLD}, h AS ({_HIT.format('bmr')}) SELECT round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM h")
 def recall_at_k(spark, sf_dir):
-    from sievewright.operators import metrics
-
-    return metrics.hit_rate_at_k(runs(spark, sf_dir, S.ranked(bm25(spark, sf_dir), 10)))
+    return metrics.hit_rate(first_hits(spark, sf_dir, S.ranked(bm25(spark, sf_dir, 10), 10)), 5)
 
 
 @query(f"WITH {BM25}, {_GOLD}, h AS ({_HIT.format('bmr')}) SELECT round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr FROM h")
 def mrr_at_k(spark, sf_dir):
-    from sievewright.operators import metrics
-
-    return metrics.mrr_at_k(runs(spark, sf_dir, S.ranked(bm25(spark, sf_dir), 10)))
+    return metrics.mean_reciprocal(first_hits(spark, sf_dir, S.ranked(bm25(spark, sf_dir, 10), 10)), 10)
 
 
 @query(f"""WITH {BM25}, {OVERLAP}, {_GOLD}, hb AS ({_HIT.format('bmr')}), ho AS ({_HIT.format('ovr')}), al AS (SELECT 'bm25' AS arm, r FROM hb UNION ALL SELECT 'overlap', r FROM ho)
 SELECT arm, round(avg((coalesce(r, 99999) <= 1)::INT), 6) AS top1, round(avg((coalesce(r, 99999) <= 5)::INT), 6) AS r5, round(avg((coalesce(r, 99999) <= 10)::INT), 6) AS r10 FROM al GROUP BY arm""")
 def arm_comparison(spark, sf_dir):
     out = None
-    for arm, scores in (("bm25", bm25(spark, sf_dir)), ("overlap", overlap(spark, sf_dir))):
-        r = runs(spark, sf_dir, S.ranked(scores, 10))
-        at = lambda k: F.round(F.avg(F.arrays_overlap(F.slice("retrieved", 1, k), "relevant").cast("double")), 6)
+    for arm, scores in (("bm25", bm25(spark, sf_dir, 10)), ("overlap", overlap(spark, sf_dir, 10))):
+        r = first_hits(spark, sf_dir, S.ranked(scores, 10))
+        at = lambda k: F.round(F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("double")), 6)
         one = r.agg(at(1).alias("top1"), at(5).alias("r5"), at(10).alias("r10")).withColumn("arm", F.lit(arm))
         out = one if out is None else out.unionByName(one)
     return out
