@@ -11,14 +11,23 @@ range of (conversation, turn), each partition reports the product of its first a
 conversation's matrices (two rows a partition, whatever the data), and each then repairs its own
 stretch between the states that the combination fixes. No conversation has to fit in one task.
 
+Between equally cheap repairs, that one wins whose last turn has the role that comes first in the
+order system, user, assistant; among these the one whose last turn but one has; and so on. For that
+the matrices also carry, for every last state, the order of the first states by their best runs in
+that sense, so the repair is one and the same however the rows are partitioned.
+
 Defined results: a null text counts as empty; a null or unknown role can become any role at a lower
 cost; null turn numbers come first; turns of equal number are ordered by role, then text, and stay
-separate turns; rows with a null conversation id form one conversation; between equally cheap
-repairs the first in the order keep, relabel, merge wins. Other columns play no part.
+separate turns; rows that repeat all four are turns each and may lie in different partitions; rows
+with a null conversation id form one conversation, apart from that of a text "None"; texts of any
+length are read whole; control tokens in a text are escaped by a backslash, so that no text opens or
+closes a turn; an empty table gives no rows. Ids and turns may have any type that sorts. Other
+columns play no part.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievewright.llm.common import narrow
 from sievewright.session import cut
@@ -84,12 +94,31 @@ CLOSING = np.array([0.0, 2 * INSERT, INSERT, 0.0])
 _ENDS: dict[int, tuple[int, ...]] = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 
 
-def product(roles: list[int]) -> np.ndarray:
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """Places of the entries of each column, from 0."""
+    return keys.argsort(axis=0, kind="stable").argsort(axis=0, kind="stable")
+
+
+Stretch = tuple[np.ndarray, np.ndarray]  #: costs, and for each last state the order of first states
+
+
+def product(roles: list[int]) -> Stretch:
     """(min, +) product of the turns' matrices: cheapest cost from any state to any other."""
     total = np.where(np.eye(4, dtype=bool), 0.0, np.inf)
+    order = np.tile(np.arange(4)[:, None], (1, 4))
     for role in roles:
-        total = (total[:, :, None] + COSTS[role][None, :, :]).min(axis=1)
-    return total
+        options = total[:, :, None] + COSTS[role][None, :, :]
+        via = options.argmin(axis=1)  # of equal costs, the least state before the turn
+        total = options.min(axis=1)
+        order = order_of(4 * via + order[np.arange(4)[:, None], via])
+    return total, order
+
+
+def entry(costs: np.ndarray, stretch: Stretch, last: int) -> int:
+    """The state before a stretch on the best run to its last state."""
+    total = costs + stretch[0][:, last]
+    best = np.flatnonzero(total == total.min())
+    return int(best[stretch[1][best, last].argmin()])
 
 
 def repair(roles: list[int], enter: np.ndarray, leave: int | None) -> tuple[list[tuple[int, int, str, tuple[int, ...]]], float, int]:
@@ -111,8 +140,20 @@ def repair(roles: list[int], enter: np.ndarray, leave: int | None) -> tuple[list
     return path[::-1], total, last
 
 
+_CONTROL = re.compile(r"<(\\*\|im_(?:start|end)\|>)")
+
+
+def escaped(text: str | None) -> str:
+    """The text with a backslash (one more, where there are some) in each control token."""
+    return _CONTROL.sub(r"<\\\1", text or "")
+
+
 def _render(role: int, text: str | None, opens: bool) -> str:
-    return (f"<|im_end|>\n<|im_start|>{ROLES[role - 1]}\n" if opens else "\n") + (text or "")
+    return (f"<|im_end|>\n<|im_start|>{ROLES[role - 1]}\n" if opens else "\n") + escaped(text)
+
+
+def _same(a: object, b: object) -> bool:
+    return a == b or (a != a and b != b)  # NaN is a name too
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
@@ -120,7 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tupl
     name, rows, begun = None, [], False
     for batch in batches:
         for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns[:4])):
-            if begun and conv != name:
+            if begun and not _same(conv, name):
                 yield name, rows
                 rows = []
             name, begun = conv, True
@@ -137,9 +178,11 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     code = F.lit(UNKNOWN)
     for k, role in enumerate(ROLES, 1):
         code = F.when(F.lower("role") == role, k).otherwise(code)
-    dealt = given.select("conv_id", "turn", code.alias("code"), "text").repartitionByRange(*([partitions] if partitions else []), "conv_id", "turn", "code", "text")
-    dealt = cut(dealt.sortWithinPartitions("conv_id", "turn", "code", "text"))
+    # Rows that repeat all else differ in their salt, so that they need not lie in one partition.
+    dealt = given.select("conv_id", "turn", code.alias("code"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("salt")).repartitionByRange(*([partitions] if partitions else []), "conv_id", "turn", "code", "text", "salt")
+    dealt = cut(dealt.sortWithinPartitions("conv_id", "turn", "code", "text", "salt").drop("salt"))
     conv_kind, turn_kind = (dealt.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    types = [to_arrow_type(dealt.schema[c].dataType) for c in ("conv_id", "turn")]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last, n = None, None, 0
@@ -149,13 +192,14 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             n += 1
         if first is not None:
             ends = [(first, 0)] if n == 1 else [(first, 0), (last, 1)]
+            products = [product(e[1]) for e, _ in ends]
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([TaskContext.get().partitionId()] * len(ends), pa.int32()), "side": pa.array([s for _, s in ends], pa.int32()),
-                "conv_id": pa.array([str(e[0]) for e, _ in ends], pa.string()), "m": pa.array([product(e[1]).ravel().tolist() for e, _ in ends], pa.list_(pa.float64())), "only": pa.array([n == 1] * len(ends), pa.bool_()),
+                "conv_id": pa.array([e[0] for e, _ in ends], types[0]), "m": pa.array([m.ravel().tolist() for m, _ in products], pa.list_(pa.float64())), "o": pa.array([o.ravel().tolist() for _, o in products], pa.list_(pa.int64())), "only": pa.array([n == 1] * len(ends), pa.bool_()),
             })
 
-    found = dealt.mapInArrow(edges, "part int, side int, conv_id string, m array<double>, only boolean").orderBy("part", "side").collect()
-    plan = turns.sparkSession.sparkContext.broadcast(_plan([(r["part"], r["side"], r["conv_id"], np.array(r["m"]).reshape(4, 4), r["only"]) for r in found]))
+    found = dealt.mapInArrow(edges, f"part int, side int, conv_id {conv_kind}, m array<double>, o array<long>, only boolean").orderBy("part", "side").collect()
+    plan = turns.sparkSession.sparkContext.broadcast(_plan([(r["part"], r["side"], r["conv_id"], (np.array(r["m"]).reshape(4, 4), np.array(r["o"]).reshape(4, 4)), r["only"]) for r in found]))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -168,33 +212,33 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
                 out += _written(part, before, fresh if before[2] else None, fixed, last=False)
             before = (name, rows, k > 0)
             if len(out) > 20_000:
-                yield _batch(out, conv_kind, turn_kind)
+                yield _batch(out, *types)
                 out = []
         if before is not None:
             out += _written(part, before, fresh if before[2] else None, fixed, last=True)
         if out:
-            yield _batch(out, conv_kind, turn_kind)
+            yield _batch(out, *types)
 
     schema = f"conv_id {conv_kind}, part int, pos long, turn {turn_kind}, role string, action string, new_role string, fragment string"
     return dealt.mapInArrow(solve, schema)
 
 
-def _plan(found: list[tuple[int, int, str, np.ndarray, bool]]) -> dict[int, dict[str, tuple[np.ndarray, int | None]]]:
+def _plan(found: list[tuple[int, int, object, Stretch, bool]]) -> dict[int, dict[str, tuple[np.ndarray, int | None]]]:
     """For the first and last conversation of each partition: entry costs and exit state (None: the
     conversation ends there), from the products of the stretches that one conversation has."""
     out: dict[int, dict[str, tuple[np.ndarray, int | None]]] = {}
-    chain: list[tuple[int, int, np.ndarray]] = []
+    chain: list[tuple[int, int, Stretch]] = []
     fresh = np.array([0.0, np.inf, np.inf, np.inf])
 
     def close() -> None:
         entries, costs = [], fresh
         for _, _, m in chain:
             entries.append(costs)
-            costs = (costs[:, None] + m).min(axis=0)
+            costs = (costs[:, None] + m[0]).min(axis=0)
         leave = None
         for (part, side, m), enter in zip(reversed(chain), reversed(entries)):
             state = int((costs + CLOSING).argmin()) if leave is None else leave
-            came = int((enter + m[:, state]).argmin())
+            came = entry(enter, m, state)
             fixed = np.full(4, np.inf)
             fixed[came] = 0.0
             out.setdefault(part, {})["first" if side == 0 else "last"] = fixed, (None if leave is None else leave)
@@ -202,7 +246,7 @@ def _plan(found: list[tuple[int, int, str, np.ndarray, bool]]) -> dict[int, dict
 
     name = None
     for part, side, conv, m, _ in found:
-        if chain and conv != name:
+        if chain and not _same(conv, name):
             close()
             chain = []
         name = conv
@@ -233,8 +277,7 @@ def _written(part: int, run: tuple, fresh: np.ndarray | None, fixed: dict, last:
     return out
 
 
-def _batch(rows: list[tuple], conv_kind: str, turn_kind: str) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [kinds[conv_kind], pa.int32(), pa.int64(), kinds[turn_kind], *[pa.string()] * 4]
+def _batch(rows: list[tuple], conv_type: pa.DataType, turn_type: pa.DataType) -> pa.RecordBatch:
+    types = [conv_type, pa.int32(), pa.int64(), turn_type, *[pa.string()] * 4]
     names = ["conv_id", "part", "pos", "turn", "role", "action", "new_role", "fragment"]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
