@@ -4,18 +4,22 @@ Base spans (email, ip, card, phone) are found in the text as it stands. Where a
 disguise, three transducers rewrite it in turn: homoglyphs and invisible characters; spelled digits;
 at / dot disguises. Each keeps, for every character of its output, the span of source characters
 it stands for. The same detectors run on the text after each step, and also with at / dot disguises
-rewritten but spelled digits left; what they find is mapped back to the source. Base spans always stay; an added span is one that no base span of its kind contains, so
-the whole of an address is added where the base rules see a fragment of it.
+rewritten but spelled digits left; what they find is mapped back to the source. Base spans always
+stay; an added span is one that no base span of its kind contains, so
+the whole of an address is added where the base rules see a fragment of it. Digits, at, dot and plus
+are read in English, French, German and Spanish.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points of the
-source, end exclusive; equal spans count once; repeated rows get the same result; texts of any
-length are read whole, in linear time. Other columns play no part.
+source, end exclusive; equal spans count once, and spans with one start go by kind as listed;
+repeated rows get the same result; texts of any length are read whole, in linear time; an empty
+table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -88,45 +92,60 @@ _LOOKALIKES = {
     "Z": "Ζ", "-": "‐‑‒–−﹣", ".": "․。｡·", "@": "﹫", "+": "﹢",
 }
 _INVISIBLE = "­​‌‍⁠﻿"
-_SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits by name in English, French, German and Spanish, in order of the digit.
+_DIGIT_NAMES = {
+    "en": "zero one two three four five six seven eight nine",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+_MORE_NAMES = {"oh": "0", "zwo": "2", "fuenf": "5"}
+# What stands for @, a dot and + when said.
+_AT_NAMES = ("at", "arobase", "arroba", "klammeraffe")
+_DOT_NAMES = ("dot", "point", "punkt", "punto")
+_PLUS_NAMES = ("plus", "más")
 # End of fixed values.
+_SPELLED = {name: str(k) for names in _DIGIT_NAMES.values() for k, name in enumerate(names.split())} | _MORE_NAMES
+_AT_SAID, _DOT_SAID = (f"(?:{'|'.join(names)})" for names in (_AT_NAMES, _DOT_NAMES))
 
 
 def _homoglyph_table() -> dict[int, str]:
     table = {ord(c): plain for plain, alike in _LOOKALIKES.items() for c in alike}
     table |= {0xFEE0 + k: chr(k) for k in range(0x21, 0x7F)}  # full-width forms
     table |= {zero + d: str(d) for zero in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
+    # Mathematical letters, that is all characters of that block that normalise to an ASCII letter.
+    table |= {k: plain for k in range(0x1D400, 0x1D6A8) if len(plain := unicodedata.normalize("NFKC", chr(k))) == 1 and plain.isascii()}
     table |= {ord(c): "" for c in _INVISIBLE}
     return table | {0x00A0: " ", 0x3000: " "}
 
 
 _HOMOGLYPHS = _homoglyph_table()
 _ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_HOMOGLYPHS)) + "]")
-_DIGIT_WORD = rf"(?:{'|'.join(_SPELLED)})"
-_SPELLED_DIGIT = re.compile(rf"(?i)(?<![A-Za-z]){_DIGIT_WORD}+(?![A-Za-z])")
-_DIGIT_TOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?P<words>{_DIGIT_WORD}+)(?![A-Za-z])|[0-9]+")
+_DIGIT_WORD = rf"(?:{'|'.join(sorted(_SPELLED, key=lambda w: (-len(w), w)))})"
+_SPELLED_DIGIT = re.compile(rf"(?i)(?<![^\W\d_]){_DIGIT_WORD}+(?![^\W\d_])")
+_DIGIT_TOKEN = re.compile(rf"(?i)(?<![^\W\d_])(?P<words>{_DIGIT_WORD}+)(?![^\W\d_])|[0-9]+")
 _ONE_WORD = re.compile(rf"(?i){_DIGIT_WORD}")
 _JOINT = re.compile(r"[\s,.-]*+")
-_BETWEEN = re.compile(r"(?i)(?:[\s,.()\[\]{}<>-]|dot(?![A-Za-z]))*+")
-_PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
+_BETWEEN = re.compile(rf"(?i)(?:[\s,.()\[\]{{}}<>-]|{_DOT_SAID}(?![A-Za-z]))*+")
+_PLUS = re.compile(rf"(?i)\b(?:{'|'.join(_PLUS_NAMES)})\s+(?=[0-9])|(?<=\+)\s+(?=[0-9])")
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
-_AT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}| +at +")
-_DOT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +")
+_AT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:{_AT_SAID}|@){_CLOSE}\s{{0,3}}| +{_AT_SAID} +")
+_DOT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:{_DOT_SAID}|\.){_CLOSE}\s{{0,3}}| +{_DOT_SAID} +")
 _PART = r"[A-Za-z0-9_%+-]{1,64}"
-_DOT_ALT = rf"(?:\.|\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +)"
-_AT_HARD = rf"(?:@|\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}})"
+_DOT_ALT = rf"(?:\.|\s{{0,3}}{_OPEN}(?:{_DOT_SAID}|\.){_CLOSE}\s{{0,3}}| +{_DOT_SAID} +)"
+_AT_HARD = rf"(?:@|\s{{0,3}}{_OPEN}(?:{_AT_SAID}|@){_CLOSE}\s{{0,3}})"
 _DISGUISED = re.compile(
     rf"(?i)(?<![A-Za-z0-9_%+-]){_PART}(?:{_DOT_ALT}{_PART}){{0,4}}(?:{_AT_HARD}[A-Za-z0-9-]{{1,64}}(?:{_DOT_ALT}[A-Za-z0-9-]{{1,64}}){{1,5}}"
-    rf"| +at +[A-Za-z0-9-]{{1,64}}(?:(?:\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +)[A-Za-z0-9-]{{1,64}}){{1,5}})"
+    rf"| +{_AT_SAID} +[A-Za-z0-9-]{{1,64}}(?:(?:\s{{0,3}}{_OPEN}(?:{_DOT_SAID}|\.){_CLOSE}\s{{0,3}}| +{_DOT_SAID} +)[A-Za-z0-9-]{{1,64}}){{1,5}})"
 )
 # What an address is made of: signs, plain or disguised, and the parts between them.
 _ADDRESS_TOKEN = re.compile(
-    rf"(?i)(?P<at>@|\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}})|(?P<say_at>(?<! ) +at +)|(?P<plain_dot>\.)"
-    rf"|(?P<dot>\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}|(?<! ) +dot +)|(?P<part>[A-Za-z0-9_%+-]+)"
+    rf"(?i)(?P<at>@|\s{{0,3}}{_OPEN}(?:{_AT_SAID}|@){_CLOSE}\s{{0,3}})|(?P<say_at>(?<! ) +{_AT_SAID} +)|(?P<plain_dot>\.)"
+    rf"|(?P<dot>\s{{0,3}}{_OPEN}(?:{_DOT_SAID}|\.){_CLOSE}\s{{0,3}}|(?<! ) +{_DOT_SAID} +)|(?P<part>[A-Za-z0-9_%+-]+)"
 )
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_EMAIL_SIGN = re.compile(rf"(?i){_OPEN}(?:at|@|dot|\.){_CLOSE}| dot ")
-_IP_SIGN = re.compile(rf"(?i)[0-9](?:\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}| +dot +)(?=[0-9])")
+_EMAIL_SIGN = re.compile(rf"(?i){_OPEN}(?:{_AT_SAID}|@|{_DOT_SAID}|\.){_CLOSE}| {_DOT_SAID} ")
+_IP_SIGN = re.compile(rf"(?i)[0-9](?:\s{{0,3}}{_OPEN}(?:{_DOT_SAID}|\.){_CLOSE}\s{{0,3}}| +{_DOT_SAID} +)(?=[0-9])")
 
 
 class Rewritten:
@@ -185,7 +204,7 @@ def _plain_digits(now: Rewritten) -> Rewritten:
             if end > start and _JOINT.fullmatch(now.text, start, end):
                 edits.append((start, end, now.text[start:end].strip().strip(",").strip()))
     done = now.replace(edits)
-    return done.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(done.text)]) if edits else done
+    return done.replace([(m.start(), m.end(), "" if m[0].isspace() else "+") for m in _PLUS.finditer(done.text)]) if edits else done
 
 
 def _plain_signs(now: Rewritten) -> Rewritten:
