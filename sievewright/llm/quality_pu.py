@@ -1,15 +1,18 @@
 """Quality classification by positive-unlabelled learning with a non-negative unbiased risk.
 
 Trusted positives (label 1) and unlabelled web text (all documents) train a small network on text
-measurements. The risk of the unlabelled part, less the positives' share, is kept from going
-negative; the class prior is estimated from the labelled rows outside the held-out fold, or, where
-only positives are labelled, by the best-bin ratio. A last monotone step maps the network's
-output to the share of positives, again by the labels of that fold. Both samples are bounded by
-parameters; scoring reads every whole text, map-only.
+measurements. The risk of the unlabelled part, less the
+positives' share, is kept from going negative. The class prior is estimated without negatives: a
+first network learns from half of the positives, and the least ratio of the unlabelled to the other
+half's share above a cut-off is the prior (a cut-off that few positives pass is no evidence). Where
+rows are labelled 0, a last monotone step maps the network's output to the share of positives among
+the labelled rows of the learning fold; else the output is its own logistic share. Both samples are
+bounded by parameters; scoring reads every whole text, map-only.
 
 Defined results: a null or empty text is scored on its (zero) measurements; repeated rows get equal
-scores; repeated or conflicting labels of one id count once each; without positives every score is
-the prior; texts of any length are read whole. Other columns play no part.
+scores; a label that repeats for one id counts once, conflicting ones count once each; without
+positives or unlabelled text every score is 0.5; texts of any length are read whole; an empty table
+gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from sievewright.llm.common import held_out, narrow
 
 POSITIVES, NEGATIVES, UNLABELLED = 6000, 6000, 12_000  #: sample bounds, about
 THRESHOLD = 0.7
-HIDDEN, EPOCHS, RATE = 24, 400, 0.02
+HIDDEN, EPOCHS, RATE = 24, 300, 0.02
 
 _CLASS = np.zeros(256, np.int64)  #: byte class: 1 upper, 2 lower, 3 digit, 4 symbol, 5 mark, 6 stop, 7 white, 8 beyond ASCII
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&|<>@~^=_{}[]\\/", b"!?", b".,;:", b" \t\n\r\x0b\f", bytes(range(128, 256))), 1):
@@ -45,11 +48,11 @@ def measure(text: str | None) -> list[float]:
         np.log1p(n), np.log1p(n) ** 2 / 10, len(raw) / m / 10, *kinds.tolist(),
         len(set(found)) / m, 1 - len(set(zip(found, found[1:], found[2:]))) / grams if n > 2 else 0.0,
         1 - len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)) / 5, n / max(1, len(lines)) / 100,
-        float(n < 20), text.count(" | ") / m, text.count("!!") / m, max(map(len, found), default=0) / 50,
+        float(n < 20), max(map(len, found), default=0) / 50,
     ]
 
 
-def _measured(docs: DataFrame, extra: str = "") -> DataFrame:
+def _measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measure(x.as_py()) for x in batch.column(0)]
@@ -72,6 +75,7 @@ class Model:
         self.w1 = rng.normal(0, width**-0.5, (width, HIDDEN))
         self.b1, self.w2, self.b2 = np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0
         self.knots = (np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
+        self.prior = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         hidden = np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.w1 + self.b1)
@@ -114,11 +118,24 @@ def nn_pu(model: Model, pos: np.ndarray, unl: np.ndarray, prior: float, epochs:
 
 
 def best_bin_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The least ratio of the unlabelled to the positive share above a cut-off bounds the prior."""
-    cuts = np.quantile(pos, np.linspace(0.0, 0.9, 19))
+    """The least ratio of the unlabelled to the positive share above a cut-off bounds the prior. The
+    positives are other ones than those that the scores were fitted on; only cut-offs that at least a
+    fifth of them pass count."""
+    cuts = np.quantile(pos, np.linspace(0.0, 0.8, 17))
     return float(min((unl >= c).mean() / (pos >= c).mean() for c in cuts))
 
 
+def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The class prior from positives and unlabelled rows: the mean of two halves' estimates."""
+    if len(pos) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        first = nn_pu(Model(pos.shape[1]), pos[k::2], unl, 0.5, EPOCHS // 3)
+        found.append(best_bin_prior(first.margin(pos[1 - k :: 2]), first.margin(unl)))
+    return float(np.clip(np.mean(found), 0.05, 0.95))
+
+
 def isotonic(g: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators fit of y on g, as knots for interpolation."""
     order = np.argsort(g, kind="stable")
@@ -139,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on bounded samples of rows outside the held-out fold."""
     given = narrow(docs, doc_id=id_col, text=text_col).filter(~held_out(F.col("doc_id")))
     marks = narrow(labels, doc_id=id_col, label=label_col).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    marks = marks.distinct()
     known = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     total = given.count()
     rate = F.when(F.col("label") == 1, min(1.0, POSITIVES / max(1, known.get(1, 0)))).otherwise(min(1.0, NEGATIVES / max(1, known.get(0, 0))))
@@ -155,12 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (y == 1).any() or not len(u):
         model.w2 *= 0
         return model
-    if known.get(0):
-        prior = known.get(1, 0) / (known.get(1, 0) + known[0])
-    else:
-        first = nn_pu(Model(width), x[y == 1], u, 0.5)
-        prior = best_bin_prior(first.margin(x[y == 1]), first.margin(u))
-    nn_pu(model, x[y == 1], u, float(np.clip(prior, 0.05, 0.95)))
+    model.prior = estimated_prior(x[y == 1], u)
+    nn_pu(model, x[y == 1], u, model.prior)
     if (y == 0).any():
         weight = np.where(y == 1, known[1] / max(1, (y == 1).sum()), known[0] / max(1, (y == 0).sum()))
         model.knots = isotonic(model.margin(x), y, weight)
