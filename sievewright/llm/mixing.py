@@ -7,7 +7,8 @@ are counted, never materialised.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of
 its own, sorted last; null ids sort with their own seed value; rows that repeat id, source and size
-are interchangeable; an empty table gives an empty result. The result does not depend on partitions
+are interchangeable (ties in a shard go by the seeded order, then size); texts of any length are
+counted whole; an empty table gives an empty result. The result does not depend on partitions
 or on the order of rows. Other columns play no part in `allot`.
 """
 
@@ -84,7 +85,11 @@ def allot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     name = F.asc_nulls_last("source")
     quotas = cut(apportion(sources, [], "target", "most_blocks", "seats", [name]).withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / shard_tokens)).cast("long")))
     facts = quotas.select(F.col("source").alias("q_source"), "source_size", "target", "shards", F.col("blocks").alias("quota"))
-    dealt = sized.join(facts, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
+    known = sized.join(facts, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
+    # Rows without words take none and stay out of the sorted windows, however many a source has: a
+    # shard's rows are then bounded by its words.
+    empty = known.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    dealt = known.filter("size > 0")
     dealt = dealt.withColumn("shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % F.col("shards"))
     parts = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("shard_size")).withColumn("most_blocks", F.floor(most * F.col("shard_size") / block))
     parts = apportion(parts, ["source"], "shard_size", "most_blocks", "quota", [F.asc("shard")]).select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), "shard_size", "blocks")
@@ -95,7 +100,7 @@ def allot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rounds = F.when(F.col("shard_size") > 0, F.floor(words_ / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     rest = words_ - rounds * F.col("shard_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")).union(empty)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
