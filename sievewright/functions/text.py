@@ -36,7 +36,7 @@ def _nfkc(s):
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normalisation; ASCII text, for which it is the identity, never leaves the JVM's values."""
+    """Compatibility normalisation, in Arrow batches; ASCII text, for which it is the identity, is passed on as it is."""
     return _nfkc(c)
 
 

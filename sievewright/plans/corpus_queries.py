@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import masking as M
@@ -13,6 +15,9 @@ from sievewright.plans.registry import query
 from sievewright.session import ship, table
 
 
+CLEAN = r"trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))"
+
+
 def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -22,6 +27,31 @@ def terms_sql(column: str, terms, low: bool = False) -> str:
     return "(" + " OR ".join(f"contains({hay}, '{(t.lower() if low else t)}')" for t in terms) + ")"
 
 
+def mask_sql(column: str) -> str:
+    """The masking rules for a regex engine without look-around: what must not touch a match is
+    matched, kept, and looked at twice, so that neighbours can share it."""
+    out = column
+    for _, pattern, placeholder in (*M.RULES, M.LONG_RUN):
+        p = pattern.replace(r"[\w.+-]", r"[\p{L}\p{N}_.+-]").replace(r"[\w-]", r"[\p{L}\p{N}_-]").replace(r"[\w.-]", r"[\p{L}\p{N}_.-]")
+        before = after = ""
+        for look, kept in ((r"(?<!\d)", "(^|[^0-9])"), (r"(?<![A-Za-z0-9])", "(^|[^A-Za-z0-9])")):
+            if p.startswith(look):
+                p, before = p[len(look):], kept
+        for look, kept in ((r"(?!\d)", "([^0-9]|$)"), (r"(?![0-9])", "([^0-9]|$)"), (r"(?=[，。、\s]|$)", r"([，。、\s]|$)")):
+            if p.endswith(look):
+                p, after = p[: -len(look)], kept
+        lead = re.search(r"\((?!\?)", p)
+        if lead:  # a group: what leads up to it stays
+            at = lead.start()
+            p, before = p[at:], f"({p[:at]})"
+            p = "(?:" + p[1:]
+        new = ("\\1" if before else "") + placeholder + (f"\\{1 + bool(before)}" if after else "")
+        p = before + (f"(?:{p})" if before or after else p) + after
+        for _ in range(2 if before or after else 1):
+            out = f"regexp_replace({out}, '{p}', '{new}', 'g')"
+    return out
+
+
 def facet_sql(column: str, table_: dict) -> str:
     tags = ", ".join(f"CASE WHEN {terms_sql(column, ws, True)} THEN '{v}' END" for v, ws in table_.items())
     return f"list_filter([{tags}], lambda x: x IS NOT NULL)"
@@ -98,9 +128,11 @@ def clean_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-@query("SELECT doc_id, substr(text, 1, 120) AS short, CASE WHEN length(text) > 220 THEN substr(text, 1, 220) || '…' ELSE text END AS judged FROM documents")
+@query(f"SELECT doc_id, substr(m, 1, 120) AS short, CASE WHEN length(m) > 220 THEN substr(m, 1, 220) || '…' ELSE m END AS judged FROM (SELECT doc_id, {mask_sql('text')} AS m FROM documents)")
 def excerpt(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("short"), T.excerpt(F.col("text"), 220, "…").alias("judged"))
+    """Masked as a whole, then cut."""
+    m = M.mask_native(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", T.excerpt(F.col("m")).alias("short"), T.excerpt(F.col("m"), 220, "…").alias("judged"))
 
 
 @query("SELECT page_id, array_to_string(list_filter([url, coalesce(html, ''), CASE WHEN page_id % 2 = 0 THEN ' ' ELSE 'end' END], lambda x: trim(x) <> ''), chr(10)) AS combined FROM pages")
@@ -230,11 +262,12 @@ _E = "regexp_matches(text, '(?i)license|token|thing')"
 
 
 @query(f"""SELECT count(*) AS scanned, count(*) FILTER ({_E}) AS platform, count(*) FILTER ({_E} AND lang = 'en') AS tactic, count(*) FILTER ({_E} AND lang = 'en' AND NOT regexp_matches(text, 'trash|idiot')) AS allowed,
-count(DISTINCT substr(text, 1, 120)) FILTER ({_E} AND lang = 'en' AND NOT regexp_matches(text, 'trash|idiot')) AS written FROM documents""")
+count(DISTINCT substr(nullif({CLEAN}, ''), 1, 120)) FILTER ({_E} AND lang = 'en' AND NOT regexp_matches(text, 'trash|idiot')) AS written FROM documents""")
 def subset_funnel_e(spark, sf_dir):
     t = F.col("text")
     steps = [("platform", t.rlike("(?i)license|token|thing")), ("tactic", F.col("lang") == "en"), ("allowed", ~t.rlike("trash|idiot"))]
-    return C.funnel(docs(spark, sf_dir), steps, [F.substring(t, 1, 120)], [F.col("doc_id")])
+    ship(spark)
+    return C.funnel(docs(spark, sf_dir).withColumn("clean", T.clean_text(t)), steps, [F.nullif(F.substring("clean", 1, 120), F.lit(""))], [F.col("doc_id")])
 
 
 @query("SELECT min(doc_id) AS doc_id, doc_id % 500 AS case_id FROM documents GROUP BY doc_id % 500")
@@ -249,9 +282,11 @@ def dedup_source_id(spark, sf_dir):
     return C.first_wins(d, [F.col("source"), F.col("case_id")], [F.col("doc_id")])
 
 
-@query("SELECT min(doc_id) AS doc_id, substr(text, 1, 120) AS head FROM documents GROUP BY substr(text, 1, 120)")
+@query(f"SELECT min(doc_id) AS doc_id, substr(c, 1, 120) AS head FROM (SELECT doc_id, {CLEAN} AS c FROM documents) WHERE c <> '' GROUP BY substr(c, 1, 120)")
 def dedup_prefix(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 120).alias("head"))
+    """The first document of each beginning of the cleaned text, which is that rule's key."""
+    ship(spark)
+    d = docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean")).filter("clean <> ''").select("doc_id", F.substring("clean", 1, 120).alias("head"))
     return d.groupBy("head").agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -260,10 +295,10 @@ def subset_limit(spark, sf_dir):
     return docs(spark, sf_dir).filter(F.col("text").contains("thing")).orderBy("doc_id").limit(25).select("doc_id", "source")
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[EMAIL]', 'g'), 'https?://[^\s，。、）)]+', '[URL]', 'g') AS masked FROM documents""")
+@query(f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents")
 def deid_mask(spark, sf_dir):
-    """The two rules without look-around that SQL can mirror, by the native chain."""
-    return docs(spark, sf_dir).select("doc_id", M.mask_native(F.col("text"), M.RULES[:2]).alias("masked"))
+    """All rules but those of amounts, by the native chain."""
+    return docs(spark, sf_dir).select("doc_id", M.mask_native(F.col("text")).alias("masked"))
 
 
 @query()
@@ -335,7 +370,12 @@ def extract_days(spark, sf_dir):
 @query(r"""SELECT conv_id, 'Summarise.' || chr(10) || min(text) || chr(10) || array_to_string(list_transform(list(text ORDER BY turn)[1:3], lambda t, i: i || '. ' || substr(t, 1, 120)), chr(10)) AS prompt FROM conversations GROUP BY conv_id""")
 def build_prompt(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter("turn is not null")
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 120).alias("t")))), 1, 3), lambda h, i: F.concat((i + 1).cast("string"), F.lit(". "), h["t"]))
-    return c.groupBy("conv_id").agg(F.concat_ws("\n", F.lit("Summarise."), F.min("text"), F.array_join(first, "\n")).alias("prompt"))
+    # Three turns a conversation are kept before the shuffle, so no conversation becomes one row.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    shown = c.select("conv_id", "turn", F.substring("text", 1, 120).alias("t")).withColumn("at", place).filter("at <= 3")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda h: F.concat(h["at"].cast("string"), F.lit(". "), h["t"]))
+    first = shown.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("first"))
+    least = c.groupBy("conv_id").agg(F.min("text").alias("least"))
+    return least.join(first, "conv_id").select("conv_id", F.concat_ws("\n", F.lit("Summarise."), "least", "first").alias("prompt"))
 
 

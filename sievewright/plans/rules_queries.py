@@ -159,8 +159,9 @@ def case_cap(spark, sf_dir):
     """At most three are shown, the rest are counted."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id")
-    c = table(spark, sf_dir, "conversations").withColumn("at", F.row_number().over(w.orderBy("turn"))).withColumn("n", F.count(F.lit(1)).over(w)).filter("at <= 3")
+    all_ = table(spark, sf_dir, "conversations")
+    first = all_.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("at <= 3")
+    c = first.join(all_.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id")
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " | ")
     return c.groupBy("conv_id", "n").agg(shown.alias("shown")).select("conv_id", "shown", F.greatest(F.col("n") - 3, F.lit(0)).alias("more"))
 

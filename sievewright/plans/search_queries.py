@@ -9,6 +9,8 @@ from sievewright.functions import text as T
 from sievewright.operators import metrics
 from sievewright.operators import search as S
 from sievewright.plans import vocab as V
+from sievewright.operators import corpus as C
+from sievewright.plans.corpus_queries import facet_sql, mask_sql
 from sievewright.plans.registry import query
 from sievewright.session import ship, table
 
@@ -60,10 +62,10 @@ def flagship(spark, sf_dir):
     return found.select("query_id", "rank", "doc_id", "source", "score", T.excerpt(M.mask_native(F.col("text"))).alias("excerpt"))
 
 
-@query(f"WITH {BM25} SELECT query_id, rank, doc_id, source, lang AS label, score, substr(text, 1, 120) AS excerpt FROM bmr JOIN documents USING (doc_id) WHERE rank <= 5")
+@query(f"WITH {BM25} SELECT query_id, rank, doc_id, source, lang AS label, score, substr({mask_sql('text')}, 1, 120) AS excerpt FROM bmr JOIN documents USING (doc_id) WHERE rank <= 5")
 def hydrate_hits(spark, sf_dir):
     hits = bm25_search(spark, sf_dir).join(docs(spark, sf_dir), "doc_id")
-    return hits.select("query_id", "rank", "doc_id", "source", "label", "score", T.excerpt(F.col("text")).alias("excerpt"))
+    return hits.select("query_id", "rank", "doc_id", "source", "label", "score", T.excerpt(M.mask_native(F.col("text"))).alias("excerpt"))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS normalised FROM bmr WHERE rank <= 50")
@@ -156,6 +158,20 @@ def diversified_search(spark, sf_dir):
     return S.diversified(overlap(spark, sf_dir, least=0.6), docs(spark, sf_dir), 3, 0.6).drop("best")
 
 
+_CHAN = facet_sql("text", V.TABLES["channel"])
+
+
+@query(f"""WITH {OVERLAP}, ff AS (SELECT doc_id, lang FROM documents WHERE len(list_intersect({_CHAN}, ['mail'])) > 0),
+fd AS (SELECT query_id, doc_id, score, lang AS label, row_number() OVER (PARTITION BY query_id, coalesce(nullif(lang, ''), doc_id::VARCHAR) ORDER BY score DESC, doc_id) AS best FROM ov JOIN ff USING (doc_id)),
+fk AS (SELECT query_id, greatest(3, count(*)) AS k FROM fd WHERE best = 1 GROUP BY query_id)
+SELECT query_id, doc_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fd JOIN fk USING (query_id) WHERE best = 1 QUALIFY rank <= any_value(k) OVER (PARTITION BY query_id)""")
+def faceted_search(spark, sf_dir):
+    """Facets filter first; then no score is too low, and k grows to the number of labels."""
+    kept = C.derive_facets(docs(spark, sf_dir), "text", V.TABLES).filter(C.facet_match(F.col("facets"), F.create_map(F.lit("channel"), F.array(F.lit("mail"))))).drop("facets")
+    ship(spark)
+    return S.diversified(S.overlap(items(spark, sf_dir), kept), kept, 3, 0.6, filtered=True).drop("best")
+
+
 @query(f"WITH {OVERLAP} SELECT query_id, doc_id, score, rank FROM ovr WHERE score >= 0.6 AND rank <= 10")
 def threshold_search(spark, sf_dir):
     return S.ranked(overlap(spark, sf_dir, 10), 10).filter("score >= 0.6")

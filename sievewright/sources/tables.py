@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 CASE_SCHEMA = "case_id string, text string, label string, date string, county string, county_id string, source string"
@@ -23,10 +24,17 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus(df: DataFrame, path: str) -> dict:
-    """Zstandard parquet; returns the provenance counts, taken while writing."""
-    seen = Observation("corpus")
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("text") == "").alias("empty"), F.max(F.char_length("text")).alias("longest")).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return {**seen.get, "columns": df.columns}
+    """Zstandard parquet of the first row of each case id; returns the provenance counts, taken while
+    writing, and leaves them as JSON beside the table, in ``<path>.meta``."""
+    read, seen = Observation("read"), Observation("corpus")
+    first = df.observe(read, F.count(F.lit(1)).alias("read"))
+    if "case_id" in df.columns:
+        place = F.row_number().over(Window.partitionBy("case_id").orderBy(*[c for c in df.columns if c != "case_id"]))
+        first = first.withColumn("__place", place).filter("__place = 1").drop("__place")
+    first.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("text") == "").alias("empty"), F.max(F.char_length("text")).alias("longest")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    facts = {**seen.get, "duplicates_dropped": read.get["read"] - seen.get["rows"], "columns": df.columns}
+    df.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.meta")
+    return facts
 
 
 def write_index(df: DataFrame, path: str) -> None:
@@ -39,10 +47,14 @@ def read_index(spark: SparkSession, path: str, model: str, dim: int) -> DataFram
     return spark.read.parquet(path).filter((F.col("model") == model) & (F.size("embedding") == dim))
 
 
-def store_uploads(df: DataFrame, content: str, suffix: str) -> DataFrame:
-    """Content-addressed names; equal bytes share one row."""
+def store_uploads(df: DataFrame, content: str, suffix: str, order: str | None = None) -> DataFrame:
+    """Content-addressed names; of equal bytes the first in ``order`` (the path's order where none is
+    given) stays. Unreadable rows, whose content is null, all stay and have no name."""
     key = F.sha2(content, 256)
-    return df.withColumn("content_key", key).withColumn("path", F.concat(F.substring(key, 1, 32), F.lit(suffix))).dropDuplicates(["content_key"])
+    named = df.withColumn("content_key", key).withColumn("path", F.concat(F.substring(key, 1, 32), F.lit(suffix)))
+    place = F.row_number().over(Window.partitionBy("content_key").orderBy(order or "path"))
+    first = named.filter("content_key is not null").withColumn("__place", place).filter("__place = 1").drop("__place")
+    return first.unionByName(named.filter("content_key is null"))
 
 
 def write_masked(df: DataFrame, column: str, path: str) -> None:

@@ -33,11 +33,70 @@ def test_masking_finds_every_kind():
     assert "王小明" not in text and "5 萬到 10 萬" in text and "scam" not in text
 
 
-@pytest.mark.parametrize("text", ["我在2023年12月初", "2023/12/05", "西元2023的事", "2024-01-02"])
+@pytest.mark.parametrize("text", ["我在2023年12月初", "2023/12/05", "西元2023的事", "2024-01-02", "2023 / 12", "2023 .5", "45678年", "2023  年", *[f"{era}{gap}2023" for era in M.ERAS for gap in ("", " ", "   ")]])
 def test_years_are_not_amounts(text):
     assert M.mask_text(text)[0] == text
 
 
+@pytest.mark.parametrize("text, masked", [("2023", "1 萬以下"), ("西瓜2023", "西瓜1 萬以下"), ("1,234年", "1 萬以下年"), ("3.5萬元", "1 萬到 5 萬"), ("2億", "500 萬以上")])
+def test_amounts_without_a_mark_of_a_date(text, masked):
+    assert M.mask_text(text)[0] == masked
+
+
+def test_redactions_have_the_offsets_of_the_whole_match():
+    assert M.mask_text("匯到012-34567890123")[1][0][:3] in {("landline", 2, 17), ("bank_account", 0, 17)}
+
+
+def test_exact_places_by_brute_force(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.random() * 1e6, float(rng.randint(0, 5)), -1.0])) for g in "abc" for _ in range(rng.randint(1, 400))] + [("d", 7.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {g: sorted(v for h, v in rows if h == g and v is not None) for g in "abcd"}
+    assert {r["g"]: r["p95"] for r in metrics.latency_p95(df, "v", ["g"]).collect()} == {g: v[max(1, min(len(v), round(0.95 * len(v)))) - 1] for g, v in groups.items()}
+    assert {r["g"]: r["median"] for r in metrics.median(df, "v", ["g"]).collect()} == pytest.approx({g: statistics.median(v) for g, v in groups.items()})
+
+
+def test_search_by_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    words = ["LINE群組", "a", "Bc", "漢", "déjà", "x1", "群組", "the"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "the 群組 x1"), (2, "LINE群組 a a"), (3, "none"), (4, "")], "query_id long, query string")
+    assert [r[0] for r in docs.orderBy("doc_id").select(T.tokens(F.col("text"))).collect()] == [search.words_of(t) for t in texts]
+    said = [search.words_of(t) for t in texts]
+    n, mean = len(texts), sum(max(1, len(w)) for w in said) / len(texts)
+    want = {}
+    for q, text in [(1, "the 群組 x1"), (2, "LINE群組 a a"), (3, "none"), (4, "")]:
+        for d, w in enumerate(said):
+            total = 0.0
+            for t in set(search.words_of(text)):
+                df, tf = sum(t in v for v in said), w.count(t)
+                total += max(math.log((n - df + 0.5) / (df + 0.5) + 1), 1e-9) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * max(1, len(w)) / mean))
+            if total:
+                want[q, d] = total
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in search.bm25(asked, docs).collect()} == pytest.approx(want, abs=1e-6)
+    best = search.ranked(search.bm25(asked, docs, 3), 3).collect()
+    assert {(r["query_id"], r["doc_id"]) for r in best} == {(q, d) for q in (1, 2) for d in sorted((d for p, d in want if p == q), key=lambda d: (-round(want[q, d], 6), d))[:3]}
+    grams = lambda t: {(t or "")[k : k + 2] for k in range(len(t or "") - 1)}
+    share = {(q, d): len(grams(text) & grams(t)) / len(grams(text)) for q, text in [(1, "the 群組 x1"), (2, "LINE群組 a a"), (3, "none")] for d, t in enumerate(texts) if grams(text) & grams(t)}
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in search.overlap(asked, docs).collect()} == pytest.approx(share, abs=1e-6)
+
+
+def test_tables_keep_the_first_and_count_the_rest(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "b"), ("1", "a"), ("2", "")], "case_id string, text string")
+    facts = tables.write_corpus(rows, f"{tmp_path}/corpus")
+    assert (facts["rows"], facts["empty"], facts["duplicates_dropped"]) == (2, 1, 1)
+    assert '"duplicates_dropped": 1' in spark.read.text(f"{tmp_path}/corpus.meta").first()[0]
+    ups = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "n int, body string")
+    assert sorted(r["n"] for r in tables.store_uploads(ups, "body", ".txt", "n").collect()) == [1, 3, 4]
+
+
 def test_native_mask_agrees_where_it_has_no_amounts(spark):
     text = GOLDEN.replace("損失73,500元，", "")
     got = one(spark.createDataFrame([(text,)], "t string").select(M.mask_native(F.col("t"))))
