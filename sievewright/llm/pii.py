@@ -120,13 +120,17 @@ def _homoglyph_table() -> dict[int, str]:
 
 
 _HOMOGLYPHS = _homoglyph_table()
-_ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_HOMOGLYPHS)) + "]")
+# One range for all mathematical letters and digits; a long list of them would be searched one by one.
+_ODD = re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_HOMOGLYPHS) if k < 0x10000) + "\U0001d400-\U0001d7ff]")
 _DIGIT_WORD = rf"(?:{'|'.join(sorted(_SPELLED, key=lambda w: (-len(w), w)))})"
-_SPELLED_DIGIT = re.compile(rf"(?i)(?<![^\W\d_]){_DIGIT_WORD}+(?![^\W\d_])")
 _DIGIT_TOKEN = re.compile(rf"(?i)(?<![^\W\d_])(?P<words>{_DIGIT_WORD}+)(?![^\W\d_])|[0-9]+")
 _ONE_WORD = re.compile(rf"(?i){_DIGIT_WORD}")
 _JOINT = re.compile(r"[\s,.-]*+")
 _BETWEEN = re.compile(rf"(?i)(?:[\s,.()\[\]{{}}<>-]|{_DOT_SAID}(?![A-Za-z]))*+")
+# Where spelled digits may matter, in lower-cased text: beside other digits. It begins with the names
+# themselves, so that the search skips to their initials.
+_GAP = rf"[\s,.()\[\]{{}}<>-]*+(?:{_DOT_SAID}[\s,.()\[\]{{}}<>-]*+)*"
+_SPELLED_NEAR = re.compile(rf"{_DIGIT_WORD}(?={_GAP}(?:[0-9]|{_DIGIT_WORD}+(?![^\W\d_])))|[0-9](?=(?=[^0-9]){_GAP}{_DIGIT_WORD}+(?![^\W\d_]))")
 _PLUS = re.compile(rf"(?i)\b(?:{'|'.join(_PLUS_NAMES)})\s+(?=[0-9])|(?<=\+)\s+(?=[0-9])")
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:{_AT_SAID}|@){_CLOSE}\s{{0,3}}| +{_AT_SAID} +")
@@ -148,6 +152,12 @@ _EMAIL_SIGN = re.compile(rf"(?i){_OPEN}(?:{_AT_SAID}|@|{_DOT_SAID}|\.){_CLOSE}|
 _IP_SIGN = re.compile(rf"(?i)[0-9](?:\s{{0,3}}{_OPEN}(?:{_DOT_SAID}|\.){_CLOSE}\s{{0,3}}| +{_DOT_SAID} +)(?=[0-9])")
 
 
+def _may_spell(text: str) -> bool:
+    """Whether digits are spelled beside other digits; a superset of what `_plain_digits` rewrites."""
+    low = text.lower()
+    return any(not (m.start() and low[m.start() - 1].isalpha()) or m[0].isdigit() for m in _SPELLED_NEAR.finditer(low))
+
+
 class Rewritten:
     """A text with, for each of its characters, the source span that it stands for."""
 
@@ -183,7 +193,7 @@ class Rewritten:
 
 
 def _plain_homoglyphs(now: Rewritten) -> Rewritten:
-    return now.replace([(m.start(), m.end(), _HOMOGLYPHS[ord(m[0])]) for m in _ODD.finditer(now.text)])
+    return now.replace([(m.start(), m.end(), _HOMOGLYPHS[ord(m[0])]) for m in _ODD.finditer(now.text) if ord(m[0]) in _HOMOGLYPHS])
 
 
 def _plain_digits(now: Rewritten) -> Rewritten:
@@ -267,7 +277,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     odd = not text.isascii() and _ODD.search(text) is not None
     plain = _plain_homoglyphs(given) if odd else given
     forms = [plain]
-    if _SPELLED_DIGIT.search(plain.text):
+    if _may_spell(plain.text):
         forms.append(_plain_digits(plain))
     forms += [signs(form) for form in forms if _EMAIL_SIGN.search(form.text) for signs in (_plain_signs, _plain_names)]
     changed = {id(form): form for form in forms if form is not given}
