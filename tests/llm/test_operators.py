@@ -429,3 +429,59 @@ def test_quality_classifier(spark, odd, nothing):
     good, bad = ([s[k] for k, q, _ in labels if q == v] for v in (1, 0))
     assert np.mean(good) > np.mean(bad)
     assert quality_pu.score(odd, quality_pu.fit(nothing, marks)).count() == 12
+
+
+def test_exact_dedup_of_an_empty_table(nothing):
+    assert exact_dedup.verdicts(nothing).count() == 0 and exact_dedup.deduplicate(nothing).count() == 0
+
+
+def test_language_scores_are_the_sums_of_word_scores():
+    """The chunk table against the plain definition, with long, mixed, repeated and letterless texts."""
+    from collections import Counter
+
+    rng = random.Random(14)
+    model = language_id.Model({"aa": Counter(rng.choices(VOCABULARY, k=300)), "bb": Counter(rng.choices(["über", "l'eau", "straße", *VOCABULARY[:9]], k=200))})
+    for most in (10_000, 3):  # with room for every chunk, and with hardly any
+        scorer = language_id.Scorer(model, most)
+        texts = [" ".join(rng.choice(["über-Straße,", "l'eau", "½", "x" * 90, "नमस्ते", "Ⅷ²", *rng.sample(VOCABULARY, 3)]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+        for text in [*texts, *texts[:5], prose(rng, 20_000), "½ ² Ⅷ 12", "", None]:
+            said = language_id.words_of(text or "")
+            got = scorer.predict(text)
+            if not said:
+                assert got == ("und", 0.0)
+                continue
+            total = sum((model.score(w).astype(float) for w in said), np.zeros(2))
+            share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+            assert got[1] == pytest.approx(share.max(), abs=1e-3) and (got[0] == model.languages[int(total.argmax())] or abs(share[0] - 0.5) < 1e-3)
+
+
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.predict(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
+    assert len(got) > 200 and sum(r["lang_pred"] == r["lang"] for r in got) >= 0.99 * len(got)
+
+
+def test_quality_on_held_out_documents_with_and_without_negatives(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for marks in (labels, labels.filter("quality = 1")):
+        model = quality_pu.fit(docs, marks.union(marks))
+        assert abs(model.prior - sum(truth.values()) / len(truth)) < 0.1
+        rows = [r for r in quality_pu.score(docs, model).collect() if r["held_out"] and r["doc_id"] in truth]
+        assert sum(r["predicted"] == truth[r["doc_id"]] for r in rows) > 0.9 * len(rows)
+
+
+def test_packing_ids_of_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    for r in packing.pieces(docs).collect():
+        assert r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_mixing_of_a_source_of_empty_texts(spark):
+    docs = documents(spark, [(k, None if k % 2 else "", None, "void") for k in range(200)] + [(1000 + k, "some words here " * 20, None, "a") for k in range(20)])
+    got = mixing.allot(docs).collect()
+    assert len(got) == 220 and all(r["taken"] == 0 and r["source_size"] == 0 for r in got if r["source"] == "void")
