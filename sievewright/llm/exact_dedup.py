@@ -4,10 +4,11 @@ A text is cut where its own content says so, every distinct chunk is shuffled on
 verified identifier, and documents are then compared by their ordered identifier lists. Long texts
 never move again after the chunk dictionary is made.
 
-Defined results: a null text counts as empty; empty texts are equal to each other; rows that share
-both text and id share one verdict (an id is a key); a null id never wins against a non-null one,
-and in a group of null ids keep_id is null and `deduplicate` keeps one row. Text of any length is
-read whole. Other columns of the input play no part and may have any name.
+Defined results: a null text counts as empty; empty texts are equal to each other; ties of an id go
+to all its rows: rows that share both text and id share one verdict, and `deduplicate` keeps one of
+them; a null id never wins against a non-null one, and in a group of null ids keep_id is null and
+`deduplicate` keeps one row. An empty table gives an empty result. Text of any length is read whole.
+Other columns of the input play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -18,16 +19,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import narrow
-from sievewright.session import cut
+from sievewright.session import Scratch, cut
 
 #: A chunk ends before a word that starts with b, c or d, after a word that ends with d or t.
 BOUNDARY = r"[dt][.,!?]?\s(?=[b-d])"
+#: Where no such place comes up within a chunk's length: ends of sentences and lines of code, in any
+#: script, and certain pairs of letters or digits, for numbers, encoded data and unspaced scripts.
+ELSEWHERE = r"[.!?]\s|[。！？؟।;{}]|[07cgkoCGKO+](?=[^0-9A-Za-z]?[3imqIMQ/])|[นมร](?=[กทเ])"
 MIN_CHARS, MAX_CHARS = 256, 4096
+#: A group of more than one row in this many is dealt over slices on the way back to its rows.
+SHARE = 1000
 
 
-def chunk_pattern(boundary: str = BOUNDARY, least: int = MIN_CHARS, most: int = MAX_CHARS) -> str:
+def chunk_pattern(boundary: str = BOUNDARY, elsewhere: str = ELSEWHERE, least: int = MIN_CHARS, most: int = MAX_CHARS) -> str:
     """Regex whose successive matches are the chunks; they cover the whole text."""
-    return rf"(?s).{{{least},{most}}}?(?:{boundary}|\z)|.{{1,{most}}}"
+    body = rf".{{{least},{most}}}?"
+    return rf"(?s){body}(?:{boundary}|\z)|{body}(?:{elsewhere})|.{{1,{most}}}"
 
 
 def chunks(text: Column, pattern: str) -> Column:
@@ -78,23 +85,39 @@ def recipes(docs: DataFrame, pattern: str = "", digest: Callable[[Column], Colum
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = "", digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The rows of a group meet only as partial counts; the way back is a join on the list, whose hot
-    keys Spark's adaptive skew handling splits.
+    Lists are made once and written, so the texts are not read again. The rows of a group meet only
+    as partial counts. The way back is a join on the list, in which the rows of a large group are
+    dealt over as many slices as it has thousandths of the table, each with its copy of the verdict.
     """
-    rows = recipes(narrow(docs, doc_id=id_col, text=text_col), pattern, digest).select("doc_id", "recipe", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(recipes(narrow(docs, doc_id=id_col, text=text_col), pattern, digest).select("doc_id", "recipe", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")))
+    groups = scratch.keep(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    n = rows.count()
+    # Fewer than SHARE groups can be that large, so they are few enough to go to every task. Lists of
+    # one hash are sliced alike, so a shared hash does no harm.
+    hot = F.broadcast(groups.filter(F.col("group_size") * SHARE > n).groupBy(F.xxhash64("recipe").alias("hash")).agg((F.floor(F.max("group_size") * SHARE / F.lit(n)) + 1).alias("slices")))
+    sliced = lambda df: df.withColumn("hash", F.xxhash64("recipe")).join(hot, "hash", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
+    each = sliced(rows).withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.col("slices"))).drop("hash", "slices")
+    copies = sliced(groups).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("hash", "slices")
+    return each.join(copies, ["recipe", "slice"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows whose text no row with a larger id has; all columns stay as they are. Of
-    equal texts that only rows with a null id have, one row stays."""
+    """The input's rows whose text no row with a larger id has; all columns stay as they are. One of
+    several rows with the same text and id stays, and of equal texts that only rows with a null id
+    have, one row."""
     judged = verdicts(docs, id_col, text_col)
-    winners = judged.filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    kept = docs.join(winners, docs[id_col] == F.col("__kept_id"), "left_semi")
-    nameless = docs.filter(docs[id_col].isNull())
+    marked = docs.withColumn("__sha", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    own = [F.col(c) for c in docs.columns]
+    winners = judged.filter("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).agg(F.count(F.lit(1)).alias("__n"))
+    taken = lambda who: marked.join(who, (F.col(id_col) == F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
+    repeated = winners.filter("__n > 1")
+    if repeated.isEmpty():
+        kept = taken(winners).select(*own)
+    else:
+        kept = taken(winners.filter("__n = 1")).unionByName(taken(repeated).dropDuplicates([id_col, "__sha"])).select(*own)
+    nameless = marked.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
         return kept
     alone = judged.filter("doc_id is null and keep_id is null").select(F.col("text_sha256").alias("__sha")).distinct()
-    marked = nameless.withColumn("__sha", F.sha2(F.coalesce(nameless[text_col], F.lit("")), 256))
-    return kept.unionByName(marked.join(alone, "__sha", "left_semi").dropDuplicates(["__sha"]).select(*[F.col(c) for c in docs.columns]))
+    return kept.unionByName(nameless.join(alone, "__sha", "left_semi").dropDuplicates(["__sha"]).select(*own))
