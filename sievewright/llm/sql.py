@@ -91,8 +91,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 def license_scan() -> str:
     """The license scan over DuckDB, with the registry written out as VALUES."""
-    from sievewright.llm.license_texts import NOTICES, TEXTS
-    from sievewright.llm.licenses import ALL_RIGHTS, COPYRIGHT_LINE, SPELLINGS
+    from sievewright.llm.license_texts import DIGESTS, NOTICES, TEXTS
+    from sievewright.llm.licenses import ALL_RIGHTS, COPYRIGHT_LINE, SPEAKS_OF_IT, SPELLINGS
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -107,10 +107,10 @@ def license_scan() -> str:
 
     rows = lambda entries: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in entries.items())
     return f"""
-    WITH known AS (SELECT license_id, {digest("body")} AS digest FROM (VALUES {rows(TEXTS)}) t(license_id, body)),
+    WITH known AS (SELECT license_id, {digest("body")} AS digest FROM (VALUES {rows(TEXTS)}) t(license_id, body) UNION ALL SELECT * FROM (VALUES {rows(DIGESTS)}) u(license_id, digest)),
     notice AS (SELECT license_id, {digest("body")} AS d FROM (VALUES {rows(NOTICES)}) t(body, license_id)),
     line AS (SELECT row_id, l FROM (SELECT rowid_ AS row_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents))
-             WHERE length(l) BETWEEN 8 AND 400 AND regexp_matches(lower(l), 'licen[sc]e|spdx|public domain|cc by')),
+             WHERE regexp_matches(lower(l), '{SPEAKS_OF_IT}')),
     hit AS (SELECT row_id, string_agg(DISTINCT n.license_id, ',' ORDER BY n.license_id) AS notices, count(*) AS n FROM line JOIN notice n ON {digest("l")} = n.d GROUP BY row_id),
     doc AS (SELECT doc_id, row_number() OVER () AS row_id, {digest("coalesce(text, '')")} AS digest FROM documents)
     SELECT doc_id, doc.digest, license_id, coalesce(hit.notices, '') AS notices, coalesce(n, 0)::BIGINT AS n_notice_lines

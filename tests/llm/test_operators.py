@@ -69,6 +69,27 @@ def test_exact_dedup_chunks_cover_the_text(spark):
     assert "".join(got) == text and max(map(len, got)) <= exact_dedup.MAX_CHARS and len(got) > 10
 
 
+@pytest.mark.parametrize("letters", ["的一是不了人我在有他。", "0123456789, ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "нтоаиесрвлкмд. "])
+def test_exact_dedup_chunks_of_other_texts_survive_an_insertion(spark, letters):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    text = "".join(rng.choices(letters, k=40_000))
+    rows = documents(spark, [(1, text, None, None), (2, "x" + text, None, None)])
+    cut = {r["doc_id"]: r["c"] for r in rows.select("doc_id", exact_dedup.chunks(F.col("text"), exact_dedup.chunk_pattern()).alias("c")).collect()}
+    assert "".join(cut[2]) == "x" + text
+    assert len(set(cut[1]) & set(cut[2])) > 0.7 * len(cut[1])
+
+
+def test_exact_dedup_of_a_hot_group_and_repeated_ids(spark):
+    rows = [(k, "one text", None, None) for k in range(40)] + [(50 + k, f"text {k}", None, None) for k in range(20)] + [(90, "twice", None, None)] * 2 + [(5, "other text of id 5", None, None)]
+    docs = documents(spark, rows)
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.verdicts(docs).collect())
+    assert got == sorted([(k, 39, 40) for k in range(40)] + [(50 + k, 50 + k, 1) for k in range(20)] + [(90, 90, 2)] * 2 + [(5, 5, 1)])
+    kept = sorted((r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(docs).collect())
+    assert kept == sorted([(39, "one text")] + [(50 + k, f"text {k}") for k in range(20)] + [(90, "twice"), (5, "other text of id 5")])
+
+
 def test_mixing_by_brute_force(spark):
     rng = random.Random(5)
     rows = [(k, prose(rng, rng.randint(0, 90)), None, rng.choice(["a", "b", "b", "b", "z", None])) for k in range(300)]
@@ -396,6 +417,22 @@ def test_license_scan(spark, odd, nothing):
     assert licenses.scan(odd).count() == 12 and licenses.scan(nothing).count() == 0
 
 
+def test_license_digests_of_public_texts(spark):
+    """Files that most systems have, in other case and with other line breaks; long lines are read too."""
+    from pathlib import Path
+
+    found = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {name: path.read_text(encoding="utf-8") for name, file in found.items() if (path := Path("/usr/share/common-licenses") / file).exists()}
+    if not texts:
+        pytest.skip("no license files on this system")
+    names = list(texts)
+    rows = [(k, " ".join(texts[n].upper().split(" ")).replace("\n", "\n  "), None, None) for k, n in enumerate(names)]
+    rows.append((99, "*" * 500 + " Released under the MIT license. " + "=" * 500, None, None))
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert [got[k]["license_id"] for k in range(len(names))] == names
+    assert got[99]["notices"] == "MIT" and got[99]["n_notice_lines"] == 1
+
+
 def test_language_id(spark, nothing):
     rng = random.Random(8)
     tongues = {"xx": ["bana", "tiro", "kuve", "somi"], "yy": ["grelt", "spond", "twarf", "knisp"]}
