@@ -168,3 +168,34 @@ def cer(reference: Column, heard: Column, distance=F.levenshtein) -> Column:
     """Character error rate; an empty reference has 0 against an empty text and 1 against others."""
     n = F.char_length(reference)
     return F.when(n > 0, distance(reference, heard) / n).otherwise(F.when(F.char_length(heard) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def is_empty(c: Column) -> Column:
+    """Null, empty or white space only."""
+    return strip(c) == ""
+
+
+def blank_to_null(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+#: The wording of a question made from terms, and of filters put in words.
+QUESTION = "有哪些詐騙手法？"
+FILTER_LABELS = {"category": "類型", "channel": "接觸管道", "payment": "付款方式", "target": "常見對象"}
+
+
+def as_question(terms: Column) -> Column:
+    """A question that stands alone, from an array of terms; null where there are none."""
+    return F.when(F.size(terms) > 0, F.concat(F.array_join(terms, "、"), F.lit(QUESTION)))
+
+
+def describe(filters: Column, labels: dict[str, str] = FILTER_LABELS) -> Column:
+    """A map of filters (name to values) in words, in the order of ``labels``; empty ones are left out."""
+    said = [F.when(F.size(F.try_element_at(filters, F.lit(k))) > 0, F.concat(F.lit(label + "＝"), F.array_join(F.try_element_at(filters, F.lit(k)), "／"))) for k, label in labels.items()]
+    return F.concat_ws("、", *said)
+
+
+def label_variants(canon: Column, aliases: Column) -> Column:
+    """All spellings of a label from two arrays: normalised, each once, in order, none empty."""
+    each = F.transform(F.concat(F.coalesce(canon, F.array()), F.coalesce(aliases, F.array())), norm_label)
+    return F.array_sort(F.array_distinct(F.filter(each, lambda x: blank(x) != "")))

@@ -108,3 +108,8 @@ def remove_source(df: DataFrame, source: str) -> DataFrame:
 def compatible_index(df: DataFrame, model: str, dim: int) -> DataFrame:
     """Index rows of the stated model and width; none means that the index must be rebuilt."""
     return df.filter((F.col("model") == model) & (F.size("embedding") == dim))
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Rows in an order that depends on ids and seed only, with the key that they go by."""
+    return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))).orderBy("shuffle_key", id_col)

@@ -162,6 +162,25 @@ def compose(df: DataFrame, stages: DataFrame, fallback: str, key: str = "stage")
     return named.select(*df.columns, chosen["id"].alias("stage_id"), chosen["risk"].alias("risk"), F.transform(chosen["actions"], lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a)).alias("steps"))
 
 
+def actions_for(text: Column, own: Column, signs: list[tuple[str, str]], tail: list[str], dropped: str, first: tuple[Column, str] | None = None) -> Column:
+    """Ordered actions: those of the signs (pattern, action) that a text shows, then ``tail`` and the
+    own ones that don't speak of ``dropped``; without a sign the own ones. ``first`` is a condition
+    and what then stands in the place of the first action, if there is one."""
+    shown = F.filter(F.array(*[F.when(text.rlike(p), F.lit(a)) for p, a in signs]), lambda a: a.isNotNull())
+    rest = F.concat(F.array(*[F.lit(a) for a in tail]), F.filter(own, lambda a: ~F.contains(a, F.lit(dropped))))
+    out = T.let(shown, lambda s: F.when(F.size(s) > 0, F.concat(s, rest)).otherwise(own))
+    if first is None:
+        return out
+    when, instead = first
+    return T.let(out, lambda a: F.when(F.coalesce(when, F.lit(False)) & (F.size(a) > 0), F.concat(F.array(F.lit(instead)), F.slice(a, 2, F.size(a)))).otherwise(a))
+
+
+def ordered(actions: Column, mark: str = "* ") -> Column:
+    """Lines of an array of (order, text, preventive) structs by order; of one order, as they come."""
+    placed = F.array_sort(F.transform(actions, lambda a, i: F.struct(a["order"].alias("order"), i.alias("i"), a["text"].alias("text"), a["preventive"].alias("preventive"))))
+    return F.transform(placed, lambda a: F.concat(a["order"].cast("string"), F.lit(". "), F.when(a["preventive"], mark).otherwise(""), a["text"]))
+
+
 def guards(df: DataFrame) -> DataFrame:
     """Checks (risk, actions, case_ids, disclaimer): violations, whether fatal, and the repaired row."""
     severe = F.col("risk").isin("HIGH", "CRITICAL")

@@ -344,3 +344,15 @@ def tiered(tiers: list[DataFrame]) -> DataFrame:
         one = tier.withColumn("tier", F.lit(place))
         parts = one if parts is None else parts.unionByName(one)
     return parts.withColumn("__first", F.min("tier").over(Window.partitionBy("query_id"))).filter("tier = __first").drop("__first").withColumn("degraded", F.col("tier") > 0)
+
+
+def pool_scores(pool: DataFrame, scores: DataFrame, default: float = 0.0) -> DataFrame:
+    """Adds ``other``, the second arm's score of each pair of the pool, or the default."""
+    return pool.join(scores.select("query_id", "doc_id", F.col("score").alias("other")), ["query_id", "doc_id"], "left").fillna({"other": default})
+
+
+def judged_or_gold(judged: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, doc_id, judged): the judged pairs, and for queries without any the gold pairs."""
+    found = judged.select("query_id", "doc_id").distinct()
+    rest = gold.select("query_id", "doc_id").distinct().join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.withColumn("judged", F.lit(True)).unionByName(rest.withColumn("judged", F.lit(False)))

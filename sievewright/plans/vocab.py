@@ -36,3 +36,6 @@ PAYMENTS = {"card": ["4111", "token"], "phone": ["+1 ("], "mail": ["@mail"]}
 INTENTS = [("thanks", ["thing", "gra"]), ("where", ["wh", "où"]), ("pay", ["pa"])]
 SLOTS = {"who": ["the", "die"], "where": ["in ", "en "], "amount": ["pa", "for"]}
 THRESHOLDS = [("hit_rate", 0.75, "ge"), ("latency", 1.0, "le"), ("kappa", 0.7, "ge")]
+SIGNS = [("idiot|trash", "End the talk"), ("token|secret", "Change passwords")]
+TAIL = ["Call 165", "Check accounts"]
+NOT_AGAIN = "Do not pay again"

@@ -28,9 +28,11 @@ class Script:
     distress: tuple[str, ...]
     questions: int = 3
     follow_ups: tuple[str, ...] = field(default=("more", "else", "when"))
+    platforms: dict[str, tuple[str, ...]] = field(default_factory=dict)  #: terms by module
+    moved: str = "moved_to"  #: the slot that two modules' platforms fill, where ``slots`` has it
 
     def fresh(self) -> dict:
-        return {"phase": "COLLECTING", "answers": 0, "filled": [], "asked": [], "said": [], "advised": False}
+        return {"phase": "COLLECTING", "answers": 0, "filled": [], "asked": [], "said": [], "platforms": [], "advised": False}
 
     def step(self, state: dict, text: str) -> dict:
         """The reply to one utterance; changes ``state``."""
@@ -42,7 +44,9 @@ class Script:
             return self._reply(state, None, False)
         if text != FINISH:
             state["answers"] += 1
-            state["filled"] = [n for n, ts in self.slots.items() if n in state["filled"] or any(t in text for t in ts)]
+            state["platforms"] = [m for m, ts in self.platforms.items() if m in state.get("platforms", []) or any(t in text for t in ts)]
+            both = len(state["platforms"]) >= 2
+            state["filled"] = [n for n, ts in self.slots.items() if n in state["filled"] or any(t in text for t in ts) or (n == self.moved and both)]
             state["said"] = [t for t in self.positives if t in state["said"] or t in text]
         advice = not state["advised"] and any(t in text for t in self.distress)
         state["advised"] = state["advised"] or advice

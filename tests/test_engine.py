@@ -273,3 +273,88 @@ def test_chinese_ladders_and_facets(spark):
     assert tagged[0]["facets"]["payment"] == ["網銀匯款"]
     q = spark.createDataFrame([("社群上的投資詐騙",)], "q string").select(corpus.parse_query(F.col("q"), Z.FACETS, Z.CHANNEL_GROUPS)).first()[0]
     assert q == {"category": ["假投資"], "channel": ["Facebook", "Instagram"]}
+
+
+def test_packs_are_found_and_read_strictly(tmp_path):
+    import json
+
+    from sievewright.sources import packs
+
+    for name, body in (("b", {"id": "b", "positives": ["x"], "route_min": 0.6, "stages": [{"id": "s", "risk": "LOW", "cues": ["y"]}]}), ("a", {"id": "a"}), ("_hidden", {"id": "h"})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "pack.json").write_text(json.dumps(body))
+    (tmp_path / "empty").mkdir()
+    assert [p.id for p in packs.packs(tmp_path)] == ["a", "b"] and len(packs.discover(tmp_path, True)) == 3
+    assert packs.load(tmp_path / "b").stages == (("s", "LOW", ("y",)),) and packs.discover(tmp_path / "nowhere") == []
+    for body in ({"id": "a", "colour": 1}, {"positives": ["x"]}, {"id": "a", "positives": "x"}, {"id": "a", "usable": 1}, {"id": "a", "hint_min": 0.9}, ["a"]):
+        (tmp_path / "a" / "pack.json").write_text(json.dumps(body))
+        with pytest.raises(ValueError):
+            packs.load(tmp_path / "a")
+
+
+def test_steps_keep_failures_in_their_rows(spark):
+    from sievewright.operators import steps
+
+    df = spark.createDataFrame([(1, "12"), (2, "x"), (3, None), (4, "0")], "id long, text string")
+    rows = {r["id"]: r for r in steps.run_steps(df, [steps.Step("n", "text", int, "long"), steps.Step("part", "n", lambda n: 6 / int(n), "double")]).collect()}
+    assert rows[1]["status"] == "ok" and rows[1]["n"] == 12 and rows[1]["part"] == 0.5 and rows[1]["degraded_reasons"] == []
+    assert rows[4]["n"] == 0 and rows[4]["part"] is None and rows[4]["degraded_reasons"][0].startswith("part: ZeroDivisionError")
+    assert [t["status"] for t in rows[2]["trace"]] == ["degraded", "degraded"] and rows[3]["status"] == "degraded"
+    assert all(t["ms"] >= 0 for r in rows.values() for t in r["trace"])
+
+
+def test_health_of_an_empty_table(spark):
+    from sievewright.operators import steps
+
+    n = F.count(F.lit(1))
+    rows = steps.health(spark.createDataFrame([], "x long"), {"rows": (n > 0, True), "most": (F.max("x") > 1, False)}).collect()
+    assert [(r["check"], r["required"], r["ok"], r["ready"]) for r in rows] == [("rows", True, False, False), ("most", False, False, False)]
+
+
+def test_dense_index_is_checked_on_loading(spark, tmp_path):
+    import numpy as np
+
+    from sievewright.operators import dense, models, search
+
+    docs = spark.createDataFrame([(k, f"text {'ab' * k} number {k}") for k in range(30)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "number 7"), (2, "ababab"), (3, "")], "query_id long, query string")
+    path = str(tmp_path / "index")
+    assert dense.load(spark, path, docs, "m") == (None, "no index")
+    dense.build(docs, models.hashing_embedder, "m", path)
+    assert dense.load(spark, path, docs, "other")[1] == "index of another model"
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 3, "new").otherwise(F.col("text")))  # the same number of rows
+    assert dense.load(spark, path, changed, "m")[1] == "index of other documents"
+    index, why = dense.load(spark, path, docs.repartition(5), "m")
+    assert why == "" and index.count() == 30
+    got = dense.hybrid(queries, docs, index, why, models.hashing_embedder, pool=10).collect()
+    assert not any(r["degraded"] for r in got)
+    embed = models.hashing_embedder()
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    vectors = embed([t for _, t in rows]).astype(float)
+    for q in queries.collect():
+        sparse = {r["doc_id"]: r["rank"] for r in search.ranked(search.bm25(queries, docs, 10), 10).filter(F.col("query_id") == q["query_id"]).collect()}
+        scores = np.round(vectors @ embed([q["query"]]).astype(float)[0], 6)
+        near = {int(d): k + 1 for k, d in enumerate(np.lexsort((np.arange(30), -scores))[:10])}
+        want = {d: round(sum(1 / (60 + arm[d]) for arm in (sparse, near) if d in arm), 9) for d in sparse.keys() | near.keys()}
+        assert {r["doc_id"]: r["score"] for r in got if r["query_id"] == q["query_id"]} == pytest.approx(want)
+
+
+def test_actions_and_words_of_filters(spark):
+    from sievewright.functions import text as T
+    from sievewright.operators import rules
+
+    df = spark.createDataFrame([("see the sign", ["Call 165 now", "Wait"], {"channel": ["web", "mail"], "payment": []}, True), ("nothing", ["Call 165 now", "Wait"], {}, None), ("nothing", [], None, True)], "text string, own array<string>, f map<string, array<string>>, again boolean")
+    rows = df.select(rules.actions_for(F.col("text"), F.col("own"), [("sign", "Sign off")], ["Ring 165"], "165", (F.col("again"), "Stop")).alias("a"), T.describe(F.col("f")).alias("d")).collect()
+    assert [r["a"] for r in rows] == [["Stop", "Ring 165", "Wait"], ["Call 165 now", "Wait"], []]
+    assert [r["d"] for r in rows] == ["接觸管道＝web／mail", "", ""]
+    one = spark.sql("select array(named_struct('order', 2, 'text', 'b', 'preventive', true), named_struct('order', 1, 'text', 'a', 'preventive', false)) as x")
+    assert one.select(rules.ordered(F.col("x")).alias("l")).first()["l"] == ["1. a", "2. * b"]
+
+
+def test_two_platforms_fill_the_slot_of_moving():
+    script = chat.Script({"who": ("he",), "moved_to": ()}, ("x",), ("y",), platforms={"a": ("Mail",), "b": ("Chat",)})
+    state = script.fresh()
+    script.step(state, "on Mail")
+    assert "moved_to" not in state["filled"]
+    script.step(state, "then Chat")
+    assert "moved_to" in state["filled"]
