@@ -55,12 +55,12 @@ def _ratio(figure):
 
 
 @query("""WITH f AS (SELECT doc_id, try_cast(nullif(regexp_extract(text, '[0-9]{6,18}'), '') AS BIGINT) AS figure FROM documents)
-SELECT doc_id, figure, CASE WHEN figure <> 0 THEN round(1000000::DOUBLE / figure, 6) END AS ratio, (figure IS NULL)::INT + (figure IS NULL OR figure = 0)::INT AS n_failed, CASE WHEN figure <> 0 THEN 'ok' ELSE 'degraded' END AS status FROM f""")
+SELECT doc_id, figure::VARCHAR AS figure, CASE WHEN figure <> 0 THEN round(1000000::DOUBLE / figure, 6) END AS ratio, (figure IS NULL)::INT + (figure IS NULL OR figure = 0)::INT AS n_failed, CASE WHEN figure <> 0 THEN 'ok' ELSE 'degraded' END AS status FROM f""")
 def step_status(spark, sf_dir):
     """Two steps, the second of which reads the first one's value; failures stay in their rows."""
     ship(spark)
     done = steps.run_steps(table(spark, sf_dir, "documents").select("doc_id", "text"), [steps.Step("figure", "text", _figure, "long"), steps.Step("ratio", "figure", _ratio, "double")])
-    return done.select("doc_id", "figure", F.round("ratio", 6).alias("ratio"), F.size("degraded_reasons").alias("n_failed"), "status")
+    return done.select("doc_id", F.col("figure").cast("string").alias("figure"), F.round("ratio", 6).alias("ratio"), F.size("degraded_reasons").alias("n_failed"), "status")
 
 
 @query("""WITH h AS (SELECT count(*) > 0 AS a, count(*) = count(doc_id) AS b, count(*) = count(lang) AS c, min(length(text)) >= 1 AS d FROM documents)

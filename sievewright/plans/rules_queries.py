@@ -10,7 +10,7 @@ from sievewright.operators import metrics as E
 from sievewright.operators import rules as R
 from sievewright.operators import sessions
 from sievewright.plans import vocab as V
-from sievewright.plans.corpus_queries import docs, heard, terms_sql
+from sievewright.plans.corpus_queries import cut_sql, docs, heard, terms_sql
 from sievewright.plans.registry import query
 from sievewright.session import table
 
@@ -236,15 +236,15 @@ def cohen_kappa(spark, sf_dir):
     return E.cohen_kappa(judged(spark, sf_dir), "y", "b")
 
 
-@query("SELECT round(sum(levenshtein(a, b)) / sum(length(a))::DOUBLE, 6) AS corpus_cer FROM (SELECT substr(text, 1, 60) AS a, substr(text, 3, 60) AS b FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))")
+@query(f"SELECT round(sum({cut_sql(3)}) / sum(length(text))::DOUBLE, 6) AS corpus_cer FROM documents")
 def corpus_cer(spark, sf_dir):
-    d = docs(spark, sf_dir).filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.substring("text", 1, 60).alias("a"), F.substring("text", 3, 60).alias("b"))
-    return E.corpus_cer(d, "a", "b")
+    """As cer, all edits over all characters."""
+    return E.corpus_cer(heard(spark, sf_dir, 1, 3), "a", "b", T.edits)
 
 
-@query()
+@query(f"SELECT round(sum({cut_sql(2)}) / sum(length(text))::DOUBLE, 6) AS corpus_cer FROM documents")
 def corpus_cer_whole(spark, sf_dir):
-    """As corpus_cer, over all documents and whole texts."""
+    """As cer_whole, all edits over all characters."""
     return E.corpus_cer(heard(spark, sf_dir), "a", "b", T.edits)
 
 

@@ -149,8 +149,8 @@ def test_metrics_by_hand(spark):
 
 
 def test_error_rates_of_whole_texts(spark, tmp_path):
-    from sievewright.plans.corpus_queries import cer_whole
-    from sievewright.plans.rules_queries import corpus_cer_whole
+    from sievewright.plans.corpus_queries import cer, cer_whole
+    from sievewright.plans.rules_queries import corpus_cer, corpus_cer_whole
 
     def edits(a, b):
         row = list(range(len(b) + 1))
@@ -165,10 +165,12 @@ def test_error_rates_of_whole_texts(spark, tmp_path):
     assert [r["n"] for r in rows] == [edits(a, b) for a, b in odd]
     texts = ["漢字かな" * 40, "déjà vu 😀 " * 30, "plain words " * 30, "aaaa", "ab", "x", "é", "", None]
     spark.createDataFrame([(k, t, ["en", "fr", None][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    pairs = [(t or "", (t or "")[2:]) for t in texts]
-    found = {r["doc_id"]: r["cer"] for r in cer_whole(spark, str(tmp_path)).collect()}
-    assert found == {k: round(edits(a, b) / len(a), 6) if a else 0.0 for k, (a, b) in enumerate(pairs)}
-    assert corpus_cer_whole(spark, str(tmp_path)).first()["corpus_cer"] == round(sum(edits(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), 6)
+    for one, whole, heard in ((cer_whole, corpus_cer_whole, lambda t: t[2:]), (cer, corpus_cer, lambda t: t[:-3])):
+        pairs = [(t or "", heard(t or "")) for t in texts]
+        found = {r["doc_id"]: r["cer"] for r in one(spark, str(tmp_path)).collect()}
+        assert found == {k: round(edits(a, b) / len(a), 6) if a else 0.0 for k, (a, b) in enumerate(pairs)}
+        assert whole(spark, str(tmp_path)).first()["corpus_cer"] == round(sum(edits(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), 6)
+
 
 
 def test_packs_and_thresholds(spark):
