@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.plans import agent_queries, corpus_queries, registry, rules_queries, search_queries
+from sievewright.plans import agent_queries, corpus_queries, registry, rules_queries, search_queries, zh_queries
 
-MODULES = (corpus_queries, search_queries, rules_queries, agent_queries)
+MODULES = (corpus_queries, search_queries, rules_queries, agent_queries, zh_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The conversation state machine as a keyed streaming job.
 
 Each session collects utterances, asks a fixed number of questions (the first open slots, never one
-twice), and decides after the last answer or at an early finish. Distress advice is given once. The
-score is that of everything said so far; the state keeps which terms were said, not the text.
+twice), and decides after the last answer or at an early finish. Distress advice is given once. After
+the decision an utterance only picks what of the decision it asks for. The score is that of everything
+said so far; the state keeps which terms were said, not the text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FINISH, RESTART = "/finish", "/restart"
-OUTPUT = "conv_id long, turn long, phase string, question string, advice boolean, score double"
+OUTPUT = "conv_id long, turn long, phase string, question string, advice boolean, score double, intent string"
 
 
 @dataclass
@@ -30,6 +31,8 @@ class Script:
     follow_ups: tuple[str, ...] = field(default=("more", "else", "when"))
     platforms: dict[str, tuple[str, ...]] = field(default_factory=dict)  #: terms by module
     moved: str = "moved_to"  #: the slot that two modules' platforms fill, where ``slots`` has it
+    intents: tuple[tuple[str, tuple[str, ...]], ...] = ()  #: what can be asked after the decision; the first match counts
+    covers: float = 0.0  #: a decision at a lower score is uncovered, and its answer holds the advice itself
 
     def fresh(self) -> dict:
         return {"phase": "COLLECTING", "answers": 0, "filled": [], "asked": [], "said": [], "platforms": [], "advised": False}
@@ -41,7 +44,7 @@ class Script:
             state.update(self.fresh())
             return self._reply(state, None, False)
         if state["phase"] == "DONE":
-            return self._reply(state, None, False)
+            return self._reply(state, None, False, next((name for name, terms in self.intents if any(t in text for t in terms)), None))
         if text != FINISH:
             state["answers"] += 1
             state["platforms"] = [m for m, ts in self.platforms.items() if m in state.get("platforms", []) or any(t in text for t in ts)]
@@ -53,6 +56,7 @@ class Script:
         question = None
         if text == FINISH or len(state["asked"]) >= self.questions:
             state["phase"] = "DONE"
+            advice = advice and self._reply(state, None, False)["score"] >= self.covers
         else:
             open_ = [n for n in self.slots if n not in state["filled"] and n not in state["asked"]]
             question = (open_ or [f for f in self.follow_ups if f not in state["asked"]] or ["else"])[0]
@@ -60,9 +64,9 @@ class Script:
         return self._reply(state, question, advice)
 
     @staticmethod
-    def _reply(state: dict, question: str | None, advice: bool) -> dict:
+    def _reply(state: dict, question: str | None, advice: bool, intent: str | None = None) -> dict:
         e = float(len(state["said"]))
-        return {"phase": state["phase"], "question": question, "advice": advice, "score": round(e / (e + 2), 4)}
+        return {"phase": state["phase"], "question": question, "advice": advice, "score": round(e / (e + 2), 4), "intent": intent}
 
 
 def sessions(turns: DataFrame, script: Script) -> DataFrame:

@@ -235,6 +235,16 @@ def test_page_fetch_retries():
 SCRIPT = chat.Script(vocab.SLOTS, ("thing",), ("idiot",))
 
 
+def test_chat_answers_what_is_asked_after_the_decision():
+    script = chat.Script({}, ("x",), ("help",), questions=0, intents=(("risk", ("how bad", "risk")), ("actions", ("do", "risk"))), covers=0.3)
+    state = script.fresh()
+    assert not script.step(state, "help")["advice"]  # uncovered: the answer holds the advice
+    assert [script.step(state, t)["intent"] for t in ("risk?", "what do I do", "hm")] == ["risk", "actions", None]
+    state = script.fresh()
+    first = script.step(state, "x help")
+    assert first["phase"] == "DONE" and first["advice"] and first["score"] == 0.3333 and first["intent"] is None
+
+
 def test_chat_asks_three_questions_and_never_twice():
     state, seen = SCRIPT.fresh(), []
     for k in range(5):
