@@ -59,7 +59,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_marks", "n_lines", "failed")
 
 
-QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and what it alone rejects, over the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
+QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules, quality_ablations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES}
+    return {"op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES, "quality_ablations": sql.quality_ablations()}

@@ -89,6 +89,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def quality_ablations() -> str:
+    """Failures by rule of the whole policy, on the same measurements."""
+    from sievewright.llm.quality_rules import RULES
+
+    rules = ", ".join(f"({bit}, '{name}')" for bit, (name, _) in enumerate(RULES))
+    judged = QUALITY_RULES[: QUALITY_RULES.rindex("SELECT doc_id, n_words")]
+    return judged + f"SELECT bit, rule, count(*) FILTER (failed & (1 << bit) <> 0) AS n_failed, count(*) FILTER (failed = 1 << bit) AS n_only FROM f, (VALUES {rules}) r(bit, rule) GROUP BY bit, rule"
+
+
 def license_scan() -> str:
     """The license scan over DuckDB, with the registry written out as VALUES."""
     from sievewright.llm.license_texts import DIGESTS, NOTICES, TEXTS
