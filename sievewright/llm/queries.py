@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import chat, exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality_pu, quality_rules, sql
-from sievewright.session import ship, table
+from sievewright.llm import chat, collocations, exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality_pu, quality_rules, sql
+from sievewright.session import ship, stash, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +59,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_marks", "n_lines", "failed")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return collocations.mine(stash(collocations.frequencies(table(spark, sf_dir, "documents"))))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the policy rejects, and what it alone rejects, over the ledger of all documents."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules, quality_ablations)
+QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules, op11_collocations, quality_ablations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES, "quality_ablations": sql.quality_ablations()}
+    return {"op11_collocations": sql.COLLOCATIONS, "op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES, "quality_ablations": sql.quality_ablations()}

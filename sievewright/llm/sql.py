@@ -88,6 +88,36 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) != 0 AS base_failed, (failed & 63) = 0 AS kept, n_marks, n_lines, failed FROM f
 """
 
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), ws AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), one AS (
+  SELECT lang, p, count(*) AS f FROM ws, unnest(w) AS u(p) GROUP BY ALL
+), two AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM ws, unnest(range(1, len(w))) AS u(i) GROUP BY ALL
+), three AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM ws, unnest(range(1, len(w) - 1)) AS u(i) GROUP BY ALL HAVING count(*) >= 10
+), over_ AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL
+), scored AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1000000::HUGEINT * t.f * t.f // (x.f::HUGEINT * y.f) AS score
+  FROM two t JOIN one x ON x.lang = t.lang AND x.p = t.w1 JOIN one y ON y.lang = t.lang AND y.p = t.w2
+  LEFT JOIN over_ o ON o.lang = t.lang AND o.w1 = t.w1 AND o.w2 = t.w2
+  WHERE t.f >= 10 AND (o.f IS NULL OR 100 * o.f < 50 * t.f)
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM (
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+           1000000::HUGEINT * t.f * t.f // (x.f::HUGEINT * yz.f) AS s1, 1000000::HUGEINT * t.f * t.f // (xy.f::HUGEINT * z.f) AS s2
+    FROM three t JOIN one x ON x.lang = t.lang AND x.p = t.w1 JOIN one z ON z.lang = t.lang AND z.p = t.w3
+    JOIN two xy ON xy.lang = t.lang AND xy.w1 = t.w1 AND xy.w2 = t.w2 JOIN two yz ON yz.lang = t.lang AND yz.w1 = t.w2 AND yz.w2 = t.w3)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+JOIN (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 
 def quality_ablations() -> str:
     """Failures by rule of the whole policy, on the same measurements."""
