@@ -31,6 +31,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+#: Keys that more rows than this ask for are looked up in so many slices.
+WIDE, SLICES = 1000, 64
+
+
+def attach(rows: DataFrame, key: str, known: DataFrame, width: str, spread: Column) -> DataFrame:
+    """Adds to ``rows`` what ``known``, one row per string ``key``, has for them, or nulls. Its column ``width``
+    says how many rows ask for a key; the widely asked for are met in slices of ``spread``, a string."""
+    values = [c for c in known.columns if c not in (key, width)]
+    wide = known.filter(F.col(width) > WIDE).select(key, *[F.col(c).alias(f"__{c}") for c in values], F.lit(True).alias("__wide"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice"))
+    few = known.filter(F.col(width) <= WIDE).select(F.col(key).alias("__asked"), *values)
+    dealt = rows.withColumn("__slice", F.pmod(F.xxhash64(spread), F.lit(SLICES)).cast("int")).join(wide, [key, "__slice"], "left")
+    asked = dealt.withColumn("__asked", F.when(F.col("__wide").isNull(), F.col(key)).otherwise(spread))
+    found = asked.join(few, "__asked", "left")
+    return found.select(*[found[c] for c in rows.columns], *[F.when(F.col("__wide"), F.col(f"__{c}")).otherwise(found[c]).alias(c) for c in values])
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under internal names: other columns can't clash with results."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])

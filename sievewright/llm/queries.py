@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import chat, collocations, exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality_pu, quality_rules, sql
-from sievewright.session import ship, stash, table
+from sievewright.llm import chat, collocations, exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, prefix_trie, quality_pu, quality_rules, sql, warc
+from sievewright.session import Scratch, checkpoint_dir, ship, stash, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +65,26 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(stash(collocations.frequencies(table(spark, sf_dir, "documents"))))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    scratch = Scratch(spark)
+    turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"), scratch)
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns), scratch)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    archive = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    return warc.digest_rows(warc.read(spark, archive))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the policy rejects, and what it alone rejects, over the ledger of all documents."""
     return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules, op11_collocations, quality_ablations)
+QUERIES = (op1_language_id, op2_exact_dedup, op3_pii, op4_chat_repair, op5_license_scan, op6_source_mixing, op7_quality_classifier, op8_near_dedup, op9_packing, op10_quality_rules, op11_collocations, op12_prefix_trie, op13_warc, quality_ablations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_collocations": sql.COLLOCATIONS, "op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES, "quality_ablations": sql.quality_ablations()}
+    return {"op11_collocations": sql.COLLOCATIONS, "op12_prefix_trie": sql.PREFIX_TRIE, "op13_warc": sql.WARC, "op2_exact_dedup": sql.EXACT_DEDUP, "op5_license_scan": sql.license_scan(), "op6_source_mixing": sql.SOURCE_MIXING, "op10_quality_rules": sql.QUALITY_RULES, "quality_ablations": sql.quality_ablations()}

@@ -118,6 +118,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 JOIN (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang) USING (lang) WHERE rank <= 2000
 """
 
+#: crc32 of a decimal number's digits, by reduction over their codes and, for each, over eight bits.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: list_reduce(list_prepend(xor(h, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"
+
+PREFIX_TRIE = f"""
+WITH given AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list(struct_pack(d := sha256(strlen(role)::VARCHAR || ':' || role || text), b := strlen(text)::BIGINT) ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) AS ts FROM given GROUP BY c
+), hashed AS (
+  SELECT c, ts, {_CRC} % 9 AS h FROM own
+), laid AS (
+  SELECT a.c, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 5
+), member AS (
+  SELECT c, d, CASE WHEN d = 0 THEN 0 ELSE ts[d].b END AS b, d = len(ts) AS ends, array_to_string(list_transform(ts[1:d], lambda t: t.d), ',') AS id,
+         CASE WHEN d > 0 THEN array_to_string(list_transform(ts[1:d - 1], lambda t: t.d), ',') END AS parent FROM laid, unnest(range(0, len(ts) + 1)) AS u(d)
+), node AS (
+  SELECT id, any_value(parent) AS parent, d AS depth, min(c) AS conv_id, count(*) AS n_convs, max(b) AS b,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM member GROUP BY id, d
+), kids AS (
+  SELECT parent AS id, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT any_value(CASE WHEN k = 0 THEN '' ELSE substr(n.id, 1, k * 65 - 1) END) AS id, any_value(n.id) AS under, any_value(n.b * (n.n_convs - 1)) AS saved, any_value(kids.id IS NULL) AS leaf
+  FROM node n LEFT JOIN kids ON kids.id = n.id, unnest(range(0, n.depth + 1)) AS u(k) GROUP BY n.id, k
+), sums AS (
+  SELECT id, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY id
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN kids ON kids.id = n.id LEFT JOIN node p ON p.id = n.parent JOIN sums s ON s.id = n.id
+"""
+
+WARC = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM (
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to FROM (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+"""
+
 
 def quality_ablations() -> str:
     """Failures by rule of the whole policy, on the same measurements."""
