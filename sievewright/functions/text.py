@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sievewright.functions.edits import edits
+
 CJK = "一-鿿"
 
 
@@ -156,15 +158,7 @@ def extract_days(c: Column, unit: str = "天|日") -> Column:
     return F.regexp_extract(c, rf"(\d{{1,3}})\s*(?:{unit})", 1).try_cast("int")
 
 
-def edits(reference: Column, heard: Column) -> Column:
-    """Levenshtein distance; where one text ends or begins with the other it's their difference in
-    length, which takes linear time (Spark's own takes quadratic time, with a threshold too)."""
-    a, b = F.char_length(reference), F.char_length(heard)
-    inside = F.endswith(reference, heard) | F.startswith(reference, heard) | F.endswith(heard, reference) | F.startswith(heard, reference)
-    return F.when(inside, F.abs(a - b)).otherwise(F.levenshtein(reference, heard))
-
-
-def cer(reference: Column, heard: Column, distance=F.levenshtein) -> Column:
+def cer(reference: Column, heard: Column, distance=edits) -> Column:
     """Character error rate; an empty reference has 0 against an empty text and 1 against others."""
     n = F.char_length(reference)
     return F.when(n > 0, distance(reference, heard) / n).otherwise(F.when(F.char_length(heard) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))

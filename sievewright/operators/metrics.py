@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.functions.edits import edits
+
 RANGES = 1024  #: ranges of values in which exact places are looked for
 
 
@@ -102,7 +104,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return n.crossJoin(chance).select("n", F.round(kappa, 6).alias("kappa"))
 
 
-def corpus_cer(df: DataFrame, reference: str, heard: str, distance=F.levenshtein) -> DataFrame:
+def corpus_cer(df: DataFrame, reference: str, heard: str, distance=edits) -> DataFrame:
     """All edits over all reference characters."""
     return df.agg(F.round(share(F.sum(distance(F.col(reference), F.col(heard))), F.sum(F.char_length(reference))), 6).alias("corpus_cer"))
 

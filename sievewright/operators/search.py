@@ -13,7 +13,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,12 +67,25 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
-def stated(queries: DataFrame) -> list[tuple[int, str]]:
-    """The query set in order of ids; an error where it is too large to go to every task."""
-    rows = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in parts")
-    return sorted((r["query_id"], r["query"] or "") for r in rows)
+def stated_sets(queries: DataFrame, columns: tuple[str, ...] = ("query_id", "query")) -> Iterator[list[tuple]]:
+    """The queries in sets of MOST_QUERIES, each in order of ids. One set at a time goes to every task,
+    however many queries there are."""
+    held: list[tuple] = []
+    for row in queries.select(*columns).toLocalIterator():
+        held.append((row[0], row[1] if row[1] is not None else ""))
+        if len(held) == MOST_QUERIES:
+            yield sorted(held, key=lambda r: r[0])
+            held = []
+    if held:
+        yield sorted(held, key=lambda r: r[0])
+
+
+def over_sets(queries: DataFrame, search: Callable[[list[tuple]], DataFrame], columns: tuple[str, ...] = ("query_id", "query"), schema: str | None = None) -> DataFrame:
+    """The rows of ``search`` over all sets of the queries, one after the other."""
+    found = None
+    for asked in stated_sets(queries, columns):
+        found = search(asked) if found is None else found.unionByName(search(asked))
+    return found if found is not None else queries.sparkSession.createDataFrame([], schema or PAIRS)
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -88,12 +100,15 @@ class Best:
         self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` has a row for each document; -inf is no hit."""
-        if len(ids):
-            score = np.concatenate([self.score, scores.T], axis=1)
-            names = np.concatenate([self.id, np.broadcast_to(ids, (len(self.id), len(ids)))], axis=1)
-            order = np.lexsort((names, -score), axis=1)[:, : self.k]
-            self.score, self.id = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+        """``scores`` has a row for each document; -inf is no hit. Only queries for which one is as good as
+        their k-th best so far are looked at."""
+        good = (scores.T >= self.score[:, -1:]) & (scores.T > -np.inf)
+        for q in np.flatnonzero(good.any(axis=1)):
+            at = np.flatnonzero(good[q])
+            score, names = np.concatenate([self.score[q], scores[at, q]]), np.concatenate([self.id[q], ids[at]])
+            some = np.flatnonzero(score >= np.partition(score, len(score) - self.k)[len(score) - self.k])
+            order = some[np.lexsort((names[some], -score[some]))[: self.k]]
+            self.score[q], self.id[q] = score[order], names[order]
 
     def rows(self, names: np.ndarray) -> pa.RecordBatch:
         q, at = np.nonzero(self.score > -np.inf)
@@ -156,7 +171,10 @@ def frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, float, dict[str
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of the pairs that share a term, or, with ``k``, of at least each
     query's best k. A first pass counts the documents of each query term."""
-    asked = [(q, sorted(set(words_of(text)))) for q, text in stated(queries)]
+    return over_sets(queries, lambda asked: _bm25([(q, sorted(set(words_of(text)))) for q, text in asked], docs, k))
+
+
+def _bm25(asked: list[tuple[int, list[str]]], docs: DataFrame, k: int | None) -> DataFrame:
     n, avg_len, df = frequencies(docs, sorted({t for _, ts in asked for t in ts}))
     idf_of = {t: max(np.log((n - d + 0.5) / (d + 0.5) + 1), 1e-9) for t, d in df.items()}
     sent = docs.sparkSession.sparkContext.broadcast((asked, idf_of, avg_len))  # bounded by MOST_QUERIES
@@ -229,40 +247,34 @@ def _overlaps(block: tuple, texts: list) -> np.ndarray:
 def overlap(queries: DataFrame, docs: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """(query_id, doc_id, score): the share of the query's 2-grams that the document has, of pairs
     that share one (at or above ``least``), or, with ``k``, of at least each query's best k."""
-    asked = stated(queries)
-    sent = docs.sparkSession.sparkContext.broadcast(asked)  # bounded by MOST_QUERIES
-    return scored(docs, [q for q, _ in asked], lambda: _gram_blocks(sent.value), _overlaps, k, least)
 
+    def one(asked: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(asked)  # bounded by MOST_QUERIES
+        return scored(docs, [q for q, _ in asked], lambda: _gram_blocks(sent.value), _overlaps, k, least)
 
-def _blocks(df: DataFrame, rows: int) -> DataFrame:
-    """(ids, matrix) rows of up to ``rows`` vectors each, made where the rows lie."""
+    return over_sets(queries, one)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k in range(0, len(b), rows):
-                part = b.iloc[k : k + rows]
-                yield pd.DataFrame({"ids": [part["id"].tolist()], "matrix": [np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()]})
 
-    return df.mapInPandas(run, "ids array<long>, matrix binary")
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k largest dot products of stated sets of queries with all
+    vectors. A set goes to every task, which passes over its vectors once and keeps each query's best k."""
 
+    def one(asked: list[tuple]) -> DataFrame:
+        names = np.array([q for q, _ in asked], np.int64)
+        sent = vectors.sparkSession.sparkContext.broadcast(np.array([list(v) for _, v in asked], np.float64))  # bounded by MOST_QUERIES
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int = 2048) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the k largest dot products of a stated query set against
-    all vectors, block by block: each pair of blocks is one matrix product that keeps k per query."""
-    q = _blocks(queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v")), 256).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    d = _blocks(vectors.select(F.col("doc_id").alias("id"), F.col("embedding").alias("v")), rows)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(names), k)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2048):
+                    part = batch.slice(start, 2048)
+                    matrix = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
+                    best.add(np.asarray(part.column(0), np.int64), np.round(matrix @ sent.value.T, 6))
+            yield best.rows(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                left = np.frombuffer(r.q_matrix).reshape(len(r.q_ids), -1)
-                right, ids = np.frombuffer(r.matrix).reshape(len(r.ids), -1), np.asarray(r.ids)
-                scores = np.round(left @ right.T, 6)
-                n = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(r.q_ids), n), "doc_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+        return vectors.filter("embedding is not null").select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, PAIRS)
 
-    return ranked(q.crossJoin(d).mapInPandas(run, "query_id long, doc_id long, score double"), k)
+    return ranked(over_sets(queries.filter("embedding is not null"), one, ("query_id", "embedding")), k)
 
 
 def rrf(arms: list[tuple[DataFrame, float]], k: int = 60, pool: int | None = POOL, shown: bool = True) -> DataFrame:
@@ -291,7 +303,10 @@ def gated(queries: DataFrame, docs: DataFrame, tactic: list[str], distress: list
     sum of these counts decides which pool a query's hits come from."""
     tactic = [t for t in tactic if t]
     gate = queries.filter((F.size(T.hits(F.col("query"), tactic)) > 0) | T.any_term(F.col("query"), distress))
-    asked = stated(gate)
+    return over_sets(gate, lambda asked: _gated(asked, docs, tactic, k, bonus, narrow), schema=PAIRS + ", rank int")
+
+
+def _gated(asked: list[tuple], docs: DataFrame, tactic: list[str], k: int, bonus: float, narrow: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(asked)  # bounded by MOST_QUERIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

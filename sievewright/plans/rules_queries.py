@@ -10,9 +10,9 @@ from sievewright.operators import metrics as E
 from sievewright.operators import rules as R
 from sievewright.operators import sessions
 from sievewright.plans import vocab as V
-from sievewright.plans.corpus_queries import cut_sql, docs, heard, terms_sql
+from sievewright.plans.corpus_queries import HEARD, docs, heard, heard_turns, terms_sql
 from sievewright.plans.registry import query
-from sievewright.session import table
+from sievewright.session import ship, table
 
 
 def hits_sql(c: str, terms) -> str:
@@ -236,16 +236,18 @@ def cohen_kappa(spark, sf_dir):
     return E.cohen_kappa(judged(spark, sf_dir), "y", "b")
 
 
-@query(f"SELECT round(sum({cut_sql(3)}) / sum(length(text))::DOUBLE, 6) AS corpus_cer FROM documents")
+@query(f"SELECT round(sum(levenshtein(a, b)) / sum(length(a))::DOUBLE, 6) AS corpus_cer FROM ({HEARD})")
 def corpus_cer(spark, sf_dir):
     """As cer, all edits over all characters."""
-    return E.corpus_cer(heard(spark, sf_dir, 1, 3), "a", "b", T.edits)
+    ship(spark)
+    return E.corpus_cer(heard_turns(spark, sf_dir), "a", "b")
 
 
-@query(f"SELECT round(sum({cut_sql(2)}) / sum(length(text))::DOUBLE, 6) AS corpus_cer FROM documents")
+@query()
 def corpus_cer_whole(spark, sf_dir):
     """As cer_whole, all edits over all characters."""
-    return E.corpus_cer(heard(spark, sf_dir), "a", "b", T.edits)
+    ship(spark)
+    return E.corpus_cer(heard(table(spark, sf_dir, "documents").select("doc_id", "text")), "a", "b")
 
 
 @query("SELECT event_type, value AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS plc, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE plc = greatest(1, least(n, round_even(0.95 * n, 0)::BIGINT))")

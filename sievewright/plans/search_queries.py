@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import masking as M
 from sievewright.functions import text as T
-from sievewright.operators import metrics
+from sievewright.operators import metrics, text_index
 from sievewright.operators import search as S
 from sievewright.plans import vocab as V
 from sievewright.operators import corpus as C
@@ -40,9 +40,14 @@ def items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def bm25(spark, sf_dir, k=None):
+def index(spark, sf_dir):
+    """The stored index of the documents; the first search of a session builds it."""
     ship(spark)
-    return S.bm25(items(spark, sf_dir), docs(spark, sf_dir), k)
+    return text_index.ensure(docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def bm25(spark, sf_dir, k=None):
+    return text_index.bm25(items(spark, sf_dir), index(spark, sf_dir), k)
 
 
 def overlap(spark, sf_dir, k=None, least=None):
@@ -80,7 +85,7 @@ def term_freq(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT term, df, round(greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 1e-9), 6) AS idf FROM df, st")
 def bm25_stats(spark, sf_dir):
-    return S.bm25_stats(docs(spark, sf_dir))
+    return text_index.stats(index(spark, sf_dir))
 
 
 @query(f"WITH {OVERLAP} SELECT query_id, doc_id, score, rank FROM ovr WHERE rank <= 5 AND score > 0")
@@ -190,11 +195,15 @@ _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN docum
 def gold(spark, sf_dir):
     """(query_id, doc_id) of the documents that hold an item's passage whole. One pass over the
     documents: each task looks for all items of the stated set, whose texts it has."""
+    ship(spark)
+    return S.over_sets(items(spark, sf_dir), lambda asked: _holders(docs(spark, sf_dir), asked), schema="query_id long, doc_id long")
+
+
+def _holders(documents, asked):
     import ahocorasick
     import pyarrow as pa
 
-    ship(spark)
-    sent = spark.sparkContext.broadcast(S.stated(items(spark, sf_dir)))
+    sent = documents.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
         by_text = {}
@@ -214,7 +223,7 @@ def gold(spark, sf_dir):
                     rows += [(q, doc) for q in sorted(held | set(everywhere))]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.int64())], names=["query_id", "doc_id"])
 
-    return docs(spark, sf_dir).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "query_id long, doc_id long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "query_id long, doc_id long")
 
 
 @query(f"""WITH {BM25}, {_GOLD}, top AS (SELECT query_id, doc_id FROM bmr WHERE rank <= 5)

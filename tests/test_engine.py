@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,29 +149,124 @@ def test_metrics_by_hand(spark):
     assert [round(c[0], 3) for c in cer] == [0.333, 0.0, 1.0]
 
 
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("reach", [1, 3, 32])
+def test_edits_are_those_of_the_plain_table(monkeypatch, reach):
+    import random
+
+    from sievewright.functions import edits
+
+    monkeypatch.setattr(edits, "FIRST_REACH", reach)
+    rng = random.Random(reach)
+    for _ in range(800):
+        letters = "abé漢😀"[: rng.randint(1, 5)]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        other = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        changed = "".join(rng.choice([c, c, c, c, "", c + "x", "y"]) for c in a)
+        for b in (other, changed):
+            assert edits.distance(a, b) == plain_edits(a, b)
+
+
+def test_edits_in_the_middle_of_long_texts():
+    from sievewright.functions import edits
+
+    text = list("漢字 and words, " * 20_000)
+    changed = list(text)
+    for k in range(100, len(text), 9001):
+        changed[k] = "#"
+    begun = time.time()
+    assert edits.distance("".join(text), "".join(changed)) == len(range(100, len(text), 9001))
+    assert edits.distance("".join(text), "".join(changed[:7] + changed[8:])) == len(range(100, len(text), 9001)) + 1
+    assert time.time() - begun < 20
+
+
 def test_error_rates_of_whole_texts(spark, tmp_path):
-    from sievewright.plans.corpus_queries import cer, cer_whole
+    import re
+
+    from sievewright.plans.corpus_queries import MISHEARD, cer, cer_whole
     from sievewright.plans.rules_queries import corpus_cer, corpus_cer_whole
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-        return row[-1]
+    def heard(text):
+        for said, taken in MISHEARD:
+            text = re.sub(said, taken, text)
+        return text
 
-    odd = [("abcd", "xbcd"), ("abc", "ab"), ("漢字", "x漢字"), ("kitten", "sitting"), ("", "é"), ("abab", "bab")]
+    odd = [("abcd", "xbcd"), ("漢字", "x漢字"), ("kitten", "sitting"), ("", "é"), (None, "a"), ("", "")]
     rows = spark.createDataFrame(odd, "a string, b string").select("a", "b", T.edits(F.col("a"), F.col("b")).alias("n")).collect()
-    assert [r["n"] for r in rows] == [edits(a, b) for a, b in odd]
-    texts = ["漢字かな" * 40, "déjà vu 😀 " * 30, "plain words " * 30, "aaaa", "ab", "x", "é", "", None]
+    assert [r["n"] for r in rows] == [None if a is None else plain_edits(a, b) for a, b in odd]
+    texts = ["漢字 and かな " * 40, "déjà station st 😀 123 " * 30, "plain hea and her. words " * 30, "aaaa", "er,", "x", "é", "", None]
     spark.createDataFrame([(k, t, ["en", "fr", None][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    for one, whole, heard in ((cer_whole, corpus_cer_whole, lambda t: t[2:]), (cer, corpus_cer, lambda t: t[:-3])):
-        pairs = [(t or "", heard(t or "")) for t in texts]
-        found = {r["doc_id"]: r["cer"] for r in one(spark, str(tmp_path)).collect()}
-        assert found == {k: round(edits(a, b) / len(a), 6) if a else 0.0 for k, (a, b) in enumerate(pairs)}
-        assert whole(spark, str(tmp_path)).first()["corpus_cer"] == round(sum(edits(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), 6)
+    spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for one, whole, key, made in ((cer_whole, corpus_cer_whole, "doc_id", lambda t: t), (cer, corpus_cer, "turn", lambda t: re.sub("[^\\x00-\\x7f]", "?", t))):
+        pairs = [(made(t or ""), heard(made(t or ""))) for t in texts]
+        found = {r[key]: r["cer"] for r in one(spark, str(tmp_path)).collect()}
+        assert found == {k: round(plain_edits(a, b) / len(a), 6) if a else 0.0 for k, (a, b) in enumerate(pairs)}
+        assert sum(found.values()) > 0
+        assert whole(spark, str(tmp_path)).first()["corpus_cer"] == round(sum(plain_edits(a, b) for a, b in pairs) / sum(len(a) for a, _ in pairs), 6)
+
+
+PIECES = ["a.b+c@x-y.example.com", "a@b.c+d@e.f", "@", "http://x.y/z，", "A123456789", "代碼: AB12345678", "4111 1111 1111 1111", "0912-345-678", "02-12345678", "帳號 123-456 7890", "12345678901", "9" * 30, "LINE ID: abc_1", "line: line", "賴帳號：kk.9", "本人本人，", "我叫王小明 ", "臺北市大安區和平東路一段1號", "2,500,000元", "民國 1234", "2024年", "3.5萬元", "1.2.3億", "價 5000 ", " ", "  ", "x", "é", "，", "+", ".", "年", "12"]
+
+
+def given_rules(text):
+    """The rules as they are given, one after the other, each character with its place in the source."""
+    import re
+
+    chars, found = [(c, k, k + 1) for k, c in enumerate(text)], []
+    for kind, pattern, placeholder in (*M.RULES, M.LONG_RUN):
+        now = "".join(c for c, _, _ in chars)
+        out, last = [], 0
+        for m in re.finditer(pattern, now):
+            g = re.compile(pattern).groups
+            found.append((kind, m.start(), m.end(), placeholder, chars[m.start(g)][1], chars[m.end(g) - 1][2]))
+            out += chars[last : m.start()]
+            at = m.start()
+            while at < m.end():
+                if now.startswith(m[g], at) and at + len(m[g]) <= m.end():
+                    out += [(c, chars[at][1], chars[at + len(m[g]) - 1][2]) for c in placeholder]
+                    at += len(m[g])
+                else:
+                    out.append(chars[at])
+                    at += 1
+            last = m.end()
+        chars = out + chars[last:]
+    return "".join(c for c, _, _ in chars), found
+
+
+def test_masking_is_that_of_the_rules_as_given(spark):
+    import random
 
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 14))) for _ in range(1500)] + PIECES
+    native = [r["m"] for r in spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1).select(M.mask_native(F.col("t")).alias("m")).collect()]
+    for text, masked in zip(texts, native, strict=True):
+        want, redactions = given_rules(text)
+        assert masked == want, text
+        whole, found = M.mask_text(text)
+        assert [r for r in found if r[0] != "amount"] == redactions, text
+        spans, at, made = sorted((r[4], -r[5], k) for k, r in enumerate(found)), 0, ""
+        assert all(0 <= r[4] < r[5] <= len(text) for r in found)
+    assert native[-len(PIECES) :][PIECES.index("line: line")] == "[通訊帳號]: [通訊帳號]"
+    assert M.mask_text("mail a@b.co, call 0912345678")[1][1][4:] == (18, 28)
+
+
+@pytest.mark.parametrize("run", ["x", "9", " ", "a.", "漢", "+", "@a", "代碼 ", "1,000,", "line ", "x@y", "0", "帳號", "1.5", "民國 "])
+def test_masking_takes_time_in_proportion(spark, run):
+    text = (run * 1_000_000)[:1_000_000]
+    begun = time.time()
+    M.mask_text("代碼" + text + "!")
+    assert time.time() - begun < 5
+    begun = time.time()
+    spark.createDataFrame([("帳號" + text + "!",)], "t string").select(M.mask_native(F.col("t"))).collect()
+    assert time.time() - begun < 8
 
 
 def test_packs_and_thresholds(spark):
@@ -191,7 +287,7 @@ def test_ranking_uses_a_group_limit(spark):
 def test_vector_topk_against_plain_products(spark):
     rows = [(k, [float(k % 3), float(k % 5), 1.0]) for k in range(40)]
     e = spark.createDataFrame(rows, "id long, embedding array<float>")
-    got = search.vector_topk(e.filter("id < 3").withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "doc_id"), 4, rows=7).collect()
+    got = search.vector_topk(e.filter("id < 3").withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "doc_id"), 4).collect()
     for q in range(3):
         want = sorted(range(40), key=lambda d: (-sum(a * b for a, b in zip(rows[q][1], rows[d][1])), d))[:4]
         assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
