@@ -3,7 +3,7 @@
 The index is a table of posting lists, made in one pass and without a shuffle. Documents are dealt
 into segments where they lie; a segment numbers its documents and keeps one row a term. A list is cut
 into blocks by windows of ``WINDOW`` documents: numbers are kept as steps from one block's window to
-the next and, within a block, as places in the window; beside each block stand the largest term
+the next and, within a block, as places in the window (which take a byte); beside each block stand the largest term
 frequency and the shortest document in it, which bound the score that the term can give there. Beside
 the lists are the terms' document frequencies, and facts of the collection with a fingerprint of what
 the index was made from: another fingerprint is another index.
@@ -37,64 +37,61 @@ WINDOW, SEGMENT_BYTES, SEGMENT_DOCS = 256, 8 << 20, 1 << 16
 OPENED = 4
 
 LISTS = "segment string, term string, n int, steps binary, counts binary, most binary, least binary, places binary, tfs binary"
+#: Part of every fingerprint: an index of another format is another index.
+FORMAT = f"lists 2, windows of {WINDOW}: "
+#: Numbers in each column of a list.
+KINDS = {"steps": np.uint32, "counts": np.uint16, "most": np.uint32, "least": np.uint32, "places": np.uint8, "tfs": np.uint32}
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers in as many bytes each as the largest takes, after a byte that says how many."""
-    kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if not len(numbers) or numbers.max() <= np.iinfo(t).max)
-    return kind[-1].encode() + numbers.astype(kind).tobytes()
+def _unpacked(row: dict, column: str) -> np.ndarray:
+    return np.frombuffer(row[column], KINDS[column]).astype(np.int64)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
+def _sliced(numbers: np.ndarray, bounds: np.ndarray, column: str) -> pa.BinaryArray:
+    """A column's numbers, cut at ``bounds``."""
+    kind = np.dtype(KINDS[column])
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int32)), pa.py_buffer(numbers.astype(kind))])
 
 
-def segment_rows(name: str, ids: list[int], texts: list[str | None]) -> list[tuple]:
-    """The rows of one segment: its documents under the term null, then a posting list for each term."""
+def segment(name: str, ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
+    """The rows of one segment: a posting list for each term, and its documents under the term null."""
     order = np.argsort(np.asarray(ids, np.int64), kind="stable")
-    ids = np.asarray(ids, np.int64)[order]
-    numbers: dict[str, list[int]] = {}
-    tfs: dict[str, list[int]] = {}
-    lengths = np.ones(len(ids), np.int64)
-    for number, at in enumerate(order):
-        said = S.words_of(texts[at])
-        lengths[number] = max(1, len(said))
-        for term, tf in Counter(said).items():
-            numbers.setdefault(term, []).append(number)
-            tfs.setdefault(term, []).append(tf)
-    rows = [(name, None, len(ids), b"", b"", b"", b"", ids.tobytes(), _packed(lengths))]
-    for term in sorted(numbers):
-        number, tf = np.asarray(numbers[term]), np.asarray(tfs[term])
-        window = number // WINDOW
-        first = np.flatnonzero(np.diff(window, prepend=-1))
-        steps, counts = np.diff(window[first], prepend=0), np.diff(np.append(first, len(number)))
-        most, least = np.maximum.reduceat(tf, first), np.minimum.reduceat(lengths[number], first)
-        rows.append((name, term, len(number), *map(_packed, (steps, counts, most, least, number % WINDOW, tf))))
-    return rows
+    said = [S.words_of(texts[k]) for k in order]
+    sizes = np.array([len(w) for w in said])
+    coded = pa.array([w for ws in said for w in ws], pa.string()).dictionary_encode()
+    keys, tfs = np.unique(np.asarray(coded.indices, np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+    code, number = keys // len(ids), keys % len(ids)
+    lengths, window = np.maximum(1, sizes), number // WINDOW
+    block = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0))
+    term = np.flatnonzero(np.diff(code, prepend=-1))
+    blocks = np.append(np.searchsorted(block, term), len(block))
+    steps = np.diff(window[block], prepend=0)
+    steps[blocks[:-1]] = window[block][blocks[:-1]]
+    most, least = (f.reduceat(x, block) if len(block) else x for f, x in ((np.maximum, tfs), (np.minimum, lengths[number])))
+    rows = np.append(term, len(number))
+    columns = [_sliced(x, blocks, c) for x, c in ((steps, "steps"), (np.diff(np.append(block, len(number))), "counts"), (most, "most"), (least, "least"))]
+    columns += [_sliced(number % WINDOW, rows, "places"), _sliced(tfs, rows, "tfs")]
+    head = [[name], [None], [len(ids)], [b""], [b""], [b""], [b""], [np.asarray(ids, np.int64)[order].tobytes()], [lengths.astype(KINDS["tfs"]).tobytes()]]
+    lists = [pa.array([name] * len(term), pa.string()), coded.dictionary.take(pa.array(code[term])), pa.array(np.diff(rows), pa.int32()), *columns]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(h, c.type), c]) for h, c in zip(head, lists, strict=True)], [c.split()[0] for c in LISTS.split(", ")])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, texts, held = [], [], 0
-    kinds = (pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 6)
-
-    def closed() -> pa.RecordBatch:
-        rows = segment_rows(uuid.uuid4().hex, ids, texts)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in LISTS.split(", ")])
-
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(doc)
             texts.append(text)
             held += len(text or "")
             if held >= SEGMENT_BYTES or len(ids) >= SEGMENT_DOCS:
-                yield closed()
+                yield segment(uuid.uuid4().hex, ids, texts)
                 ids, texts, held = [], [], 0
     if ids:
-        yield closed()
+        yield segment(uuid.uuid4().hex, ids, texts)
 
 
 def fingerprint(docs: DataFrame) -> str:
-    """Of what a frame reads: its plan, and the names, sizes and times of its files. A frame that reads no
+    """Of what a frame reads: the index's format, its plan, and the names, sizes and times of its files. A frame that reads no
     files is known by its rows."""
     spark = docs.sparkSession
     folders: dict[str, set[str]] = {}
@@ -104,8 +101,8 @@ def fingerprint(docs: DataFrame) -> str:
     if not folders:
         from sievewright.operators.dense import fingerprint as of_rows
 
-        return hashlib.sha256(of_rows(docs).encode()).hexdigest()
-    facts = [docs._jdf.queryExecution().optimizedPlan().canonicalized().toString()]
+        return hashlib.sha256((FORMAT + of_rows(docs)).encode()).hexdigest()
+    facts = [FORMAT + docs._jdf.queryExecution().optimizedPlan().canonicalized().toString()]
     for folder, names in sorted(folders.items()):
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
@@ -143,7 +140,7 @@ def build(docs: DataFrame, path: str, made_from: str) -> None:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = [_unpacked(x) for x in batch.column(0).to_pylist()]
+            lengths = [_unpacked({"tfs": x}, "tfs") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in lengths], pa.int64()), pa.array([int(x.sum()) for x in lengths], pa.int64())], ["n", "length"])
 
     total = lists.filter("term is null").select("tfs").mapInArrow(sizes, "n long, length long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
@@ -180,14 +177,14 @@ class _Segment:
     def __init__(self, rows: list[dict], avg_len: float) -> None:
         head = next(r for r in rows if r["term"] is None)
         self.ids = np.frombuffer(head["places"], np.int64)
-        self.norm = S.K1 * (1 - S.B + S.B * _unpacked(head["tfs"]) / avg_len)
+        self.norm = S.K1 * (1 - S.B + S.B * _unpacked(head, "tfs") / avg_len)
         self.windows = -(-len(self.ids) // WINDOW)
         self.lists, self.bounds = {}, {}
         for r in rows:
             if r["term"] is not None:
-                window, counts = np.cumsum(_unpacked(r["steps"])), _unpacked(r["counts"])
-                most = _unpacked(r["most"])
-                peak = most * (S.K1 + 1) / (most + S.K1 * (1 - S.B + S.B * _unpacked(r["least"]) / avg_len))
+                window, counts = np.cumsum(_unpacked(r, "steps")), _unpacked(r, "counts")
+                most = _unpacked(r, "most")
+                peak = most * (S.K1 + 1) / (most + S.K1 * (1 - S.B + S.B * _unpacked(r, "least") / avg_len))
                 self.lists[r["term"]] = (window, np.concatenate([[0], np.cumsum(counts)]), r)
                 self.bounds[r["term"]] = window, peak
         self.opened: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -196,8 +193,8 @@ class _Segment:
         """Document numbers of a term, and its share of their scores before its weight."""
         if term not in self.opened:
             window, starts, r = self.lists[term]
-            number = np.repeat(window * WINDOW, np.diff(starts)) + _unpacked(r["places"])
-            tf = _unpacked(r["tfs"])
+            number = np.repeat(window * WINDOW, np.diff(starts)) + _unpacked(r, "places")
+            tf = _unpacked(r, "tfs")
             self.opened[term] = number, tf * (S.K1 + 1) / (tf + self.norm[number])
         return self.opened[term]
 
@@ -220,8 +217,9 @@ class _Segment:
                 number, part = self.parts(term)
                 place = np.searchsorted(window, fresh)
                 place = place[(place < len(window)) & (window[np.minimum(place, len(window) - 1)] == fresh)]
-                for low, high in zip(starts[place], starts[place + 1], strict=True):
-                    total[number[low:high]] += weight * part[low:high]
+                low, size_of = starts[place], starts[place + 1] - starts[place]
+                some = np.repeat(low - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
+                total[number[some]] += weight * part[some]
             spots = (fresh[:, None] * WINDOW + np.arange(WINDOW)).ravel()
             spots = spots[spots < len(self.ids)]
             spots = spots[total[spots] > 0]
@@ -234,7 +232,7 @@ class _Segment:
 def _search(index: Index, asked: list[tuple[int, list[str]]], k: int | None) -> DataFrame:
     spark = index.spark
     terms = sorted({t for _, ts in asked for t in ts})
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+    wanted = spark.createDataFrame(pa.table({"term": pa.array([*terms, None], pa.string())}))
     df = {r["term"]: r["df"] for r in index.terms.join(F.broadcast(wanted), "term", "left_semi").collect()}  # as many as the queries' terms
     weight = {t: max(float(np.log((index.n - d + 0.5) / (d + 0.5) + 1)), 1e-9) for t, d in df.items()}
     sent = spark.sparkContext.broadcast([(q, {t: weight[t] for t in ts if t in weight}) for q, ts in asked])  # bounded by the query set
@@ -250,8 +248,9 @@ def _search(index: Index, asked: list[tuple[int, list[str]]], k: int | None) ->
             scores.append(worth)
         return pa.table({n: np.concatenate(c) if c else np.zeros(0, t) for n, c, t in (("query_id", names, np.int64), ("doc_id", ids, np.int64), ("score", scores, np.float64))})
 
-    lists = index.lists.join(F.broadcast(wanted.union(spark.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "t")), F.col("term").eqNullSafe(F.col("t")), "left_semi")
-    return lists.groupBy("segment").applyInArrow(score, S.PAIRS)
+    lists = index.lists.join(F.broadcast(wanted.withColumnRenamed("term", "t")), F.col("term").eqNullSafe(F.col("t")), "left_semi")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
+    return lists.repartition(tasks, "segment").groupBy("segment").applyInArrow(score, S.PAIRS)
 
 
 def bm25(queries: DataFrame, index: Index, k: int | None = None) -> DataFrame:

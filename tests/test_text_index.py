@@ -68,21 +68,13 @@ def test_windows_below_the_best_stay_closed(indexed, monkeypatch):
     ids = list(range(4000))
     texts = ["alpha " * (30 if 500 <= k < 510 else 1) + "beta " * 30 for k in ids]
     monkeypatch.setattr(X, "OPENED", 1)
-    rows = [dict(zip([c.split()[0] for c in X.LISTS.split(", ")], r, strict=True)) for r in X.segment_rows("s", ids, texts)]
-    segment, looked = X._Segment(rows, 31.0), []
+    segment, looked = X._Segment(X.segment("s", ids, texts).to_pylist(), 31.0), []
     real = np.searchsorted
     monkeypatch.setattr(X.np, "searchsorted", lambda a, v, *r, **k: (looked.append(len(v)), real(a, v, *r, **k))[1])
     found, scores = segment.best({"alpha": 2.0}, 5)
     assert list(found) == [500, 501, 502, 503, 504] and sum(looked) < segment.windows // 2
 
 
-def test_packed_numbers_come_back():
-    for top in (0, 1, 255, 256, 70_000, 2**40):
-        numbers = np.array([0, top, top // 2], np.int64)
-        assert list(X._unpacked(X._packed(numbers))) == list(numbers)
-    assert list(X._unpacked(X._packed(np.zeros(0, np.int64)))) == []
-
-
 def test_changed_documents_are_indexed_anew(spark, tmp_path):
     where, folder = str(tmp_path / "docs"), str(tmp_path / "index")
     make = lambda text: spark.createDataFrame([(1, "one two"), (2, text)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(where)
