@@ -1,18 +1,21 @@
 """Quality classification by positive-unlabelled learning with a non-negative unbiased risk.
 
 Trusted positives (label 1) and unlabelled web text (all documents) train a small network on text
-measurements. The risk of the unlabelled part, less the
-positives' share, is kept from going negative. The class prior is estimated without negatives: a
-first network learns from half of the positives, and the least ratio of the unlabelled to the other
-half's share above a cut-off is the prior (a cut-off that few positives pass is no evidence). Where
-rows are labelled 0, a last monotone step maps the network's output to the share of positives among
-the labelled rows of the learning fold; else the output is its own logistic share. Both samples are
-bounded by parameters; scoring reads every whole text, map-only.
+measurements. The risk of the unlabelled part, less the positives' share, is kept from going negative.
+The class prior is estimated without negatives: a first network learns from half of the positives, and
+the least ratio of the unlabelled to the other half's share above a cut-off is the prior (a cut-off
+that few positives pass is no evidence). Labels 0 play no part: the score is the network's own
+logistic share, whose loss is a proper one.
+
+Samples are of rows, not ids: the ``POSITIVES`` labelled and ``UNLABELLED`` other rows of the least
+hashes of id and text come to the driver, measured, and never more, however often an id or a text
+repeats. Scoring reads every whole text, map-only. The measurements are shares of bytes, lines and
+words; they tell junk from prose by form, not by what it says.
 
 Defined results: a null or empty text is scored on its (zero) measurements; repeated rows get equal
-scores; a label that repeats for one id counts once, conflicting ones count once each; without
-positives or unlabelled text every score is 0.5; texts of any length are read whole; an empty table
-gives an empty result. Other columns play no part.
+scores, and so do ties; a label that repeats for one id counts once; without positives or unlabelled
+text every score is 0.5; texts of any length are read whole; an empty table gives an empty result.
+Other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.common import held_out, narrow
 
-POSITIVES, NEGATIVES, UNLABELLED = 6000, 6000, 12_000  #: sample bounds, about
+POSITIVES, UNLABELLED = 6000, 12_000  #: rows of the samples, at most
 THRESHOLD = 0.7
 HIDDEN, EPOCHS, RATE = 24, 300, 0.02
 
@@ -62,19 +65,28 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "x array<double>" + (f", {kinds}" if kinds else ""))
 
 
-def _share(of: str, seed: str) -> Column:
-    return F.pmod(F.xxhash64(of, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def _place(seed: str) -> Column:
+    """Where a row stands in its sample's order, from 0 to 1, by its id and text."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _sample(rows: DataFrame, seed: str, total: int, most: int) -> np.ndarray:
+    """Measurements of the ``most`` rows of (doc_id, text) that come first. Only those before twice their share
+    are measured; where copies abound, so that many rows stand at one place, they may be fewer than ``most``."""
+    placed = rows.withColumn("place", _place(seed)).filter(F.col("place") < min(1.0, (2 * most + 1000) / max(1, total)))
+    taken = _measured(placed.select(F.col("text").cast("string"), "place")).orderBy("place").limit(most).toPandas()
+    x = np.array([*map(np.asarray, taken["x"])], float).reshape(-1, len(measure("")))
+    return x[np.lexsort(x.T)] if len(x) else x  # rows may arrive in any order; the fit must not depend on it
 
 
 class Model:
-    """A one-hidden-layer network with a monotone calibration."""
+    """A one-hidden-layer network."""
 
     def __init__(self, width: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.mean, self.scale = np.zeros(width), np.ones(width)
         self.w1 = rng.normal(0, width**-0.5, (width, HIDDEN))
         self.b1, self.w2, self.b2 = np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0
-        self.knots = (np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
         self.prior = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -82,31 +94,36 @@ class Model:
         return hidden @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The calibrated share, with the margin as a small tie-break inside each step."""
-        g = self.margin(x)
-        return np.clip(0.98 * np.interp(g, *self.knots) + 0.02 / (1 + np.exp(-g)), 0.0, 1.0)
+        """The logistic share of label 1."""
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+
+
+def pu_risk(g: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:
+    """prior R_p(+) + max(0, R_u(-) - prior R_p(-))  with the logistic loss, of margins whose first ``n_p``
+    are positives' and whose others are unlabelled rows'; and what training descends along: the risk's
+    gradient by margin or, where the second part is negative, the way that raises it."""
+    n_u = len(g) - n_p
+    loss = lambda s: np.logaddexp(0, s)
+    sig = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+    up, down = np.zeros(len(g)), np.zeros(len(g))
+    up[:n_p] = prior * (sig[:n_p] - 1) / n_p
+    down[n_p:] = sig[n_p:] / n_u
+    down[:n_p] = -prior * sig[:n_p] / n_p
+    rest = loss(g[n_p:]).mean() - prior * loss(g[:n_p]).mean()
+    return prior * loss(-g[:n_p]).mean() + max(0.0, rest), up + down if rest >= 0 else -down
 
 
 def nn_pu(model: Model, pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE) -> Model:
-    """Adam on  prior R_p(+) + max(0, R_u(-) - prior R_p(-))  with the logistic loss."""
+    """Adam on the non-negative risk."""
     both = np.concatenate([pos, unl])
     model.mean, model.scale = both.mean(axis=0), both.std(axis=0) + 1e-6
     names = ("w1", "b1", "w2", "b2")
     moments = {k: [np.zeros_like(np.asarray(getattr(model, k), float)) for _ in range(2)] for k in names}
     xp, xu = (np.clip((x - model.mean) / model.scale, -8, 8) for x in (pos, unl))
     x = np.concatenate([xp, xu])
-    n_p, n_u = len(xp), len(xu)
     for step in range(1, epochs + 1):
         hidden = np.tanh(x @ model.w1 + model.b1)
-        g = np.clip(hidden @ model.w2 + model.b2, -30, 30)
-        sig = 1 / (1 + np.exp(-g))
-        up, down = np.zeros(len(x)), np.zeros(len(x))
-        up[:n_p] = prior * (sig[:n_p] - 1) / n_p
-        down[n_p:] = sig[n_p:] / n_u
-        down[:n_p] = -prior * sig[:n_p] / n_p
-        loss = lambda s: np.log1p(np.exp(s))
-        rest = loss(g[n_p:]).mean() - prior * loss(g[:n_p]).mean()
-        grad = up + down if rest >= 0 else -down  # the non-negative correction steps back
+        _, grad = pu_risk(hidden @ model.w2 + model.b2, len(xp), prior)
         gh = np.outer(grad, model.w2) * (1 - hidden**2)
         grads = {"w1": x.T @ gh + 1e-4 * model.w1, "b1": gh.sum(axis=0), "w2": hidden.T @ grad + 1e-4 * model.w2, "b2": grad.sum()}
         for k in names:
@@ -136,52 +153,21 @@ def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(np.mean(found), 0.05, 0.95))
 
 
-def isotonic(g: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of y on g, as knots for interpolation."""
-    order = np.argsort(g, kind="stable")
-    blocks: list[list[float]] = []  # mean, weight, first g, last g
-    for k in order:
-        blocks.append([y[k], w[k], g[k], g[k]])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            m, v, _, last = blocks.pop()
-            p = blocks[-1]
-            blocks[-1] = [(p[0] * p[1] + m * v) / (p[1] + v), p[1] + v, p[2], last]
-    xs = np.array([x for b in blocks for x in (b[2], b[3])])
-    ys = np.array([b[0] for b in blocks for _ in (0, 1)])
-    keep = np.concatenate([[True], np.diff(xs) > 0])
-    return xs[keep], ys[keep]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on bounded samples of rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Fits on samples of rows outside the held-out fold."""
     given = narrow(docs, doc_id=id_col, text=text_col).filter(~held_out(F.col("doc_id")))
-    marks = narrow(labels, doc_id=id_col, label=label_col).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    marks = marks.distinct()
-    known = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    total = given.count()
-    rate = F.when(F.col("label") == 1, min(1.0, POSITIVES / max(1, known.get(1, 0)))).otherwise(min(1.0, NEGATIVES / max(1, known.get(0, 0))))
-    # At most about POSITIVES + NEGATIVES ids, so the broadcast is bounded.
-    chosen = marks.filter(_share("doc_id", "labelled") < rate)
-    labelled = _measured(given.join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string"), "label")).toPandas()
-    unlabelled = _measured(given.filter(_share("doc_id", "unlabelled") < min(1.0, UNLABELLED / max(1, total))).select(F.col("text").cast("string"))).toPandas()
-    width = len(measure(""))
-    model = Model(width)
-    stack = lambda rows: np.array([*map(np.asarray, rows)], float).reshape(-1, width)
-    x, y, u = stack(labelled["x"]), labelled["label"].to_numpy(float), stack(unlabelled["x"])
-    order = np.lexsort([*x.T, y])  # rows may arrive in any order; the fit must not depend on it
-    x, y, u = x[order], y[order], u[np.lexsort(u.T)] if len(u) else u
-    if not (y == 1).any() or not len(u):
+    good = narrow(labels, doc_id=id_col, label=label_col).filter((F.col("label") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    counts = given.select("doc_id").join(good.withColumn("good", F.lit(1)), "doc_id", "left").agg(F.count(F.lit(1)).alias("all"), F.count("good").alias("good")).first()
+    # Rows are thinned where they lie, before their texts meet the labels.
+    thin = given.filter(_place("labelled") < min(1.0, (2 * positives + 1000) / max(1, counts["good"])))
+    x = _sample(thin.join(good, "doc_id", "left_semi"), "labelled", counts["good"], positives)
+    u = _sample(given, "unlabelled", counts["all"], unlabelled)
+    model = Model(len(measure("")))
+    if not len(x) or not len(u):
         model.w2 *= 0
         return model
-    model.prior = estimated_prior(x[y == 1], u)
-    nn_pu(model, x[y == 1], u, model.prior)
-    if (y == 0).any():
-        weight = np.where(y == 1, known[1] / max(1, (y == 1).sum()), known[0] / max(1, (y == 0).sum()))
-        model.knots = isotonic(model.margin(x), y, weight)
-    else:
-        grid = np.linspace(-8, 8, 65)
-        model.knots = grid, 1 / (1 + np.exp(-grid))
-    return model
+    model.prior = estimated_prior(x, u)
+    return nn_pu(model, x, u, model.prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

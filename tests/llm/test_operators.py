@@ -468,6 +468,36 @@ def test_quality_classifier(spark, odd, nothing):
     assert quality_pu.score(odd, quality_pu.fit(nothing, marks)).count() == 12
 
 
+def test_risk_gradient_and_prior_by_plain_definitions():
+    rng = np.random.default_rng(3)
+    for n_p, n_u, prior, shift in ((5, 9, 0.3, 0.0), (7, 4, 0.9, 3.0), (3, 30, 0.05, -1.0)):
+        g = rng.normal(size=n_p + n_u) + np.r_[np.full(n_p, shift), np.zeros(n_u)]
+        loss = lambda v: float(np.log(1 + np.exp(-v)))
+        pos, unl = g[:n_p], g[n_p:]
+        rest = sum(loss(-v) for v in unl) / n_u - prior * sum(loss(-v) for v in pos) / n_p
+        risk, way = quality_pu.pu_risk(g, n_p, prior)
+        assert risk == pytest.approx(prior * sum(loss(v) for v in pos) / n_p + max(0.0, rest))
+        plain = lambda x: quality_pu.pu_risk(x, n_p, prior)[0] if rest >= 0 else -(sum(loss(-v) for v in x[n_p:]) / n_u - prior * sum(loss(-v) for v in x[:n_p]) / n_p)  # noqa: E731,B023
+        for k in range(len(g)):
+            step = np.zeros(len(g))
+            step[k] = 1e-6
+            assert way[k] == pytest.approx((plain(g + step) - plain(g - step)) / 2e-6, abs=1e-6)
+    pos, unl = rng.normal(1, 1, 400), np.r_[rng.normal(1, 1, 600), rng.normal(-4, 1, 400)]
+    want = min(sum(v >= c for v in unl) / len(unl) / (sum(v >= c for v in pos) / len(pos)) for c in np.quantile(pos, np.linspace(0, 0.8, 17)))
+    assert quality_pu.best_bin_prior(pos, unl) == pytest.approx(want) and abs(want - 0.6) < 0.1
+
+
+def test_quality_samples_are_bounded_by_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(1, prose(rng, 30), None, None)] * 3000 + [(k, prose(rng, 30), None, None) for k in range(2, 1000)]
+    docs, marks = documents(spark, rows), spark.createDataFrame([(k, 1) for k in (1, *range(2, 60))], "doc_id long, quality int")
+    seen = []
+    real = quality_pu._sample
+    monkeypatch.setattr(quality_pu, "_sample", lambda *a: (seen.append(real(*a)), seen[-1])[1])
+    quality_pu.fit(docs, marks, positives=500, unlabelled=700)
+    assert [0 < len(x) <= most for x, most in zip(seen, (500, 700), strict=True)] == [True, True]
+
+
 def test_exact_dedup_of_an_empty_table(nothing):
     assert exact_dedup.verdicts(nothing).count() == 0 and exact_dedup.deduplicate(nothing).count() == 0
 
@@ -498,14 +528,17 @@ def test_language_id_on_held_out_documents(spark):
     assert len(got) > 200 and sum(r["lang_pred"] == r["lang"] for r in got) >= 0.99 * len(got)
 
 
-def test_quality_on_held_out_documents_with_and_without_negatives(spark):
+def test_quality_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    scores = []
     for marks in (labels, labels.filter("quality = 1")):
         model = quality_pu.fit(docs, marks.union(marks))
         assert abs(model.prior - sum(truth.values()) / len(truth)) < 0.1
         rows = [r for r in quality_pu.score(docs, model).collect() if r["held_out"] and r["doc_id"] in truth]
+        scores.append(sorted(map(tuple, rows)))
         assert sum(r["predicted"] == truth[r["doc_id"]] for r in rows) > 0.9 * len(rows)
+    assert scores[0] == scores[1]  # labels 0 play no part
 
 
 def test_packing_ids_of_all_documents(spark):
