@@ -2,9 +2,14 @@
 
 Known words score by their log frequency in each language. A word the model has not seen falls back
 to its character n-grams, longest first: the first length of which an n-gram is known decides. The
-model is fitted on a sample of labelled documents whose bound is a parameter; prediction reads every
+model is fitted on a sample of labelled rows whose bound for each language is a parameter; all labels
+are learned, and every word that the sample holds ``LEAST`` times in a language. Prediction reads every
 whole text, map-only.
 
+Words and n-grams are kept sparsely, by 64-bit hashes in sorted arrays: only the languages that have
+one are listed for it, so the model grows with what the sample holds and not with that times the
+number of languages.
+
 A word is a letter (Unicode category L) with the letters and marks that follow it. White-space
 delimited chunks are scored once each and kept in a table, so that a text costs one look-up a chunk.
 
@@ -23,16 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import held_out, narrow
 
 LONGEST = 5
-SAMPLE_DOCS = 3000  #: labelled documents per language, at most about so many
-LANGUAGES = 200  #: the most frequent labels that are learned
-WORDS = 20_000  #: known words per language
-CELLS = 50_000_000  #: numbers in the table of known words; beyond it each language knows fewer words
+SAMPLE_DOCS = 3000  #: labelled rows of a language, at most about so many
+LEAST = 2  #: how often the sample of a language holds a word that is learned
 SMOOTHING = 0.5
 UNKNOWN = "und"
 CHUNKS, CHUNK_BYTES = 400_000, 64  #: chunks that a worker keeps, and the longest that it keeps
@@ -50,20 +54,22 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> DataFrame:
-    """Labelled rows outside the held-out fold, thinned by a hash of the id to the bound."""
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
+    """Labelled rows outside the held-out fold, thinned by a hash of id and text to the bound."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return labelled.limit(0)
-    keep = F.lit(0.0)
-    for row in counts:
-        keep = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["count"])).otherwise(keep)
-    return labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) < keep)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
+    many = {lang: n for lang, n in counts.items() if n > per_language}
+    keep = F.lit(True)
+    if many:
+        rates = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, per_language / n)])
+        keep = place < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(1.0))
+    return labelled.filter(keep)
 
 
-def word_counts(sample: DataFrame, most: int = WORDS) -> dict[str, Counter]:
-    """The most frequent words of each language; counting is distributed, the result is bounded."""
+def word_counts(sample: DataFrame, least: int = LEAST) -> dict[str, Counter]:
+    """How often each language has each word that it has ``least`` times. Counting is distributed; what
+    comes to the driver is bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -74,64 +80,82 @@ def word_counts(sample: DataFrame, most: int = WORDS) -> dict[str, Counter]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array(list(counter)), pa.array(list(counter.values()), pa.int64())], names=["lang", "word", "n"])
 
     partial = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
-    total = partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    total = partial.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     out: dict[str, Counter] = defaultdict(Counter)
-    for row in total.withColumn("place", place).filter(F.col("place") <= most).collect():
-        out[row["lang"]][row["word"]] = row["n"]
-    kept = max(1, min(most, CELLS // max(1, len(out)) ** 2))
-    return {lang: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:kept])) for lang, c in out.items()}
+    for lang, word, n in zip(*(total[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        out[lang][word] = n
+    return out
+
+
+class Logs:
+    """Log frequencies of keys by language: one for keys that a language has not, and for each key what the
+    languages that have it have more."""
+
+    def __init__(self, counts: list[Counter]) -> None:
+        names = sorted(set().union(*counts)) if counts else []
+        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in names], np.uint64)
+        order = np.argsort(hashes)
+        place = dict(zip([names[k] for k in order], range(len(names)), strict=True))
+        self.hashes = hashes[order]
+        self.unknown = np.array([np.log(SMOOTHING) - np.log(sum(c.values()) + SMOOTHING * max(1, len(names))) for c in counts])
+        key = np.array([place[x] for c in counts for x in c], np.int64)
+        language = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        more = np.log(np.array([n for c in counts for n in c.values()], float) + SMOOTHING) - np.log(SMOOTHING)
+        order = np.argsort(key, kind="stable")
+        self.language, self.more = language[order].astype(np.int32), more[order].astype(np.float32)
+        self.starts = np.searchsorted(key[order], np.arange(len(names) + 1))
+
+    def mean(self, keys: list[str]) -> np.ndarray | None:
+        """The mean row of those keys that are known, or None where none is."""
+        asked = np.array([xxhash.xxh3_64_intdigest(x) for x in keys], np.uint64)
+        at = np.searchsorted(self.hashes, asked)
+        at = at[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == asked)] if len(self.hashes) else at[:0]
+        if not len(at):
+            return None
+        low, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        if len(at) > 1:
+            some = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        else:
+            some = slice(low[0], low[0] + size[0])
+        return self.unknown + np.bincount(self.language[some], self.more[some], len(self.unknown)) / len(at)
 
 
 class Model:
-    """Log-frequency rows by word and by n-gram, one column for each language."""
+    """Log frequencies of words, and of n-grams of each length, by language."""
 
     def __init__(self, counts: dict[str, Counter]) -> None:
         self.languages = sorted(counts)
-        self.words = self._rows({lang: counts[lang] for lang in self.languages})
+        self.words = Logs([counts[lang] for lang in self.languages])
         self.grams = {}
         for n in range(1, LONGEST + 1):
-            by = {lang: Counter() for lang in self.languages}
-            for lang in self.languages:
+            by = [Counter() for _ in self.languages]
+            for held, lang in zip(by, self.languages, strict=True):
                 for word, k in counts[lang].items():
                     for g in grams(word, n):
-                        by[lang][g] += k
-            self.grams[n] = self._rows(by)
-
-    def _rows(self, counts: dict[str, Counter]) -> dict[str, np.ndarray]:
-        known = sorted(set().union(*counts.values())) if counts else []
-        table = np.array([[counts[lang][w] for lang in self.languages] for w in known], np.float64).reshape(len(known), len(self.languages))
-        logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * max(1, len(known)))
-        return dict(zip(known, logs.astype(np.float32)))
+                        held[g] += k
+            self.grams[n] = Logs(by)
 
     def score(self, word: str) -> np.ndarray:
-        row = self.words.get(word)
-        if row is not None:
-            return row
+        row = self.words.mean([word])
         for n in range(LONGEST, 0, -1):
-            get = self.grams[n].get
-            found = [r for g in grams(word, n) if (r := get(g)) is not None]
-            if found:
-                return sum(found[1:], found[0]) / len(found)
-        return np.zeros(len(self.languages), np.float32)
+            if row is None and (parts := grams(word, n)):
+                row = self.grams[n].mean(parts)
+        return np.zeros(len(self.languages)) if row is None else row
 
 
 class Scorer(dict):
     """Scores of texts, by the places of their chunks in a table: the sum of a chunk's word scores by
-    language, and how many words it has. A chunk of one word has its word's place. The table begins
-    with the model's words; once it is full, and for overlong chunks, a place lasts for one text."""
+    language, and how many words it has. A chunk of one word has its word's place. Once the table is
+    full, and for overlong chunks, a place lasts for one text."""
 
     def __init__(self, model: Model, most: int = CHUNKS) -> None:
         super().__init__()
         self.model, self.most = model, most
-        self.words = {word: k for k, word in enumerate(model.words)}
-        self.kept = self.used = len(self.words) + 1  #: rows that stay, and rows in use
+        self.words: dict[str, int] = {}
+        self.none = 0  #: the row of chunks without words
+        self.kept = self.used = 1  #: rows that stay, and rows in use
         self.full = self.kept + most
-        self.none = self.used - 1  #: the row of chunks without words
-        self.table = np.zeros((self.used + 4096, len(model.languages) + 1), np.float32)
-        if self.words:
-            self.table[: self.none, :-1] = np.stack(list(model.words.values()))
-            self.table[: self.none, -1] = 1
+        self.table = np.zeros((4096, len(model.languages) + 1), np.float32)
 
     def _row(self, values: np.ndarray, words: int, keep: bool) -> int:
         k = self.used
@@ -187,15 +211,15 @@ class Scorer(dict):
 _SCORERS: dict[int, Scorer] = {}
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES, words: int = WORDS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, least: int = LEAST) -> Model:
     given = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    return Model(word_counts(training_sample(given, per_language, languages), words))
+    return Model(word_counts(training_sample(given, per_language), least))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score."""
     given = narrow(docs, doc_id=id_col, text=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by CELLS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _SCORERS.get(id(sent.value)) or Scorer(sent.value)
