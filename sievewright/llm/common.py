@@ -36,8 +36,9 @@ WIDE, SLICES = 1000, 64
 
 
 def attach(rows: DataFrame, key: str, known: DataFrame, width: str, spread: Column) -> DataFrame:
-    """Adds to ``rows`` what ``known``, one row per string ``key``, has for them, or nulls. Its column ``width``
-    says how many rows ask for a key; the widely asked for are met in slices of ``spread``, a string."""
+    """Adds to ``rows`` what ``known``, one row per ``key``, has for them, or nulls. Its column ``width`` says
+    how many rows ask for a key; the widely asked for are met in slices of ``spread``, which has the key's
+    type and tells rows apart."""
     values = [c for c in known.columns if c not in (key, width)]
     wide = known.filter(F.col(width) > WIDE).select(key, *[F.col(c).alias(f"__{c}") for c in values], F.lit(True).alias("__wide"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice"))
     few = known.filter(F.col(width) <= WIDE).select(F.col(key).alias("__asked"), *values)

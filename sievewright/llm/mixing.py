@@ -77,9 +77,10 @@ def apportion(parties: DataFrame, group: list[str], votes: str, most_blocks: str
 
 def allot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: str = SEED) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = narrow(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = cut(sized.withColumn("order", order))
+    # Rows without an id go by their text, so that they spread over shards as others do.
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))).cast("binary"))
+    sized = narrow(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"))
+    sized = cut(sized)
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     sources = sources.withColumn("most_blocks", F.floor(most * F.col("source_size") / block)).withColumn("seats", F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(1))) / block))
     name = F.asc_nulls_last("source")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import shingles as sh
-from sievewright.llm.common import narrow
+from sievewright.llm.common import attach, narrow
 from sievewright.llm.components import contract, labels
 from sievewright.session import Scratch
 
@@ -167,7 +167,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     given = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = scratch.keep(signatures(given.filter("doc_id is not null"), bands, rows))
     # Copies meet as partial minima; what goes on is one row for each text and, after it, each id.
-    firsts = signed.groupBy("print").agg(F.min_by(F.struct("doc_id", "bands", "bits"), "doc_id").alias("s")).select("print", F.col("s.doc_id").alias("x"), "s.bands", "s.bits")
+    firsts = signed.groupBy("print").agg(F.min_by(F.struct("doc_id", "bands", "bits"), "doc_id").alias("s"), F.count(F.lit(1)).alias("copies")).select("print", F.col("s.doc_id").alias("x"), "s.bands", "s.bits", "copies")
     shown = scratch.keep(firsts)
     spread = shown.select("x", F.explode(F.array_distinct("bands")).alias("bucket"))
     met = buckets(spread, scratch)
@@ -176,15 +176,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     sketches = shown.join(wanted, "x", "left_semi").groupBy("x").agg(F.min(F.struct("bits", "bands")).alias("s")).select("x", "s.bits", F.transform("s.bands", code).alias("codes"))
     members = met.join(sketches, "x").select("bucket", "x", "bits", "codes")
     found = links(members, texts, similarity, bands * rows, scratch)
-    named = signed.select("doc_id", "print").join(shown.select("print", "x"), "print")
-    if found is None:
-        named = named.withColumn("class_id", F.col("x"))
-    else:
-        named = named.join(labels(contract(found)).select(F.col("node").alias("x"), "label"), "x", "left").withColumn("class_id", F.coalesce("label", "x"))
-    named = scratch.keep(named.select("doc_id", "class_id"))
+    known = shown.select("print", F.col("x").alias("class_id"), "copies")
+    if found is not None:
+        label = labels(contract(found)).select(F.col("node").alias("class_id"), "label")
+        known = known.join(label, "class_id", "left").select("print", F.coalesce("label", "class_id").alias("class_id"), "copies")
+    # One text, and one class, may have a third of all rows: these are met in slices.
+    named = scratch.keep(attach(signed.select("doc_id", "print"), "print", known, "copies", F.unhex(F.hex(F.xxhash64("doc_id")))).select("doc_id", "class_id"))
     scratch.drop_all_but(named)
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = named.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    out = attach(named, "class_id", sizes.withColumn("asking", F.col("class_size")), "asking", F.xxhash64("doc_id")).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     alone = given.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.union(alone)
 

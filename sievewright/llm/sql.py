@@ -9,7 +9,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 SOURCE_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, sha256(coalesce(text, '')))) AS ord FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
