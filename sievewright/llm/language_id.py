@@ -6,9 +6,8 @@ model is fitted on a sample of labelled rows whose bound for each language is a
 are learned, and every word that the sample holds ``LEAST`` times in a language. Prediction reads every
 whole text, map-only.
 
-Words and n-grams are kept sparsely, by 64-bit hashes in sorted arrays: only the languages that have
-one are listed for it, so the model grows with what the sample holds and not with that times the
-number of languages.
+Words and n-grams are kept sparsely: only the languages that have one are listed for it, so the model
+grows with what the sample holds and not with that times the number of languages.
 
 A word is a letter (Unicode category L) with the letters and marks that follow it. White-space
 delimited chunks are scored once each and kept in a table, so that a text costs one look-up a chunk.
@@ -28,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +35,7 @@ from sievewright.llm.common import held_out, narrow
 LONGEST = 5
 SAMPLE_DOCS = 3000  #: labelled rows of a language, at most about so many
 LEAST = 2  #: how often the sample of a language holds a word that is learned
+FULL = 20_000_000  #: numbers up to which a task lays a table out in full, for speed; the scores are the same
 SMOOTHING = 0.5
 UNKNOWN = "und"
 CHUNKS, CHUNK_BYTES = 400_000, 64  #: chunks that a worker keeps, and the longest that it keeps
@@ -89,34 +88,33 @@ def word_counts(sample: DataFrame, least: int = LEAST) -> dict[str, Counter]:
 
 class Logs:
     """Log frequencies of keys by language: one for keys that a language has not, and for each key what the
-    languages that have it have more."""
+    languages that have it have more. Where they are few numbers, they are also laid out in full."""
 
     def __init__(self, counts: list[Counter]) -> None:
         names = sorted(set().union(*counts)) if counts else []
-        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in names], np.uint64)
-        order = np.argsort(hashes)
-        place = dict(zip([names[k] for k in order], range(len(names)), strict=True))
-        self.hashes = hashes[order]
+        self.place = dict(zip(names, range(len(names)), strict=True))
         self.unknown = np.array([np.log(SMOOTHING) - np.log(sum(c.values()) + SMOOTHING * max(1, len(names))) for c in counts])
-        key = np.array([place[x] for c in counts for x in c], np.int64)
+        key = np.array([self.place[x] for c in counts for x in c], np.int64)
         language = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
         more = np.log(np.array([n for c in counts for n in c.values()], float) + SMOOTHING) - np.log(SMOOTHING)
         order = np.argsort(key, kind="stable")
         self.language, self.more = language[order].astype(np.int32), more[order].astype(np.float32)
         self.starts = np.searchsorted(key[order], np.arange(len(names) + 1))
+        self.full = None
+
+    def lay_out(self) -> None:
+        if self.full is None and len(self.place) * len(self.unknown) <= FULL:
+            self.full = np.repeat(self.unknown[None].astype(np.float32), len(self.place), axis=0)
+            self.full[np.repeat(np.arange(len(self.place)), np.diff(self.starts)), self.language] += self.more
 
     def mean(self, keys: list[str]) -> np.ndarray | None:
         """The mean row of those keys that are known, or None where none is."""
-        asked = np.array([xxhash.xxh3_64_intdigest(x) for x in keys], np.uint64)
-        at = np.searchsorted(self.hashes, asked)
-        at = at[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == asked)] if len(self.hashes) else at[:0]
-        if not len(at):
+        at = [k for x in keys if (k := self.place.get(x)) is not None]
+        if not at:
             return None
-        low, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        if len(at) > 1:
-            some = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
-        else:
-            some = slice(low[0], low[0] + size[0])
+        if self.full is not None:
+            return self.full[at[0]] if len(at) == 1 else self.full[at].sum(axis=0) / len(at)
+        some = np.concatenate([np.arange(self.starts[k], self.starts[k + 1]) for k in at])
         return self.unknown + np.bincount(self.language[some], self.more[some], len(self.unknown)) / len(at)
 
 
@@ -151,6 +149,8 @@ class Scorer(dict):
     def __init__(self, model: Model, most: int = CHUNKS) -> None:
         super().__init__()
         self.model, self.most = model, most
+        for logs in (model.words, *model.grams.values()):
+            logs.lay_out()
         self.words: dict[str, int] = {}
         self.none = 0  #: the row of chunks without words
         self.kept = self.used = 1  #: rows that stay, and rows in use

@@ -522,6 +522,30 @@ def test_language_scores_are_the_sums_of_word_scores():
             assert got[1] == pytest.approx(share.max(), abs=1e-3) and (got[0] == model.languages[int(total.argmax())] or abs(share[0] - 0.5) < 1e-3)
 
 
+def test_language_rows_are_log_frequencies(monkeypatch):
+    """Words, then n-grams of the first length that is known, by the definition; sparse and laid out in full."""
+    from collections import Counter
+
+    counts = {"aa": Counter({"bad": 5, "den": 2}), "bb": Counter({"bad": 1, "dens": 3}), "cc": Counter({"zz": 2})}
+    logs = lambda by, x: np.array([np.log(c[x] + 0.5) - np.log(sum(c.values()) + 0.5 * len(set().union(*by))) for c in by])
+    for cells in (0, 10**6):
+        monkeypatch.setattr(language_id, "FULL", cells)
+        model = language_id.Model(counts)
+        language_id.Scorer(model)
+        assert (model.words.full is None) == (cells == 0)
+        for word in ("bad", "den", "dens", "zz", "bade", "xbad", "enz", "q", "bd"):
+            want, by = np.zeros(3), list(counts.values())
+            if any(word in c for c in by):
+                want = logs(by, word)
+            else:
+                for n in range(5, 0, -1):
+                    grams = [Counter(g for w, k in c.items() for g in language_id.grams(w, n) for _ in range(k)) for c in by]
+                    if known := [g for g in language_id.grams(word, n) if any(g in c for c in grams)]:
+                        want = sum(logs(grams, g) for g in known) / len(known)
+                        break
+            assert model.score(word) == pytest.approx(want, abs=1e-5), word
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.predict(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
