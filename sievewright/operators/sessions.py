@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as T
 
 
-def score_trace(turns: DataFrame, positives, negatives=()) -> DataFrame:
-    """The score of everything the user has said so far, at each of the user's turns.
+def score_trace(turns: DataFrame, positives, negatives=(), joint: str = "\n") -> DataFrame:
+    """The score of everything the user has said so far, joined, at each of the user's turns.
 
-    Only term hits are carried along, never the growing text: a term that was said stays said.
-    Terms that would span two utterances are not looked for.
+    Only term hits are carried along, never the growing text: a term that was said stays said. For terms
+    that span utterances each turn is looked at with what was said before it, as far back as the longest
+    term reaches.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    said = turns.filter("role = 'user'")
+    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    w = by_turn.rowsBetween(Window.unboundedPreceding, 0)
+    reach = max((len(t) for t in (*positives, *negatives)), default=1) - 1
+    said = turns.filter("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    if reach:
+        # Each utterance adds a character at least; without anything between them, empty ones stay out.
+        near = by_turn if joint else Window.partitionBy("conv_id", F.col("text") == "").orderBy("turn")
+        ends = F.collect_list(F.right("text", F.lit(reach))).over(near.rowsBetween(-reach, -1))
+        tail = F.when(F.row_number().over(by_turn) > 1, F.concat(F.right(F.array_join(ends, joint), F.lit(reach)), F.lit(joint))).otherwise("")
+        said = said.withColumn("text", F.concat(tail, "text"))
     so_far = lambda terms: sum((F.max(F.contains("text", F.lit(t)).cast("int")).over(w) for t in terms), F.lit(0))
     e = F.greatest(F.lit(0.0), so_far(positives) - 0.5 * so_far(negatives))
     return said.select("conv_id", "turn", F.bround(e / (e + 2), 4).alias("score"))

@@ -18,6 +18,7 @@ from sievewright.plans import vocab as V
 from sievewright.plans.corpus_queries import facet_sql
 from sievewright.plans.registry import query
 from sievewright.session import checkpoint_dir, ship, table
+from sievewright.sources import versioned
 
 _OWN = "['Call 165 about ' || harm, 'Keep records of ' || harm]"
 _SIGNS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{a}' END" for p, a in V.SIGNS) + "], lambda x: x IS NOT NULL)"
@@ -70,6 +71,20 @@ def health(spark, sf_dir):
     return steps.health(table(spark, sf_dir, "documents"), {"rows": (n > 0, True), "ids": (n == F.count("doc_id"), True), "languages": (n == F.count("lang"), False), "no_empty_text": (F.min(F.char_length("text")) >= 1, False)})
 
 
+@query("""WITH d AS (SELECT doc_id, lang AS model, source FROM documents), gone AS (SELECT min(source) AS s FROM d), r AS (SELECT * FROM d WHERE model = 'de' AND doc_id % 3 = 0 AND source <> (SELECT s FROM gone))
+SELECT doc_id, model, source FROM d WHERE source <> (SELECT s FROM gone) AND (model, source) NOT IN (SELECT (model, source) FROM r) UNION ALL SELECT doc_id, model, source FROM r""")
+def index_maintenance(spark, sf_dir):
+    """A table of parts by model and source: written, appended to, one source deleted, some parts replaced."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model"), "source")
+    kept = versioned.VersionedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/parts-{uuid.uuid4().hex}", ("model", "source"))
+    kept.replace(rows.filter("doc_id % 2 = 0"))
+    kept.append(rows.filter("doc_id % 2 = 1"))
+    gone = rows.agg(F.min("source")).first()[0]
+    kept.delete(lambda part: part["source"] == gone)
+    kept.replace(rows.filter((F.col("model") == "de") & (F.col("doc_id") % 3 == 0) & (F.col("source") != gone)))
+    return kept.read()
+
+
 MODEL = "hashing-64"
 
 

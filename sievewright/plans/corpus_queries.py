@@ -13,6 +13,7 @@ from sievewright.operators import corpus as C
 from sievewright.plans import vocab as V
 from sievewright.plans.registry import query
 from sievewright.session import ship, table
+from sievewright.sources import uploads
 
 
 CLEAN = r"trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))"
@@ -90,6 +91,13 @@ def content_hash(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", key.alias("content_key"), F.concat(F.substring(key, 1, 32), F.lit(".txt")).alias("path"))
 
 
+@query("SELECT substr(sha256(coalesce(text, '')), 1, 32) || '.txt' AS name, min('d' || doc_id) AS path, any_value(strlen(coalesce(text, '')))::BIGINT AS length FROM documents GROUP BY coalesce(text, '')")
+def stored_uploads(spark, sf_dir):
+    """Texts as files of bytes, each content once, under the name that it has."""
+    files = docs(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return uploads.named(files, ".txt").select("name", "path", F.octet_length("content").cast("long").alias("length"))
+
+
 @query("SELECT doc_id AS qi, list(label ORDER BY label) AS relevant FROM (SELECT doc_id, unnest(['quality', 'toxic']) AS label, unnest([quality, toxic]) AS v FROM labels) WHERE v = 1 GROUP BY doc_id")
 def judgements_unpivot(spark, sf_dir):
     """Judgements kept as a JSON object of 'query|item' keys, unfolded and grouped."""

@@ -13,6 +13,7 @@ from sievewright.plans import vocab as V
 from sievewright.plans.corpus_queries import HEARD, docs, heard, heard_turns, terms_sql
 from sievewright.plans.registry import query
 from sievewright.session import ship, table
+from sievewright.streaming import chat
 
 
 def hits_sql(c: str, terms) -> str:
@@ -182,6 +183,41 @@ def conversation_scores(spark, sf_dir):
     return sessions.score_trace(convs(spark, sf_dir), _POS)
 
 
+@query("WITH j AS (SELECT conv_id, turn, string_agg(coalesce(text, ''), '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM conversations WHERE role = 'user'), s AS (SELECT *, (" + " + ".join(f"contains(t, '{x}')::INT" for x in V.SPANNING) + ")::DOUBLE AS e FROM j) SELECT conv_id, turn, round_even(e / (e + 2), 4) AS score FROM s")
+def conversation_scores_joined(spark, sf_dir):
+    """Scores of all that was said, run together: terms may begin in one utterance and end in another."""
+    return sessions.score_trace(convs(spark, sf_dir), V.SPANNING, joint="")
+
+
+_ANSWERED = f"""
+q AS (SELECT conv_id, turn, CASE {' '.join(f"WHEN {terms_sql('text', ws)} THEN '{n}'" for n, ws in V.ASKED)} END AS intent FROM conversations WHERE role = 'user'),
+n AS (SELECT conv_id, count(*) AS n, min(role) AS r, substr(min(text), 1, 10) AS x FROM conversations GROUP BY conv_id HAVING conv_id % 7 > 0),
+v AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN 'COVERED_LOCKED' WHEN 1 THEN 'UNCOVERED' ELSE 'COVERED' END AS status FROM n),
+w AS (SELECT *, status = 'COVERED' AS open, CASE intent WHEN 'risk' THEN ['{chat.RISK}' || CASE WHEN n > 5 THEN '高' ELSE '低' END] WHEN 'type' THEN [r] WHEN 'stage' THEN ['turn ' || n || CASE WHEN n % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'odd' END]
+ WHEN 'actions' THEN CASE WHEN n > 3 THEN ['1. a', '2. b'] END WHEN 'cases' THEN ['・[165 ' || q.conv_id || '] ' || x] WHEN 'legal' THEN CASE WHEN n % 3 > 0 THEN ['・Act Art. ' || n || '（2024-01-01）'] END END AS held FROM q LEFT JOIN v USING (conv_id))"""
+
+
+@query(f"""WITH {_ANSWERED} SELECT conv_id, turn, intent,
+CASE WHEN intent IS NULL THEN 'say' WHEN open AND held IS NOT NULL THEN CASE WHEN intent = 'risk' THEN 'risk' ELSE 'verdict' END WHEN status = 'COVERED_LOCKED' THEN 'locked' ELSE 'say' END AS kind,
+CASE WHEN intent IS NULL THEN ['{chat.ONLY_THIS}'] WHEN open AND held IS NOT NULL THEN held WHEN status = 'COVERED_LOCKED' THEN ['locked ' || conv_id] ELSE ['{chat.MISSING}'] END AS lines FROM w""")
+def followup_answers(spark, sf_dir):
+    """What each user turn asks for, answered from a stored decision of its conversation."""
+    c = convs(spark, sf_dir)
+    asked = c.filter("role = 'user'").select("conv_id", "turn", chat.follow_up(F.col("text"), V.ASKED).alias("intent"))
+    n = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("r"), F.substring(F.min("text"), 1, 10).alias("x")).filter("conv_id % 7 > 0")
+    status = F.when(F.col("conv_id") % 4 == 0, "COVERED_LOCKED").when(F.col("conv_id") % 4 == 1, "UNCOVERED").otherwise("COVERED")
+    pair = lambda k, t: F.struct(F.lit(k).alias("order"), F.lit(t).alias("text"))
+    decided = n.select(
+        "conv_id", status.alias("status"), F.when(status == "COVERED", F.when(F.col("n") > 5, "HIGH").otherwise("LOW")).alias("risk"), F.col("r").alias("scam_type"),
+        F.concat(F.lit("turn "), F.col("n").cast("string")).alias("stage"), F.when(F.col("n") % 2 == 0, "").otherwise("odd").alias("explanation"),
+        F.when(F.col("n") > 3, F.array(pair(2, "b"), pair(1, "a"))).alias("actions"),
+        F.array(F.struct(F.lit("165").alias("source"), F.col("conv_id").cast("string").alias("case_id"), F.col("x").alias("excerpt"))).alias("cases"),
+        F.when(F.col("n") % 3 > 0, F.array(F.struct(F.lit("Act").alias("title"), F.concat(F.lit("Art. "), F.col("n").cast("string")).alias("article"), F.lit("2024-01-01").alias("version_date")))).alias("legal"),
+        F.concat(F.lit("locked "), F.col("conv_id").cast("string")).alias("locked_notice"),
+    )
+    return chat.answers(asked, decided)
+
+
 @query(f"SELECT conv_id, min(turn) FILTER ({terms_sql('text', V.TACTIC)}) AS first_turn FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def first_distress_turn(spark, sf_dir):
     return sessions.first_distress(convs(spark, sf_dir), V.TACTIC)

@@ -39,3 +39,5 @@ THRESHOLDS = [("hit_rate", 0.75, "ge"), ("latency", 1.0, "le"), ("kappa", 0.7, "
 SIGNS = [("idiot|trash", "End the talk"), ("token|secret", "Change passwords")]
 TAIL = ["Call 165", "Check accounts"]
 NOT_AGAIN = "Do not pay again"
+ASKED = (("stage", ("thing",)), ("cases", ("wh",)), ("actions", ("gra", "pa")), ("legal", ("or ",)), ("type", ("ing",)), ("risk", ("en",)))
+SPANNING = ("tion", "ther", "er.T", "t.A", "s.O")
