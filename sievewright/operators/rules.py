@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.functions import automaton
+from sievewright.functions import masking as M
 from sievewright.functions import text as T
 
 DISCLAIMER = "This is not legal advice."
@@ -35,26 +37,36 @@ class Pack:
         if self.hint_min > self.route_min:
             raise ValueError("hint_min must not exceed route_min")
 
-    def score(self, text: Column) -> Column:
+    def terms(self) -> tuple[str, ...]:
+        """All terms that are looked for as they are."""
+        return (*self.positives, *self.negatives, *self.platform, *self.decisive)
+
+    def score(self, text: Column, found: automaton.Found | None = None) -> Column:
+        """``found`` has the terms that one scan for all packs has found; without it each is looked for."""
         if not self.usable or not self.positives:
             return F.lit(0.0)
-        base = keyword_score(text, self.positives, self.negatives)
+        any_term = found.any if found else lambda terms: T.any_term(text, terms)
+        base = _keyword_score(*(found.count(ts) if found else T.n_hits(text, ts) for ts in (self.positives, self.negatives)))
         own = T.bounded_term(text, self.platform)
         if self.style == "factor":
             factor = F.when(own, 1.3).when(T.bounded_term(text, self.others), 0.6).otherwise(1.0)
             return F.bround(F.least(F.lit(1.0), base * factor), 4)
-        on = T.any_term(text, self.platform)
+        on = any_term(self.platform)
         if self.style == "bonus":
             return F.least(F.lit(1.0), base + F.when(on, 0.15).otherwise(0.0))
         low = F.least(base, F.lit(self.hint_min))
-        sure = ((base > 0) | ~T.any_term(text, self.negatives)) & on & T.any_term(text, self.decisive)
+        sure = ((base > 0) | ~any_term(self.negatives)) & on & any_term(self.decisive)
         out = F.when(sure, F.greatest(base, F.lit(0.6))).when(~on, low).otherwise(F.least(F.lit(1.0), base + 0.15))
         return F.when(text.rlike(self.exclude), low).otherwise(out) if self.exclude else out
 
 
 def keyword_score(text: Column, positives, negatives=()) -> Column:
     """e / (e + 2) with e = hits - half the contrary hits, at least 0; overlapping terms all count."""
-    e = F.greatest(F.lit(0.0), T.n_hits(text, positives) - 0.5 * T.n_hits(text, negatives))
+    return _keyword_score(T.n_hits(text, positives), T.n_hits(text, negatives))
+
+
+def _keyword_score(hits: Column, contrary: Column) -> Column:
+    e = F.greatest(F.lit(0.0), hits - 0.5 * contrary)
     return F.bround(e / (e + 2), 4)
 
 
@@ -117,17 +129,37 @@ def extract_profile(df: DataFrame, text: str, platforms, payments: dict[str, lis
     return df.withColumns({"platform": F.get(T.hits(c, platforms), 0), "payment": paid, "days": T.extract_days(c, "days?|天|日"), "confidence": F.lit("LOW")})
 
 
-def scores(df: DataFrame, packs: list[Pack], key: str, text: str) -> DataFrame:
+#: How far a field of a profile is to be believed where a rule has found it.
+FIELD_CONFIDENCE = {"platform": 0.4, "payment": 0.4, "amount_range": 0.6, "stage": 0.4}
+
+
+def profile(df: DataFrame, text: str, platforms, payments: dict[str, list[str]], stage: Column, masked: Column | None = None) -> DataFrame:
+    """As :func:`extract_profile`, with the range of the first amount, the stage (null where it is empty) and
+    a confidence for each field, 0 where the rules found none. ``masked`` is the struct of masked text,
+    where it is at hand."""
+    amounts = F.filter((M.mask_struct(F.col(text)) if masked is None else masked)["redactions"], lambda r: r["kind"] == "amount")
+    out = extract_profile(df.withColumn("__amount", F.get(amounts, 0)["placeholder"]), text, platforms, payments)
+    out = out.withColumns({"amount_range": F.col("__amount"), "stage": F.nullif(stage, F.lit(""))}).drop("__amount")
+    sure = [F.when(F.col(c).isNotNull(), v).otherwise(0.0).alias(c) for c, v in FIELD_CONFIDENCE.items()]
+    return out.withColumn("field_confidence", F.struct(*sure))
+
+
+def scores(df: DataFrame, packs: list[Pack], key: str, text: str, one_scan: bool = False) -> DataFrame:
     """(key, module, score, priority, thresholds, plan) for every row and usable pack: the packs are
-    an array of column expressions, so the product needs no join."""
-    each = [F.struct(F.lit(p.id).alias("module"), F.lit(k).alias("place"), p.score(F.col(text)).cast("double").alias("score"), F.lit(p.priority).alias("priority"), F.lit(p.route_min).alias("route_min"), F.lit(p.hint_min).alias("hint_min"), F.lit(p.plan).alias("plan")) for k, p in enumerate(packs) if p.usable]
+    an array of column expressions, so the product needs no join. With ``one_scan`` the terms of all
+    packs are found by one automaton, in one pass over the text, however many they are."""
+    found = None
+    if one_scan:
+        known = automaton.Found([t for p in packs if p.usable for t in p.terms()], "__found")
+        df, found = df.withColumn("__found", known.column(F.col(text))), known
+    each = [F.struct(F.lit(p.id).alias("module"), F.lit(k).alias("place"), p.score(F.col(text), found).cast("double").alias("score"), F.lit(p.priority).alias("priority"), F.lit(p.route_min).alias("route_min"), F.lit(p.hint_min).alias("hint_min"), F.lit(p.plan).alias("plan")) for k, p in enumerate(packs) if p.usable]
     return df.select(key, F.explode(F.array(*each)).alias("s")).select(key, "s.*")
 
 
-def route(df: DataFrame, packs: list[Pack], key: str, text: str, manual: Column | None = None) -> DataFrame:
+def route(df: DataFrame, packs: list[Pack], key: str, text: str, manual: Column | None = None, one_scan: bool = False) -> DataFrame:
     """(key, primary, score, also): the best claim wins, ties by priority; then the other claims in
     that order, then hints in the order of the packs. A manual choice goes before all."""
-    all_ = scores(df, packs, key, text)
+    all_ = scores(df, packs, key, text, one_scan)
     claim, hint = F.col("score") >= F.col("route_min"), F.col("score") >= F.col("hint_min")
     item = F.struct(F.when(claim, 0).otherwise(1).alias("kind"), F.when(claim, -F.col("score")).otherwise(0.0).alias("by"), F.when(claim, F.col("priority")).otherwise(0).alias("then"), "place", "module", "score")
     found = all_.groupBy(key).agg(F.array_sort(F.collect_list(F.when(hint, item))).alias("found"))

@@ -61,6 +61,13 @@ def route(spark, sf_dir):
     return routed(spark, sf_dir)
 
 
+@query(f"WITH {ROUTE} SELECT doc_id, prim AS \"primary\", score, also FROM rt")
+def route_one_scan(spark, sf_dir):
+    """As route, with the terms of all packs found in one pass."""
+    ship(spark)
+    return R.route(docs(spark, sf_dir), V.PACKS, "doc_id", "text", one_scan=True)
+
+
 @query(f"WITH {ROUTE} SELECT doc_id, prim AS \"primary\", CASE WHEN prim IS NULL THEN 'UNCOVERED' WHEN prim <> 'c' OR coalesce(doc_id % 2 = 0, true) THEN 'COVERED' ELSE 'COVERED_LOCKED' END AS status FROM rt")
 def coverage_status(spark, sf_dir):
     return R.coverage(routed(spark, sf_dir), V.PACKS, F.col("doc_id") % 2 == 0).select("doc_id", "primary", "status")
@@ -142,6 +149,15 @@ def extract_profile(spark, sf_dir):
     return R.extract_profile(docs(spark, sf_dir), "text", ["thing", "License", "token"], V.PAYMENTS).select("doc_id", "platform", "payment", "days", "confidence")
 
 
+@query()
+def profile_fields(spark, sf_dir):
+    """The profile with the range of the first amount, the stage and a confidence for each field."""
+    ship(spark)
+    d = docs(spark, sf_dir)
+    found = R.profile(d, "text", ["thing", "License", "token"], V.PAYMENTS, R.detect_stage(F.col("text"), V.STAGES))
+    return found.select("doc_id", "platform", "payment", "amount_range", "stage", "days", "field_confidence")
+
+
 @query("""WITH g AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 300000 THEN 'HIGH' ELSE 'LOW' END AS risk, CASE WHEN o_orderkey % 3 = 0 THEN [] WHEN o_orderkey % 3 = 1 THEN ['call', ' '] ELSE ['call'] END AS actions, CASE WHEN o_orderkey % 2 = 0 THEN ['c1', ''] ELSE ['c1'] END AS ids, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'Ask a lawyer.' END AS d FROM orders),
 v AS (SELECT *, list_filter([CASE WHEN risk = 'HIGH' AND k % 3 = 0 THEN 'severe_without_actions' END, CASE WHEN k % 2 = 0 THEN 'blank_case_id' END, CASE WHEN k % 3 = 1 THEN 'blank_action' END, CASE WHEN k % 5 = 0 THEN 'no_disclaimer' END], lambda x: x IS NOT NULL) AS violations FROM g)
 SELECT k, violations, list_contains(violations, 'severe_without_actions') AS fatal, len(list_filter(actions, lambda x: trim(x) <> '')) AS n_actions, CASE WHEN trim(d) = '' THEN 'This is not legal advice.' ELSE d END AS disclaimer, len(violations) > 0 AS degraded FROM v""")

@@ -6,6 +6,8 @@ import json
 from dataclasses import fields
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 from sievewright.operators.rules import Pack
 
 NAMES = ("pack.yaml", "pack.json")
@@ -61,3 +63,23 @@ def _checked(path: Path, name: str, kind: str, value):
 def packs(root: str | Path) -> list[Pack]:
     """All packs below a folder."""
     return [load(d) for d in discover(root)]
+
+
+def load_all(root: str | Path) -> tuple[list[Pack], list[tuple[str, str]]]:
+    """(packs, failures): every pack below a folder that can be read and has its folder's name as its id, and
+    (folder, reason) for every other. One that fails keeps none of the others out."""
+    found, failed = [], []
+    for folder in discover(root):
+        try:
+            pack = load(folder)
+            if pack.id != folder.name:
+                raise ValueError(f"id {pack.id!r} is not the folder's name")
+            found.append(pack)
+        except Exception as e:  # whatever is wrong with a pack is its own failure
+            failed.append((folder.name, f"{type(e).__name__}: {e}"))
+    return found, failed
+
+
+def failures(spark: SparkSession, root: str | Path) -> DataFrame:
+    """(folder, reason) of the packs that could not be loaded."""
+    return spark.createDataFrame(load_all(root)[1], "folder string, reason string")
