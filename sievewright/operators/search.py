@@ -255,6 +255,42 @@ def overlap(queries: DataFrame, docs: DataFrame, k: int | None = None, least: fl
     return over_sets(queries, one)
 
 
+def overlap_groups(queries: DataFrame, docs: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of overlap, of (doc_id, text, label): from each task the best document of each
+    query and label, and of documents without a label, each its own group, the best ``k`` (all where it is
+    None). No task gives more rows than it has labels and queries, but for those."""
+
+    def one(asked: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(asked)  # bounded by MOST_QUERIES
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, blocks = np.array([q for q, _ in sent.value], np.int64), _gram_blocks(sent.value)
+            best: dict[str, Best] = {}
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    ids, texts = np.asarray(part.column(0), np.int64), part.column(1).to_pylist()
+                    score = np.concatenate([_overlaps(block, texts) for block in blocks], axis=1)
+                    if least is not None:
+                        score = np.where(score >= least, score, -np.inf)
+                    rows: dict[str, list[int]] = {}
+                    for d, label in enumerate(part.column(2).to_pylist()):
+                        rows.setdefault(label or "", []).append(d)
+                    for label, at in rows.items():
+                        if not label and k is None:
+                            yield _hits(names, ids[at], score[at])
+                            continue
+                        if label not in best:
+                            best[label] = Best(len(names), 1 if label else k)
+                        best[label].add(ids[at], score[at])
+            for held in best.values():
+                yield held.rows(names)
+
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("string")).mapInArrow(run, PAIRS)
+
+    return over_sets(queries, one)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k largest dot products of stated sets of queries with all
     vectors. A set goes to every task, which passes over its vectors once and keeps each query's best k."""

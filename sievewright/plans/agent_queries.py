@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from sievewright.plans import search_queries as Q
 from sievewright.plans import vocab as V
 from sievewright.plans.corpus_queries import facet_sql
 from sievewright.plans.registry import query
-from sievewright.session import checkpoint_dir, ship, table
+from sievewright.session import passing, ship, table
 from sievewright.sources import versioned
 
 _OWN = "['Call 165 about ' || harm, 'Keep records of ' || harm]"
@@ -76,7 +75,7 @@ SELECT doc_id, model, source FROM d WHERE source <> (SELECT s FROM gone) AND (mo
 def index_maintenance(spark, sf_dir):
     """A table of parts by model and source: written, appended to, one source deleted, some parts replaced."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model"), "source")
-    kept = versioned.VersionedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/parts-{uuid.uuid4().hex}", ("model", "source"))
+    kept = versioned.VersionedTable(spark, passing(spark, "parts"), ("model", "source"))
     kept.replace(rows.filter("doc_id % 2 = 0"))
     kept.append(rows.filter("doc_id % 2 = 1"))
     gone = rows.agg(F.min("source")).first()[0]
@@ -90,7 +89,7 @@ MODEL = "hashing-64"
 
 def _hybrid(spark, sf_dir, built: bool):
     ship(spark)
-    docs, path = Q.docs(spark, sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    docs, path = Q.docs(spark, sf_dir), passing(spark, "index")
     if built:
         dense.build(docs, models.hashing_embedder, MODEL, path)
     index, why = dense.load(spark, path, docs, MODEL)

@@ -78,11 +78,9 @@ def scan_jsonl(spark, sf_dir):
 
 
 def stash_path(spark):
-    import uuid
+    from sievewright.session import passing
 
-    from sievewright.session import checkpoint_dir
-
-    return f"{checkpoint_dir(spark).rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    return passing(spark, "jsonl") + "/rows"
 
 
 @query("SELECT doc_id, sha256(text) AS content_key, substr(sha256(text), 1, 32) || '.txt' AS path FROM documents")

@@ -160,7 +160,8 @@ _DIV = """dv AS (SELECT query_id, doc_id, score, lang AS label, row_number() OVE
 
 @query(f"WITH {OVERLAP}, {_DIV.format(0.6)} SELECT query_id, doc_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dv WHERE best = 1 QUALIFY rank <= 3")
 def diversified_search(spark, sf_dir):
-    return S.diversified(overlap(spark, sf_dir, least=0.6), docs(spark, sf_dir), 3, 0.6).drop("best")
+    ship(spark)
+    return S.diversified(S.overlap_groups(items(spark, sf_dir), docs(spark, sf_dir), 3, 0.6), docs(spark, sf_dir), 3, 0.6).drop("best")
 
 
 _CHAN = facet_sql("text", V.TABLES["channel"])
@@ -174,7 +175,7 @@ def faceted_search(spark, sf_dir):
     """Facets filter first; then no score is too low, and k grows to the number of labels."""
     kept = C.derive_facets(docs(spark, sf_dir), "text", V.TABLES).filter(C.facet_match(F.col("facets"), F.create_map(F.lit("channel"), F.array(F.lit("mail"))))).drop("facets")
     ship(spark)
-    return S.diversified(S.overlap(items(spark, sf_dir), kept), kept, 3, 0.6, filtered=True).drop("best")
+    return S.diversified(S.overlap_groups(items(spark, sf_dir), kept), kept, 3, 0.6, filtered=True).drop("best")
 
 
 @query(f"WITH {OVERLAP} SELECT query_id, doc_id, score, rank FROM ovr WHERE score >= 0.6 AND rank <= 10")

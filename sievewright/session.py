@@ -36,11 +36,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder for what the session's results read: what lies there goes
+    when the session's driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # only what exists can be marked
+    files.deleteOnExit(folder)
+    return path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back; its true size then
     guides the planner's choice of joins."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = passing(spark, "table") + "/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,7 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+        self.root = passing(spark, "job")
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:

@@ -466,3 +466,21 @@ def test_two_platforms_fill_the_slot_of_moving():
     assert "moved_to" not in state["filled"]
     script.step(state, "then Chat")
     assert "moved_to" in state["filled"]
+
+
+def test_tables_of_a_session_go_with_it(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+from sievewright.session import Scratch, stash
+kept = stash(spark.range(5)).count() + Scratch(spark).keep(spark.range(4)).count()
+import os
+print("KEPT", kept, sum(n.startswith(("table-", "job-")) for n in os.listdir("{tmp_path}/shared")))
+spark.stop()
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
+    assert "KEPT 9 2" in said.stdout
+    assert not [p for p in (tmp_path / "shared").iterdir() if p.name.startswith(("table-", "job-"))]

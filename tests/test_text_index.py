@@ -115,3 +115,17 @@ def test_queries_beyond_one_set_are_all_searched(spark, indexed, monkeypatch):
     vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "doc_id long, embedding array<float>")
     near = S.vector_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 1)
     assert near.count() == 9 and near.filter(F.col("query_id") == 5).first()["doc_id"] == 8
+
+
+def test_groups_give_what_all_pairs_give(spark):
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 30))), rng.choice(["x", "y", "z", "", None])) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(4)
+    queries = spark.createDataFrame([(k, "".join(rng.choice("abcd ") for _ in range(12))) for k in range(9)], "query_id long, query string")
+    for filtered, least in ((False, 0.4), (True, 0.0)):
+        slim = S.overlap_groups(queries, docs, None if filtered else 3, None if filtered else least)
+        want = S.diversified(S.overlap(queries, docs, least=None if filtered else least), docs, 3, least, filtered)
+        got = S.diversified(slim, docs, 3, least, filtered)
+        columns = ["query_id", "doc_id", "score", "label", "rank"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+        assert filtered or slim.count() <= 4 * 9 * 6
