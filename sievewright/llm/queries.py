@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievewright.llm import chat, collocations, exact_dedup, language_id, licenses, mixing, near_dedup, packing, pii, prefix_trie, quality_pu, quality_rules, sql, warc
-from sievewright.session import Scratch, checkpoint_dir, ship, stash, table
+from sievewright.session import Scratch, passing, ship, stash, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +73,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    archive = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    archive = passing(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), archive)
     return warc.digest_rows(warc.read(spark, archive))
 
