@@ -103,8 +103,16 @@ def mask_native(c: Column, rules=(*RULES, LONG_RUN)) -> Column:
 
 
 def found_kinds(c: Column) -> Column:
-    """Kinds of identifiers in a text, each rule seeing what the earlier ones left."""
-    return F.array_distinct(mask_struct(c)["redactions"]["kind"])
+    """Kinds of identifiers in a text, each rule seeing what the earlier ones left. An account is one,
+    whether a word before it says so or not."""
+    kind = lambda r: F.when(r["kind"].isin("bare_account", LONG_RUN[0]), "bank_account").otherwise(r["kind"])
+    return F.array_distinct(F.transform(mask_struct(c)["redactions"], kind))
+
+
+def recall(found: Column, expected: Column) -> Column:
+    """The share of the different expected kinds that were found; 1 where none are expected."""
+    wanted = F.array_distinct(expected)
+    return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, found)) / F.size(wanted)).otherwise(1.0)
 
 
 def _bucket(value: float) -> str:

@@ -24,13 +24,16 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus(df: DataFrame, path: str) -> dict:
-    """Zstandard parquet of the first row of each case id; returns the provenance counts, taken while
+    """Zstandard parquet of the first row, as read, of each case id; returns the provenance counts, taken while
     writing, and leaves them as JSON beside the table, in ``<path>.meta``."""
     read, seen = Observation("read"), Observation("corpus")
     first = df.observe(read, F.count(F.lit(1)).alias("read"))
     if "case_id" in df.columns:
-        place = F.row_number().over(Window.partitionBy("case_id").orderBy(*[c for c in df.columns if c != "case_id"]))
-        first = first.withColumn("__place", place).filter("__place = 1").drop("__place")
+        # Rows come in the order in which they are read; those without an id are each their own.
+        first = first.withColumn("__row", F.monotonically_increasing_id())
+        own = F.coalesce(F.concat(F.lit("="), F.col("case_id").cast("string")), F.col("__row").cast("string"))
+        place = F.row_number().over(Window.partitionBy(own).orderBy("__row"))
+        first = first.withColumn("__place", place).filter("__place = 1").drop("__place", "__row")
     first.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("text") == "").alias("empty"), F.max(F.char_length("text")).alias("longest")).write.mode("overwrite").option("compression", "zstd").parquet(path)
     facts = {**seen.get, "duplicates_dropped": read.get["read"] - seen.get["rows"], "columns": df.columns}
     df.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.meta")

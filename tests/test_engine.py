@@ -484,3 +484,11 @@ spark.stop()
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
     assert "KEPT 9 2" in said.stdout
     assert not [p for p in (tmp_path / "shared").iterdir() if p.name.startswith(("table-", "job-"))]
+
+
+def test_recall_of_all_kinds(spark):
+    kinds = [k if k != "bare_account" else "bank_account" for k, _, _ in M.RULES] + ["amount"]
+    text = "信箱 a@b.co http://x.y A123456789 代碼: AB12345678 4111 1111 1111 1111 0912345678 02-12345678 帳號 123-456 7890 12345678901234 LINE: abcd 我叫王小明， 臺北市大安區和平東路一段1號 73,500元"
+    rows = [(text, kinds), ("12345678901234", ["bank_account", "email"]), ("nothing", []), (None, ["email"])]
+    got = spark.createDataFrame(rows, "t string, e array<string>").select(M.recall(M.found_kinds(F.col("t")), F.col("e")).alias("r")).collect()
+    assert [r["r"] for r in got] == [1.0, 0.5, 1.0, 0.0]

@@ -152,3 +152,11 @@ def test_a_manual_choice_goes_before_the_route(spark):
     packs = [rules.Pack("p", ("a", "b"), priority=1, route_min=0.4), rules.Pack("q", ("zz",), route_min=0.4)]
     got = {r["id"]: r["primary"] for r in rules.route(df, packs, "id", "text", F.col("chosen")).collect()}
     assert got == {1: "p", 2: "q", 3: "p"}
+
+
+def test_the_first_row_as_read_stays(spark, tmp_path):
+    rows = [("b", "z"), ("a", "y"), (None, "n"), ("b", "a"), (None, "n"), ("a", "x"), (None, "")]
+    df = spark.createDataFrame(rows, "case_id string, text string").coalesce(1)
+    facts = tables.write_corpus(df, str(tmp_path / "c"))
+    kept = sorted(((r["case_id"] or "", r["text"]) for r in spark.read.parquet(str(tmp_path / "c")).collect()))
+    assert kept == [("", ""), ("", "n"), ("", "n"), ("a", "y"), ("b", "z")] and facts["duplicates_dropped"] == 2 and facts["rows"] == 5
