@@ -68,11 +68,35 @@ def test_each_stage_by_brute_force(spark, tmp_path):
 
 def test_the_whole_run_is_repeatable(spark, tmp_path):
     folder = write(spark, tmp_path, corpus(random.Random(22)))
-    first, second = (sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect()) for _ in range(2))
-    assert [x[0] for x in first] == [x[0] for x in second] and sum(x[2] for x in first) == sum(x[2] for x in second)
+    runs = []
+    for _ in range(2):
+        taken = {}
+        for r in corpus_pipeline.run(spark, folder).collect():
+            taken.setdefault(r["doc_id"], []).append((r["length"], r["doc_tokens"]))
+        runs.append({k: (sum(n for n, _ in v), sorted(t for _, t in v)[-1]) for k, v in taken.items()})
+    assert runs[0] == runs[1] and len(runs[0]) > 20
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, 0, 1, 2)], [(None, "word " * 30, None, None, 0, 1, 2)] * 2])
-def test_odd_tables_with_clashing_columns(spark, tmp_path, rows):
+def test_odd_tables_without_a_good_document_give_nothing(spark, tmp_path, rows):
     folder = write(spark, tmp_path, rows, ", bucket int, __row_id int")
-    assert corpus_pipeline.run(spark, folder).count() >= 0
+    found = corpus_pipeline.run(spark, folder)
+    assert found.collect() == [] and {"doc_id", "start", "length", "sequence_id"} <= set(found.columns)
+
+
+def test_long_texts_missing_sources_and_ids_in_a_whole_run(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from sievewright.llm import packing
+
+    rng = random.Random(23)
+    prose = lambda n: " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n))
+    long, short = prose(20_000), prose(400)
+    rows = [(5, long, None, None), (None, short, None, None), (None, short, "en", None), (7, prose(600), "en", "a"), (8, None, None, None)]
+    folder = write(spark, tmp_path, [(*r, 0, 1, 2) for r in rows], ", bucket int, __row_id int")
+    tokens, taken = Tokenizer.from_file(packing.tokenizer_path()), {}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["length"]
+    ids = len(tokens.encode(long, add_special_tokens=False).ids)
+    assert set(taken) <= {5, 7, None} and {5, 7} <= set(taken)
+    assert 0.05 * ids < taken[5] <= 3 * (ids + 1) and max(taken.values()) == taken[5]
