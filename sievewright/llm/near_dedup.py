@@ -131,8 +131,16 @@ def links(members: DataFrame, texts: DataFrame, similarity: float, registers: in
     round's verified links join those of the rounds before, which stay contracted to stars."""
     stars, label, before = None, None, None
     leaders = 1
+    listed = scratch.keep(members.groupBy("x").agg(F.collect_list("bucket").alias("buckets")))  # a bucket a band at most
     while not members.isEmpty():
-        named = members.withColumn("c", F.col("x")) if label is None else members.join(label, "x", "left").select("bucket", "x", "bits", "codes", F.coalesce("label", "x").alias("c"))
+        if label is None:
+            named = members.withColumn("c", F.col("x"))
+        else:
+            # Classes meet texts, not members: buckets that one class fills close before wide rows move again.
+            classed = listed.join(label, "x", "left").select(F.explode("buckets").alias("bucket"), F.coalesce("label", "x").alias("c"))
+            still = scratch.keep(classed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket"))
+            members = members.join(sized(still), "bucket", "left_semi")
+            named = members.join(label, "x", "left").select("bucket", "x", "bits", "codes", F.coalesce("label", "x").alias("c"))
         named = named.withColumn("h", F.xxhash64("x", "bucket", F.lit(leaders)))
         state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "lead", "n")
         state = scratch.keep(state)
