@@ -39,11 +39,13 @@ def contract(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     stars = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     before, rounds = None, 0
     while most_rounds is None or rounds < most_rounds:
-        stars = cut(_small_star(_large_star(stars)))
+        stars, rounds = cut(_small_star(_large_star(stars))), rounds + 1
+        if rounds == most_rounds:
+            break
         after = _print(stars)
         if after == before:
             break
-        before, rounds = after, rounds + 1
+        before = after
     return stars
 
 

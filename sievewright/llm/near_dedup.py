@@ -5,11 +5,12 @@
 2. ProbMinHash signatures of the classes are cut into bands; equal bands meet in buckets, and of
    buckets with the same members the one with the least key stays. Four bits of each register make a
    sketch that estimates the similarity of two members by a few XORs.
-3. Links are found in rounds. In each bucket a few leaders meet the members that are not yet
-   connected to them, each pair in the least of the buckets
-   it shares; pairs whose estimate is
-   within 4.5 standard deviations of the threshold are verified on their texts. A bucket of many
-   members is cut into slices, and its leaders go to each slice, so no task meets a whole bucket. A leader that has met all others leaves the bucket. Buckets whose
+3. Links are found in rounds. In each bucket a few leaders, the same in buckets alike, meet the members
+   that are not yet connected to them, each pair in the least of the buckets it shares; pairs whose
+   estimate is within 4.5 standard deviations of the threshold are verified on their texts. A bucket of
+   many members is cut into slices, and its leaders go to each slice, so no task meets a whole bucket. A
+   leader that has met all others leaves the bucket. Texts meet their classes in one row each, before
+   they are dealt to the buckets; a link joins the classes of its texts. Buckets whose
    members are all connected are done, the others get more leaders each round, so a large group of
    copies costs about its size, and every pair of different texts that meets in a bucket is either
    compared or already connected.
@@ -43,7 +44,8 @@ from sievewright.session import Scratch
 
 BANDS, ROWS = 64, 8
 SIMILARITY = 0.8
-GROWTH = 16
+LEADERS, GROWTH = 4, 32  #: a bucket's leaders in the first round, and times as many in each next one
+HELD = 500_000  #: shingles of texts that a task keeps while it verifies pairs; 16 bytes each
 SLICE = 4096  #: bucket members that meet the bucket's leaders in one place
 BROADCAST_ROWS = 500_000  #: of narrow tables (ids, bucket states, labels) that joins send around; 8 to 24 bytes each
 
@@ -69,26 +71,30 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = sh.WORDS) -> DataFrame:
-    """(u, v, similar) for pairs (u, v), compared by their exact probability Jaccard."""
+    """(a, b, similar) for pairs (u, v, a, b): u and v are compared by their exact probability Jaccard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
 
         def of(name: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
             if name not in kept:
-                if len(kept) > 64:
+                if held > HELD:
                     kept.clear()
+                    held = 0
                 kept[name] = sh.shingles(text, words)
+                held += len(kept[name][0])
             return kept[name]
 
         for batch in batches:
             u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            close = [sh.probability_jaccard(of(a, x.as_py()), sh.shingles(y.as_py(), words)) >= similarity for a, b, x, y in zip(u, v, batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(close, pa.bool_())], names=["u", "v", "similar"])
+            close = [sh.probability_jaccard(of(i, x.as_py()), of(j, y.as_py())) >= similarity for i, j, x, y in zip(u, v, batch.column(4), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(close, pa.bool_())], names=["a", "b", "similar"])
 
     right = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     both = right.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, similar boolean")
+    return both.select("u", "v", "a", "b", "text_u", "text_v").mapInArrow(run, "a long, b long, similar boolean")
 
 
 def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -116,9 +122,11 @@ def far_apart(similarity: float, registers: int) -> int:
     return int(np.ceil(2 * registers * p + 4.5 * np.sqrt(registers * (5 * p - 4 * p * p))))
 
 
-def differing(a: Column, b: Column, registers: int) -> Column:
-    """How many bits of two sketches differ."""
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(-(-registers // 16))), F.lit(0))
+def differing(a: Column, b: Column) -> Column:
+    """How many bits of two sketches differ. A function of arrays: spelled out word by word, the join's
+    code outgrows what Java compiles."""
+    words = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(words, F.lit(0), lambda n, k: n + k)
 
 
 def code(bucket: Column) -> Column:
@@ -126,45 +134,46 @@ def code(bucket: Column) -> Column:
     return F.shiftright(bucket, 32).cast("int")
 
 
-def links(members: DataFrame, texts: DataFrame, similarity: float, registers: int, scratch: Scratch) -> DataFrame | None:
-    """Edges that connect whatever pairs of bucket members connect; None if there are none. Each
-    round's verified links join those of the rounds before, which stay contracted to stars."""
-    stars, label, before = None, None, None
-    leaders = 1
-    listed = scratch.keep(members.groupBy("x").agg(F.collect_list("bucket").alias("buckets")))  # a bucket a band at most
+def links(members: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, registers: int, scratch: Scratch) -> DataFrame | None:
+    """Edges that connect whatever pairs of bucket members connect; None if there are none. ``members``
+    has a row for each text (x, buckets), ``sketches`` (x, bits, codes). Each round's verified links join
+    those of the rounds before, which stay contracted to stars."""
+    stars, label = None, None
+    leaders = LEADERS
     while not members.isEmpty():
+        # Texts meet their classes and sketches in one row each, and are dealt to their buckets after it.
         if label is None:
             named = members.withColumn("c", F.col("x"))
         else:
-            # Classes meet texts, not members: buckets that one class fills close before wide rows move again.
-            classed = listed.join(label, "x", "left").select(F.explode("buckets").alias("bucket"), F.coalesce("label", "x").alias("c"))
-            still = scratch.keep(classed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket"))
-            members = members.join(sized(still), "bucket", "left_semi")
-            named = members.join(label, "x", "left").select("bucket", "x", "bits", "codes", F.coalesce("label", "x").alias("c"))
-        named = named.withColumn("h", F.xxhash64("x", "bucket", F.lit(leaders)))
-        state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "lead", "n")
+            named = members.join(sized(label), "x", "left").select("x", "buckets", F.coalesce("label", "x").alias("c"))
+        # A text leads in all its buckets or few: copies that share many buckets meet the same leaders in each.
+        named = named.withColumn("h", F.xxhash64("x", F.lit(leaders)))
+        state = named.select(F.explode("buckets").alias("bucket"), "c", "h").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "lead", "n")
         state = scratch.keep(state)
+        if state.isEmpty():
+            break
         share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
         slices = F.ceil(F.col("n") / SLICE)
-        drawn = scratch.keep(named.join(sized(state), "bucket").select("bucket", F.pmod("x", slices).alias("slice"), slices.alias("slices"), "x", "c", "bits", "codes", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
+        spread = named.join(sketches, "x").select(F.explode("buckets").alias("bucket"), "x", "c", "h", "bits", "codes")
+        drawn = scratch.keep(spread.join(sized(state), "bucket").select("bucket", F.pmod("x", slices).alias("slice"), slices.alias("slices"), "x", "c", "bits", "codes", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
         heads = drawn.filter("leads").select(F.col("bucket").alias("b0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s0"), F.col("x").alias("x0"), F.col("c").alias("c0"), F.col("bits").alias("bits0"), F.col("codes").alias("codes0"))
         # A pair is looked at in the least bucket it shares, and once where both lead.
         once = ~F.col("leads") | (F.col("x") < F.col("x0"))
-        close = differing(F.col("bits"), F.col("bits0"), registers) <= far_apart(similarity, registers)
+        close = differing(F.col("bits"), F.col("bits0")) <= far_apart(similarity, registers)
         here = F.array_min(F.array_intersect("codes", "codes0")) == code(F.col("bucket"))
-        met = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("slice") == F.col("s0")) & (F.col("c") != F.col("c0")) & once & close & here)
-        pairs = scratch.keep(met.select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v")))
-        asked = scratch.keep(pairs.select(F.col("u").alias("doc_id")).distinct().union(pairs.select("v").distinct()).distinct())
+        met = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("slice") == F.col("s0")) & (F.col("c") != F.col("c0")) & once & here & close)
+        pairs = scratch.keep(met.select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v"), F.col("c").alias("a"), F.col("c0").alias("b")))
+        asked = scratch.keep(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
         tested = scratch.keep(verified(pairs, texts.join(sized(asked), "doc_id", "left_semi"), similarity))
-        new = tested.filter("similar").select("u", "v")
+        # Texts are linked to their classes already, so a link joins these: many links, few edges.
+        new = tested.filter("similar").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
         if not new.isEmpty():
-            old = stars
-            stars = scratch.keep(contract(new if stars is None else stars.union(new), most_rounds=2))
-            label = sized(scratch.keep(labels(stars).select(F.col("node").alias("x"), "label")))
-            scratch.drop(old)
-        for done in (state, pairs, asked, tested, before):
+            stars = contract(new if stars is None else stars.union(new), most_rounds=2)
+            scratch.drop(label)
+            label = scratch.keep(labels(stars).select(F.col("node").alias("x"), "label"))
+        last, members = members, scratch.keep(drawn.filter("not leads").groupBy("x").agg(F.collect_list("bucket").alias("buckets")))
+        for done in (state, drawn, pairs, asked, tested, last):
             scratch.drop(done)
-        before, members = drawn, drawn.filter("not leads").select("bucket", "x", "bits", "codes")
         leaders *= GROWTH
     return stars
 
@@ -179,11 +188,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     shown = scratch.keep(firsts)
     spread = shown.select("x", F.explode(F.array_distinct("bands")).alias("bucket"))
     met = buckets(spread, scratch)
-    wanted = sized(scratch.keep(met.select("x").distinct()))
+    listed = scratch.keep(met.groupBy("x").agg(F.collect_list("bucket").alias("buckets")))  # a bucket a band at most
+    scratch.drop(met)
+    wanted = sized(listed.select("x"))
     texts = scratch.keep(given.join(wanted, F.col("doc_id") == F.col("x"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-    sketches = shown.join(wanted, "x", "left_semi").groupBy("x").agg(F.min(F.struct("bits", "bands")).alias("s")).select("x", "s.bits", F.transform("s.bands", code).alias("codes"))
-    members = met.join(sketches, "x").select("bucket", "x", "bits", "codes")
-    found = links(members, texts, similarity, bands * rows, scratch)
+    sketches = scratch.keep(shown.join(wanted, "x", "left_semi").groupBy("x").agg(F.min(F.struct("bits", "bands")).alias("s")).select("x", "s.bits", F.transform("s.bands", code).alias("codes")))
+    found = links(listed, sketches, texts, similarity, bands * rows, scratch)
     known = shown.select("print", F.col("x").alias("class_id"), "copies")
     if found is not None:
         label = labels(contract(found)).select(F.col("node").alias("class_id"), "label")

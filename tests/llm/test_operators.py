@@ -204,6 +204,34 @@ def test_near_dedup_finds_all_links(spark):
     assert got == {k: root(k) for k in range(len(texts))}
 
 
+def test_near_copies_meet_their_classes_once_a_text(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(80):
+        copy = list(base)
+        for at in rng.sample(range(200), 1 + k % 4):
+            copy[at] = f"n{rng.random()}"
+        texts.append(" ".join(copy))
+    frame, met = documents(spark, [(k, t, None, None) for k, t in enumerate(texts)]), []
+    join = type(frame).join
+
+    def counted(self, other, on=None, how=None):
+        if isinstance(on, str) and (on, how) == ("x", "left"):
+            met.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(frame), "join", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame).collect()}
+    assert met and max(met) <= len(texts)
+    marks, parent = [sh.shingles(t) for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if parent[a] != parent[b] and sh.probability_jaccard(marks[a], marks[b]) >= 0.8:
+            low, high = sorted((parent[a], parent[b]))
+            parent = [low if p == high else p for p in parent]
+    assert got == dict(enumerate(parent)) and 1 < len(set(parent)) < len(texts)
+
+
 def test_near_dedup_of_odd_rows(odd, nothing):
     rows = near_dedup.classes(odd).collect()
     assert len(rows) == 12
