@@ -26,9 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
 
-def _print(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether the distinct edges (u, v), u > v, are stars already: no node has two smaller neighbours, or one on
+    either side."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0").isEmpty()
 
 
 def contract(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -37,15 +39,9 @@ def contract(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     With ``most_rounds`` the contraction may stop early; what is joined is still connected.
     """
     stars = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    before, rounds = None, 0
-    while most_rounds is None or rounds < most_rounds:
+    rounds = 0
+    while rounds != most_rounds and not _settled(stars):
         stars, rounds = cut(_small_star(_large_star(stars))), rounds + 1
-        if rounds == most_rounds:
-            break
-        after = _print(stars)
-        if after == before:
-            break
-        before = after
     return stars
 
 

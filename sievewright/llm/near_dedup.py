@@ -46,6 +46,7 @@ BANDS, ROWS = 64, 8
 SIMILARITY = 0.8
 LEADERS, GROWTH = 4, 32  #: a bucket's leaders in the first round, and times as many in each next one
 HELD = 500_000  #: shingles of texts that a task keeps while it verifies pairs; 16 bytes each
+TOGETHER = 1 << 15  #: pairs whose sketches a task compares at once; 768 bytes each
 SLICE = 4096  #: bucket members that meet the bucket's leaders in one place
 BROADCAST_ROWS = 500_000  #: of narrow tables (ids, bucket states, labels) that joins send around; 8 to 24 bytes each
 
@@ -122,57 +123,107 @@ def far_apart(similarity: float, registers: int) -> int:
     return int(np.ceil(2 * registers * p + 4.5 * np.sqrt(registers * (5 * p - 4 * p * p))))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """How many bits of two sketches differ. A function of arrays: spelled out word by word, the join's
-    code outgrows what Java compiles."""
-    words = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(words, F.lit(0), lambda n, k: n + k)
-
-
 def code(bucket: Column) -> Column:
     """The upper half of a bucket's key."""
     return F.shiftright(bucket, 32).cast("int")
 
 
+def meetings(dealt: DataFrame, far: int) -> DataFrame:
+    """(u, v, a, b): texts u < v of the classes a and b whose sketches differ in at most ``far`` bits. Rows of
+    ``dealt`` are (bucket, slice, own, leads, x, c, bits, codes); the leaders of a bucket stand in each of its
+    slices and meet the slice's own rows. A task reads slices in order, own rows first, and holds those only."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        flat = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        bits, codes = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) for k in (6, 7))
+        return [*flat, bits.view(np.uint64), codes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # own rows of the last slice, which the next batch may go on with
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = columns(batch)
+            old = 0
+            if held is not None and (held[0][0], held[1][0]) == (rows[0][0], rows[1][0]):
+                old = len(held[0])
+                rows = [np.concatenate(both) for both in zip(held, rows)]
+            bucket, slice_, own, leads, x, c, bits, codes = rows
+            first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (slice_[1:] != slice_[:-1])])
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+            owned = first + np.add.reduceat(own.astype(np.int64), first)
+            # Rows held have met each other.
+            heads = np.flatnonzero(leads)
+            low = np.where(heads < old, old, first[group[heads]])
+            met = np.maximum(owned[group[heads]] - low, 0)
+            ends = np.cumsum(met)
+            at, found = 0, []
+            while at < len(heads):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+                many = met[at:to]
+                i = np.repeat(heads[at:to], many)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[at:to], many)
+                # Once where both lead.
+                once = (c[i] != c[j]) & (~leads[j] | (x[j] < x[i]))
+                i, j = i[once], j[once]
+                close = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= far
+                i, j = i[close], j[close]
+                # A pair is looked at in the least bucket it shares.
+                least = np.where(codes[i] == codes[j], codes[i], np.iinfo(np.int32).max).min(axis=1)
+                here = least == bucket[i] >> 32
+                found.append((i[here], j[here]))
+                at = to
+            i, j = (np.concatenate(side) for side in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j])), pa.array(c[j]), pa.array(c[i])], names=["u", "v", "a", "b"])
+            held = [r[first[-1] : owned[-1]].copy() for r in rows]
+            if not len(held[0]):
+                held = None
+
+    order = dealt.select("bucket", "slice", "own", "leads", "x", "c", "bits", "codes")
+    placed = order.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", F.col("own").desc())
+    return placed.mapInArrow(run, "u long, v long, a long, b long")
+
+
 def links(members: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, registers: int, scratch: Scratch) -> DataFrame | None:
     """Edges that connect whatever pairs of bucket members connect; None if there are none. ``members``
     has a row for each text (x, buckets), ``sketches`` (x, bits, codes). Each round's verified links join
     those of the rounds before, which stay contracted to stars."""
-    stars, label = None, None
+    stars, label, kept = None, None, members
     leaders = LEADERS
     while not members.isEmpty():
+        # A text leads in all its buckets or few: copies that share many buckets meet the same leaders in each.
+        members = members.withColumn("h", F.xxhash64("x", F.lit(leaders)))
         # Texts meet their classes and sketches in one row each, and are dealt to their buckets after it.
         if label is None:
             named = members.withColumn("c", F.col("x"))
         else:
-            named = members.join(sized(label), "x", "left").select("x", "buckets", F.coalesce("label", "x").alias("c"))
-        # A text leads in all its buckets or few: copies that share many buckets meet the same leaders in each.
-        named = named.withColumn("h", F.xxhash64("x", F.lit(leaders)))
+            named = members.join(sized(label), "x", "left").select("x", "buckets", "h", F.coalesce("label", "x").alias("c"))
         state = named.select(F.explode("buckets").alias("bucket"), "c", "h").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("h").alias("lead")).filter("low < high").select("bucket", "lead", "n")
         state = scratch.keep(state)
         if state.isEmpty():
             break
         share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
         slices = F.ceil(F.col("n") / SLICE)
-        spread = named.join(sketches, "x").select(F.explode("buckets").alias("bucket"), "x", "c", "h", "bits", "codes")
-        drawn = scratch.keep(spread.join(sized(state), "bucket").select("bucket", F.pmod("x", slices).alias("slice"), slices.alias("slices"), "x", "c", "bits", "codes", ((F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)).alias("leads")))
-        heads = drawn.filter("leads").select(F.col("bucket").alias("b0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("s0"), F.col("x").alias("x0"), F.col("c").alias("c0"), F.col("bits").alias("bits0"), F.col("codes").alias("codes0"))
-        # A pair is looked at in the least bucket it shares, and once where both lead.
-        once = ~F.col("leads") | (F.col("x") < F.col("x0"))
-        close = differing(F.col("bits"), F.col("bits0")) <= far_apart(similarity, registers)
-        here = F.array_min(F.array_intersect("codes", "codes0")) == code(F.col("bucket"))
-        met = drawn.join(heads, (F.col("bucket") == F.col("b0")) & (F.col("slice") == F.col("s0")) & (F.col("c") != F.col("c0")) & once & here & close)
-        pairs = scratch.keep(met.select(F.least("x", "x0").alias("u"), F.greatest("x", "x0").alias("v"), F.col("c").alias("a"), F.col("c0").alias("b")))
+        leads = (F.col("h") == F.col("lead")) | (share * F.col("n") < leaders - 1)
+        small = sized(state)
+        wide = named.join(sketches, "x").select(F.explode("buckets").alias("bucket"), "x", "c", "h", "bits", "codes").join(small, "bucket")
+        mine = F.pmod(F.xxhash64("x"), slices)
+        places = F.when(leads, F.sequence(F.lit(0).cast("long"), slices - 1)).otherwise(F.array(mine))
+        dealt = wide.select("bucket", F.explode(places).alias("slice"), mine.alias("mine"), leads.alias("leads"), "x", "c", "bits", "codes").withColumn("own", F.col("slice") == F.col("mine"))
+        pairs = scratch.keep(meetings(dealt, far_apart(similarity, registers)))
         asked = scratch.keep(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
         tested = scratch.keep(verified(pairs, texts.join(sized(asked), "doc_id", "left_semi"), similarity))
         # Texts are linked to their classes already, so a link joins these: many links, few edges.
-        new = tested.filter("similar").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+        new = scratch.keep(tested.filter("similar").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         if not new.isEmpty():
             stars = contract(new if stars is None else stars.union(new), most_rounds=2)
             scratch.drop(label)
             label = scratch.keep(labels(stars).select(F.col("node").alias("x"), "label"))
-        last, members = members, scratch.keep(drawn.filter("not leads").groupBy("x").agg(F.collect_list("bucket").alias("buckets")))
-        for done in (state, drawn, pairs, asked, tested, last):
+        # Leaders have met the others of their buckets.
+        left = members.select(F.explode("buckets").alias("bucket"), "x", "h").join(small, "bucket").filter(~leads)
+        last, members = kept, scratch.keep(left.groupBy("x").agg(F.collect_list("bucket").alias("buckets")))
+        kept = members
+        for done in (state, pairs, asked, tested, last):
             scratch.drop(done)
         leaders *= GROWTH
     return stars
