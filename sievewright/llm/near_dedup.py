@@ -8,8 +8,8 @@
 3. Links are found in rounds. In each bucket a few leaders, the same in buckets alike, meet the members
    that are not yet connected to them, each pair in the least of the buckets it shares; pairs whose
    estimate is within 4.5 standard deviations of the threshold are verified on their texts. A bucket of
-   many members is cut into slices, and its leaders go to each slice, so no task meets a whole bucket. A
-   leader that has met all others leaves the bucket. Texts meet their classes in one row each, before
+   many members is cut into slices, and its leaders go to each slice, so no task meets a whole bucket; a
+   task compares a slice with its leaders in batches. A leader that has met all others leaves the bucket. Texts meet their classes in one row each, before
    they are dealt to the buckets; a link joins the classes of its texts. Buckets whose
    members are all connected are done, the others get more leaders each round, so a large group of
    copies costs about its size, and every pair of different texts that meets in a bucket is either
@@ -157,7 +157,7 @@ def meetings(dealt: DataFrame, far: int) -> DataFrame:
             low = np.where(heads < old, old, first[group[heads]])
             met = np.maximum(owned[group[heads]] - low, 0)
             ends = np.cumsum(met)
-            at, found = 0, []
+            at = 0
             while at < len(heads):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
                 many = met[at:to]
@@ -171,10 +171,10 @@ def meetings(dealt: DataFrame, far: int) -> DataFrame:
                 # A pair is looked at in the least bucket it shares.
                 least = np.where(codes[i] == codes[j], codes[i], np.iinfo(np.int32).max).min(axis=1)
                 here = least == bucket[i] >> 32
-                found.append((i[here], j[here]))
+                i, j = i[here], j[here]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j])), pa.array(c[j]), pa.array(c[i])], names=["u", "v", "a", "b"])
                 at = to
-            i, j = (np.concatenate(side) for side in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j])), pa.array(c[j]), pa.array(c[i])], names=["u", "v", "a", "b"])
             held = [r[first[-1] : owned[-1]].copy() for r in rows]
             if not len(held[0]):
                 held = None
