@@ -9,11 +9,11 @@
    that are not yet connected to them, each pair in the least of the buckets it shares; pairs whose
    estimate is within 4.5 standard deviations of the threshold are verified on their texts. A bucket of
    many members is cut into slices, and its leaders go to each slice, so no task meets a whole bucket; a
-   task compares a slice with its leaders in batches. A leader that has met all others leaves the bucket. Texts meet their classes in one row each, before
-   they are dealt to the buckets; a link joins the classes of its texts. Buckets whose
-   members are all connected are done, the others get more leaders each round, so a large group of
-   copies costs about its size, and every pair of different texts that meets in a bucket is either
-   compared or already connected.
+   task compares a slice with its leaders in batches. A leader that has met all others leaves the bucket.
+   Texts meet their classes in one row each, before they are dealt to the buckets; a link joins the
+   classes of its texts. Buckets whose members are all connected are done, the others get more leaders
+   each round, so a large group of copies costs about its size, and every pair of different texts that
+   meets in a bucket is either compared or already connected.
 4. The verified links (probability Jaccard of at least the threshold) are contracted to components.
 
 With 64 bands of 8 registers a pair at similarity 0.8 meets with probability 0.99999 (that it is
