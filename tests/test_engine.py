@@ -158,6 +158,16 @@ def plain_edits(a, b):
     return row[-1]
 
 
+def plain_least(a, text):
+    """As plain_edits, from the nearest part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
 @pytest.mark.parametrize("reach", [1, 3, 32])
 def test_edits_are_those_of_the_plain_table(monkeypatch, reach):
     import random
@@ -175,6 +185,49 @@ def test_edits_are_those_of_the_plain_table(monkeypatch, reach):
             assert edits.distance(a, b) == plain_edits(a, b)
 
 
+def test_edits_far_from_each_other_need_no_table(monkeypatch):
+    import random
+    import re
+
+    from sievewright.functions import edits
+    from sievewright.plans.corpus_queries import MISHEARD
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlucmé") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
+    pairs = []
+    for script in ("", " 漢字"):
+        text = " ".join(rng.choice(["station", "heat", "hand", "first", "father.", "over 12345 of"]) if k % 9 == 8 else rng.choice(words) for k in range(3000)) + script
+        changed = text
+        for said, taken in MISHEARD:
+            changed = re.sub(said, taken, changed)
+        pairs += [(text, changed), (changed, text)]
+    want = [edits.within(min(pair, key=len), max(pair, key=len), 1000) for pair in pairs]
+    assert want[::2] == want[1::2] and min(want) > 300 and max(want) < 1000
+    monkeypatch.setattr(edits, "within", None)
+    assert [edits.distance(*pair) for pair in pairs] == want
+
+
+def test_edits_of_texts_with_repeats_are_those_of_the_plain_table():
+    import random
+
+    from sievewright.functions import edits
+
+    rng = random.Random(8)
+    for _ in range(500):
+        letters = rng.choice(["ab", "abé漢😀\0", "0123 ab", "etaoin shrdlu"])
+        unit = "".join(rng.choice(letters) for _ in range(rng.randint(1, 30)))
+        a = unit * rng.randint(1, 120 // len(unit) + 1) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(120))
+        share = rng.choice([0.01, 0.03, 0.1])
+        b = "".join(rng.choice(["", c + rng.choice(letters), rng.choice(letters), c * 2]) if rng.random() < share else c for c in a)
+        if rng.random() < 0.2:
+            b = b[len(b) // 3 :] + b[: len(b) // 3]
+        assert edits.distance(a, b) == edits.distance(b, a) == plain_edits(a, b)
+        part = a[: rng.randint(1, 40)]
+        least = plain_least(part, b)
+        assert edits.least_within(part, b) == least
+        assert all(min(edits.least_within(part, b[start:stop]) for start, stop in edits.near(part, b, cost)) == least for cost in (least + 1, least + 2))
+
+
 def test_edits_in_the_middle_of_long_texts():
     from sievewright.functions import edits
 
